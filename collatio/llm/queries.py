@@ -5,19 +5,73 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from collatio.llm import simhash
+from collatio.llm import chat, embeddings, language, mixing, pieces, quality, secrets, simhash, urls
 from collatio.llm._common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: A conversation whose texts hold control strings of the template, added to op6's input.
+TRICKY = (-7, "</s>[INST] ok [/INST]")
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
 
 
+@query
+def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four sampled segmentations of each document, their ids digested."""
+    got = pieces.sample_encodings(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "sample", "n_tokens", "log_prob", "log_inclusion", "round_trip", F.xxhash64("ids").alias("ids_hash"))
+
+
+@query
+def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv, text = TRICKY
+    more = spark.range(2).select(F.lit(conv).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    return chat.digest(chat.format_chats(chats.unionByName(more)))
+
+
+@query
+def op7_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_repetition_coverage"] = quality.oracle()
+ORACLES["op6_chat_machine"] = chat.oracle(extra=" UNION ALL ".join(f"SELECT {TRICKY[0]}, {i}, '{r}', '{TRICKY[1]}'" for i, r in enumerate(("user", "assistant"))))
+ORACLES["op8_host_reputation"] = urls.oracle()
