@@ -72,17 +72,25 @@ def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    def __missing__(self, key: bytes | str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Words:
     """The words of some texts as integers: ``ids`` in order, ``counts`` per text, ``vocab`` by id."""
 
     def __init__(self, texts: list[bytes]):
-        seen: dict[bytes, int] = {}
+        seen = Numbers()
         ids: list[int] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             words = text.split()
             counts[i] = len(words)
-            ids += [seen.setdefault(w, len(seen)) for w in words]
+            ids.extend(map(seen.__getitem__, words))
         self.ids = np.array(ids, np.int64)
         self.counts = counts
         self.vocab = list(seen)

@@ -9,7 +9,7 @@ largest proportions first, are compared by likelihood less a penalty for each fu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,11 +138,11 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None, learn_from: DataFrame | None = None) -> DataFrame:
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``df``: ``(id, held_out, lang_pred, score, languages)``.
 
-    Learns from the rows of ``learn_from`` (default ``df``) with a language, a text and an id
-    whose crc32 modulo 3 is not 1; predictions see the text alone. ``languages`` is the chosen
+    Learns from the rows with a language, a text and an id whose crc32 modulo 3 is not 1;
+    predictions see the text alone. The columns of ``carry`` are passed on behind these. ``languages`` is the chosen
     set with proportions, ``array<struct<lang, share>>`` by falling share, ``lang_pred`` its
     first and ``score`` that share; ties go to the first language by code point. Null text, and
     text without letters, is ``und`` with score 0 and no languages, and so is all text where
@@ -150,8 +150,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     learnt from each time; other columns are ignored. Texts are read whole.
     """
     s = settings or Settings()
-    source = learn_from if learn_from is not None else df
-    labelled = source.where((F.crc32(F.col(id_col).cast("string")) % 3 != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = df.where((F.crc32(F.col(id_col).cast("string")) % 3 != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     langs, logs = train(labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")), s)
     model = df.sparkSession.sparkContext.broadcast((langs, logs))
 
@@ -166,9 +165,12 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                 for row in share:
                     at = np.argsort(-row, kind="stable")
                     found.append([{"lang": langs[i], "share": min(1.0, float(row[i]))} for i in at if row[i] > 0])
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(found, kind)], names=["id", "held_out", "languages"])
+                kept = {f"carry_{i}": part.column(f"carry_{i}") for i in range(len(carry))}
+                own = {"id": part.column("id"), "held_out": part.column("held_out"), "languages": pa.array(found, kind)}
+                yield pa.RecordBatch.from_arrays([*own.values(), *kept.values()], names=[*own, *kept])
 
-    texts = df.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    got = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, held_out boolean, languages array<struct<lang:string,share:double>>")
+    texts = df.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    more = "".join(f", carry_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    got = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, held_out boolean, languages array<struct<lang:string,share:double>>{more}")
     first = F.try_element_at("languages", F.lit(1))
-    return got.select(F.col("id").alias(id_col), "held_out", F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(first["share"], F.lit(0.0)).alias("score"), "languages")
+    return got.select(F.col("id").alias(id_col), "held_out", F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(first["share"], F.lit(0.0)).alias("score"), "languages", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))

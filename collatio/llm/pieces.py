@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatio.llm._common import mix64, ranges, segment_sums, slices
+from collatio.llm._common import Numbers, mix64, ranges, segment_sums, slices
 
 #: A public model's file; a parameter everywhere, this is only the default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -49,6 +49,10 @@ class Sampling:
     depth: float = -36.0
 
 
+#: Edges of a path looked at for alternatives, before it is known whether more can matter.
+CLOSE = 256
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces as bytes (the blank mark as a blank), byte pieces, and a double-array trie over the former."""
@@ -93,33 +97,34 @@ def vocabulary(model: str = MODEL) -> Vocabulary:
 
 def _double_array(tree: list[dict[int, int]], ends: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``base``, ``check``, ``term``: the child by byte b of the node in cell s is cell base[s]+b, if check there is s."""
-    size = 2 * len(tree) + 1024
+    size = 4 * len(tree) + 100_000
     base, check, term = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     free = np.ones(size, bool)
     free[0] = False
     cell = {0: 0}
-    low = 1
+    low = high = 1
     for node, children in enumerate(tree):  # parents come before their children
         s = cell.pop(node)
         term[s] = ends.get(node, -1)
         if not children:
             continue
-        keys = np.array(sorted(children))
+        keys = sorted(children)
         while not free[low]:
             low += 1
-        at = np.flatnonzero(free[low : low + 4096]) + low - keys[0]
-        while True:
-            fits = at[(at >= 0) & (at + keys[-1] < size)]
-            fits = fits[free[fits[:, None] + keys].all(axis=1)]
-            if len(fits):
-                break
-            last = at[-1] + keys[0] + 1 if len(at) else low
-            at = np.flatnonzero(free[last : last + 65536]) + last - keys[0]
-            if last >= size - 256:
-                raise RuntimeError("the trie needs more room")
-        base[s] = fits[0]
-        for b in keys.tolist():
-            t = int(fits[0]) + b
+        if len(keys) == 1 and low >= keys[0]:  # only children fill the gaps
+            place = low - keys[0]
+        else:  # families look on from where the last one found room
+            begin, place = max(high, keys[0]), -1
+            while place < 0:
+                fits = np.flatnonzero(free[begin : begin + 256]) + begin - keys[0]
+                for k in keys[1:]:
+                    fits = fits[free[fits + k]]
+                begin += 256
+                place = int(fits[0]) if len(fits) else -1
+            high = max(high, begin - 512)
+        base[s] = place
+        for b in keys:
+            t = place + b
             free[t], check[t] = False, s
             cell[children[b]] = t
     return base, check, term
@@ -134,64 +139,59 @@ class Lattice:
 
     def __init__(self, units: list[bytes], v: Vocabulary, alpha: float):
         lengths = np.array([len(u) for u in units], np.int64)
-        data = np.frombuffer(b"".join(units) + b"\0", np.uint8).astype(np.int64)
-        self.start = np.cumsum(lengths + 1) - lengths - 1
-        states = int((lengths + 1).sum())
-        byte = ranges(np.cumsum(lengths) - lengths, lengths)
-        state = ranges(self.start, lengths)
-        left = np.repeat(lengths, lengths) - (state - np.repeat(self.start, lengths))
-        self.final = np.zeros(states, bool)
-        self.final[self.start + lengths] = True
-        # a unit may begin or end inside a character only if cut there; every byte that isn't a continuation starts one
-        head = (data[byte] & 0xC0) != 0x80
-        wide = np.ones(len(byte), np.int64)
-        lead = data[byte]
-        wide += (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
-        wide = np.minimum(wide, left)
-        at, where, room, node = byte[head], state[head], left[head], np.zeros(int(head.sum()), np.int64)
-        char = wide[head]
-        first = where
+        # a zero byte ends each unit; no piece of the trie goes on with it, so a state is a byte's place
+        self.data = data = np.frombuffer(b"\0".join([*units, b""]), np.uint8).astype(np.int32)
+        states = len(data)
+        ends = np.cumsum(lengths + 1) - 1
+        self.start = ends - lengths
+        self.final = np.zeros(states + 1, bool)
+        self.final[ends] = True
+        inner = ~self.final[:states]
+        first = np.flatnonzero(((data & 0xC0) != 0x80) & inner).astype(np.int32)
+        # bytes of the character that begins at each of them
+        lead = data[first]
+        wide = (1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)).astype(np.int32)
+        at, node, char = first, np.zeros(len(first), np.int32), wide
         whole = np.zeros(states, bool)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         depth = 0
         while len(at):
             cell = v.base[node] + data[at + depth]
-            ok = (v.check[cell] == node) & (room > depth)
-            at, where, room, node, char = at[ok], where[ok], room[ok], cell[ok].astype(np.int64), char[ok]
+            ok = v.check[cell] == node
+            if depth == 0:
+                ok &= data[at] != 0
+            at, node, char = at[ok], cell[ok], char[ok]
             depth += 1
             piece = v.term[node]
             hit = piece >= 0
-            found.append((where[hit], np.full(int(hit.sum()), depth), piece[hit].astype(np.int64)))
-            whole[where[hit & (char == depth)]] = True
+            found.append((at[hit], piece[hit]))
+            whole[at[hit & (char == depth)]] = True
+        # characters without a piece of their own go byte by byte, as one edge, the last of its state
         lost = np.flatnonzero(~whole[first])
-        # characters without a piece of their own go byte by byte, as one edge
-        found.append((first[lost], wide[head][lost], np.full(len(lost), -1)))
-        found.reverse()  # long pieces first: they are the likelier ones
-        src = np.concatenate([f[0] for f in found])
-        count = np.bincount(src, minlength=states)
+        count = np.bincount(np.concatenate([first[lost], *(f[0] for f in found)]), minlength=states)
         self.first = np.concatenate([[0], np.cumsum(count)])
         fill = self.first[:-1].copy()
         edges = int(self.first[-1])
-        self.src, self.to, self.piece, self.size = (np.zeros(edges, np.int64) for _ in range(4))
-        for s, n, piece in found:  # a state has at most one edge of each length, so one per step here
-            for part in _once(s):
-                e = fill[s[part]]
-                self.src[e], self.to[e], self.piece[e], self.size[e] = s[part], s[part] + n[part], piece[part], n[part]
-                fill[s[part]] += 1
-        byte_weight = v.weight[v.byte_ids[0]]
-        weight = alpha * np.where(self.piece >= 0, v.weight[np.maximum(self.piece, 0)], byte_weight * self.size)
-        self.byte = np.zeros(states, np.int64)
-        self.byte[state] = byte
-        self.data = data
-        self.tokens = np.where(self.piece >= 0, 1, self.size)
+        self.src, self.piece, size = np.zeros(edges, np.int32), np.full(edges, -1, np.int32), np.zeros(edges, np.int32)
+        for n in range(depth, 0, -1):  # long pieces first: they are the likelier ones
+            s, piece = found[n - 1]
+            e = fill[s]
+            self.src[e], self.piece[e], size[e] = s, piece, n
+            fill[s] += 1
+        e = fill[first[lost]]
+        self.src[e], size[e] = first[lost], wide[lost]
+        self.size = size
+        self.to = self.src + size
+        weight = alpha * np.where(self.piece >= 0, v.weight[self.piece], v.weight[v.byte_ids[0]] * size)
+        self.tokens = np.where(self.piece >= 0, 1, size)
         behind = np.full(states, -np.inf)
-        behind[self.final] = 0.0
+        behind[ends] = 0.0
         # backward sums, by distance from the unit's end
-        rest = np.zeros(states, np.int64)
-        rest[state] = left
-        order = np.argsort(rest[first], kind="stable")
+        rest = np.repeat(ends, lengths + 1) - np.arange(states)
+        near = rest[first].astype(np.uint16)
+        order = np.argsort(near, kind="stable")
         turn = first[order]
-        cuts = np.searchsorted(rest[turn], np.arange(1, (int(rest.max()) if states else 0) + 2))
+        cuts = np.searchsorted(near[order], np.arange(1, int(near.max(initial=0)) + 2))
         for a, b in zip(cuts[:-1], cuts[1:]):
             if a == b:
                 continue
@@ -203,12 +203,10 @@ class Lattice:
             top = np.maximum.reduceat(x, begin)
             behind[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), begin))
         self.logq = weight + behind[self.to] - behind[self.src]
-        self.q = np.exp(self.logq)
-        run = np.cumsum(self.q)
-        last = self.first[self.src + 1] - 1
-        before = run[self.first[self.src]] - self.q[self.first[self.src]]
-        self.upto = run - before
-        self.upto[last] = np.inf
+        run = np.cumsum(np.exp(self.logq))
+        own = self.first[self.src]
+        self.upto = run - np.where(own > 0, run[own - 1], 0.0)
+        self.upto[self.first[1:][count > 0] - 1] = np.inf
 
     def walk(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each state to its unit's end: ``(number of edges, edges one state after the other)``."""
@@ -235,27 +233,22 @@ class Lattice:
         return taken, out
 
 
-def _once(s: np.ndarray) -> Iterator[np.ndarray]:
-    """Index sets that cover ``s``, none holding a state twice (one set, but for byte edges beside a piece)."""
-    _, firsts = np.unique(s, return_index=True)
-    if len(firsts) == len(s):
-        yield np.arange(len(s))
-        return
-    rest = np.ones(len(s), bool)
-    rest[firsts] = False
-    yield firsts
-    yield np.flatnonzero(rest)
-
-
 def uniform(key: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit keys."""
     with np.errstate(over="ignore"):
         return ((mix64(key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def _keys(seed: np.ndarray, kind: int, number: np.ndarray | int) -> np.ndarray:
+def _stream(seed: np.ndarray, kind: int) -> np.ndarray:
+    """A text's key for one kind of draw."""
+    with np.errstate(over="ignore"):
+        return mix64(seed ^ np.uint64(kind) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _keys(stream: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Keys 64 apart, for draws at the given places."""
     with np.errstate(over="ignore"):
-        return mix64(seed ^ np.uint64(kind) * np.uint64(0xD6E8FEB86659FD93)) + np.asarray(number).astype(np.uint64) * np.uint64(64)
+        return stream + number.astype(np.uint64) * np.uint64(64)
 
 
 @dataclass
@@ -282,7 +275,7 @@ def sample(units: np.ndarray, counts: np.ndarray, lattice: Lattice, keys: np.nda
     # the queue: text, time, round, token place, edge, log probability of the path before it
     queue = {k: np.zeros(0, t) for k, t in (("text", np.int64), ("time", float), ("round", np.int64), ("place", np.int64), ("edge", np.int64), ("before", float))}
     texts = np.arange(n)
-    now = {"text": texts, "time": -np.log(uniform(_keys(seed, 1, 0))), "round": np.full(n, -1), "place": np.zeros(n, np.int64), "edge": np.full(n, -1), "before": np.zeros(n)}
+    now = {"text": texts, "time": -np.log(uniform(_stream(seed, 1))), "round": np.full(n, -1), "place": np.zeros(n, np.int64), "edge": np.full(n, -1), "before": np.zeros(n)}
     for r in range(s.samples):
         texts = now["text"]
         if not len(texts):
@@ -296,7 +289,7 @@ def sample(units: np.ndarray, counts: np.ndarray, lattice: Lattice, keys: np.nda
         open_unit = state >= 0
         from_state[lead[open_unit]] = state[open_unit]
         place = ranges(skip, todo)
-        taken, walked = lattice.walk(from_state, _keys(np.repeat(seed[texts], todo), 2 + 3 * r, place))
+        taken, walked = lattice.walk(from_state, _keys(np.repeat(_stream(seed[texts], 2 + 3 * r), todo), place))
         walked_counts = segment_sums(taken, todo)
         total = prefix_counts + walked_counts
         edges = np.zeros(int(total.sum()), np.int64)
@@ -308,9 +301,12 @@ def sample(units: np.ndarray, counts: np.ndarray, lattice: Lattice, keys: np.nda
         rounds.append((texts, path))
         # alternatives beside the walked part, where the path is likely enough for them to matter
         run = np.cumsum(logq) - logq
-        run -= np.repeat(run[np.minimum(at, max(len(run) - 1, 0))], total) if len(run) else run
-        fresh = ranges(at + prefix_counts, walked_counts)
-        owner = np.repeat(np.arange(len(texts)), walked_counts)
+        run -= np.repeat(run[at[total > 0]], total[total > 0])
+        close = np.minimum(prefix_counts + CLOSE, total)
+        on = (close < total) & (run[np.minimum(at + close, max(len(run) - 1, 0))] > s.depth) if len(run) else close < 0
+        beside = np.where(on, total, close) - prefix_counts
+        fresh = ranges(at + prefix_counts, beside)
+        owner = np.repeat(np.arange(len(texts)), beside)
         likely = run[fresh] > s.depth
         fresh, owner = fresh[likely], owner[likely]
         state_of = lattice.src[edges[fresh]]
@@ -320,7 +316,7 @@ def sample(units: np.ndarray, counts: np.ndarray, lattice: Lattice, keys: np.nda
         keep = other != edges[spot]
         other, spot, who = other[keep], spot[keep], who[keep]
         where = spot - at[who]
-        e = -np.log(uniform(_keys(seed[texts[who]], 3 + 3 * r, where * 32 + (other - lattice.first[lattice.src[other]]))))
+        e = -np.log(uniform(_keys(_stream(seed[texts], 3 + 3 * r)[who], where * 32 + (other - lattice.first[lattice.src[other]]))))
         new = {
             "text": texts[who], "time": now["time"][who] + e * np.exp(-(run[spot] + lattice.logq[other])), "round": np.full(len(who), r),
             "place": where, "edge": other, "before": run[spot],
@@ -366,7 +362,7 @@ def token_ids(path: Path, lattice: Lattice, v: Vocabulary) -> tuple[np.ndarray,
     spelt = np.flatnonzero(lattice.piece[path.edges] < 0)
     if len(spelt):
         e = path.edges[spelt]
-        ids[ids < 0] = v.byte_ids[lattice.data[ranges(lattice.byte[lattice.src[e]], lattice.size[e])]]
+        ids[ids < 0] = v.byte_ids[lattice.data[ranges(lattice.src[e], lattice.size[e])]]
     return ids, segment_sums(each, path.counts)
 
 
@@ -386,13 +382,13 @@ class Decoder:
 
 
 def encode_samples(texts: list[str], keys: np.ndarray, v: Vocabulary, s: Sampling) -> tuple[Lattice, list[tuple[np.ndarray, Path]], np.ndarray]:
-    seen: dict[str, int] = {}
+    seen = Numbers()
     units: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         own = UNIT.findall(f" {text}") if text else []
         counts[i] = len(own)
-        units += [seen.setdefault(u, len(seen)) for u in own]
+        units.extend(map(seen.__getitem__, own))
     lattice = Lattice([u.encode() for u in seen], v, s.alpha)
     rounds, after = sample(np.array(units, np.int64), counts, lattice, keys, s)
     return lattice, rounds, after
@@ -417,7 +413,7 @@ def sample_encodings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         v = shared.value
         decode = Decoder(v)
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 lattice, rounds, after = encode_samples(texts, part.column("key").to_numpy().view(np.uint64), v, s)
                 for r, (at, path) in enumerate(rounds):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatio.llm import chat, embeddings, language, mixing, pieces, quality, secrets, simhash, urls
+from collatio.llm import chat, contextmix, embeddings, language, mixing, pieces, quality, secrets, simhash, urls
 from collatio.llm._common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextmix.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
