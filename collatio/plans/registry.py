@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from collatio.plans import align_queries, matrix_queries, text_queries
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in (matrix_queries, text_queries, align_queries):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
