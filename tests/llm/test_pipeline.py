@@ -1,0 +1,24 @@
+import re
+
+import corpus_pipeline as C
+
+
+def test_stages(spark, tmp_path):
+    words = [f"wort{i}" if i % 2 else f"thing{i}" for i in range(400)]
+    texts = [" ".join(words[(i * 7) % 300 :][:80]) for i in range(30)]
+    rows = [(i, t, "de" if i % 2 else "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    rows += [(100, texts[3], "de", "s1", 1), (101, "12 34", "en", "s0", 5), (102, None, None, None, None), (103, texts[5] + ' token = "abcdef123456"', "de", "s2", 9), (None, "some other words that nobody else has written down here", "en", None, 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = C.identify_language(spark, docs, str(tmp_path))
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == list(C.COLUMNS) and 101 not in ids and 102 not in ids and {0, 1, 100, 103} <= ids
+    single = C.drop_near_copies(spark, kept, str(tmp_path))
+    ids = {r.doc_id for r in single.collect()}
+    assert 100 not in ids and 3 in ids and None in ids
+    clean = C.redact_secrets(spark, single, str(tmp_path))
+    assert not any(re.search("abcdef123456", r.text) for r in clean.collect()) and clean.count() == single.count()
+    mixed = C.mix(spark, clean, str(tmp_path))
+    assert mixed.columns == list(C.COLUMNS) and mixed.count() > 0
+    out = C.run(spark, str(tmp_path)).collect()
+    assert len(out) > 0 and all(r.round_trip for r in out)
