@@ -9,6 +9,7 @@ largest proportions first, are compared by likelihood less a penalty for each fu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -57,11 +58,15 @@ def grams(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out)[order], np.bincount(owner, minlength=len(words))
 
 
+OTHERS = re.compile(r"[\W\d_]+")
+
+
 def letters(word: bytes) -> bytes:
     """The word's letters, lower-cased; empty where it has none."""
-    if word.isalpha():  # ASCII letters only
+    if word.isalpha() or (word := word.strip(b".,;:!?|\"'()*#$%&")).isalpha():  # ASCII letters only
         return word.lower()
-    return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalpha()).encode()
+    left = OTHERS.sub("", word.decode("utf-8", "replace").lower())
+    return (left if left.isalpha() else "".join(filter(str.isalpha, left))).encode()
 
 
 def _learn(df: DataFrame, s: Settings) -> DataFrame:
@@ -99,13 +104,29 @@ def train(df: DataFrame, s: Settings) -> tuple[list[str], np.ndarray]:
     return langs, logs.astype(np.float32)
 
 
-def _em(lik: np.ndarray, doc: np.ndarray, counts: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions by text after some rounds from ``share``, and the log likelihood they reach."""
-    n = np.maximum(counts, 1)[:, None]
+def _em(lik: np.ndarray, counts: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions by text after at most ``rounds`` from ``share``, and the log likelihood they reach.
+
+    A text whose proportions have settled takes no part in further rounds.
+    """
+    share, live, rows, each = share.astype(np.float32), np.arange(len(counts)), lik, counts
     for _ in range(rounds):
-        joint = lik * share[doc]
-        share = segment_sums(joint / joint.sum(axis=1, keepdims=True), counts) / n
-    return share, segment_sums(np.log((lik * share[doc]).sum(axis=1)), counts)
+        now = share[live]
+        joint = rows * np.repeat(now, each, axis=0)
+        joint /= joint.sum(axis=1, keepdims=True)
+        new = (segment_sums(joint.astype(np.float64), each) / np.maximum(each, 1)[:, None]).astype(np.float32)
+        share[live] = new
+        moving = np.abs(new - now).max(axis=1) > SETTLED
+        if moving.mean() < 0.7:
+            rows, live, each = rows[np.repeat(moving, each)], live[moving], each[moving]
+        if not len(live):
+            break
+    fit = np.log((lik * np.repeat(share, counts, axis=0)).sum(axis=1, dtype=np.float32))
+    return share.astype(np.float64), segment_sums(fit.astype(np.float64), counts)
+
+
+#: A change of proportions below this ends a text's rounds.
+SETTLED = 1e-3
 
 
 def infer(texts: list[bytes], logs: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -115,20 +136,20 @@ def infer(texts: list[bytes], logs: np.ndarray, s: Settings) -> tuple[np.ndarray
     real = np.array([bool(w) for w in own], bool)
     bucket, each = grams([w for w in own if w], s)
     ll = np.zeros((len(own), len(logs)))
-    ll[real] = segment_sums(logs[:, bucket].T.astype(np.float64), each) / len(s.lengths) if len(bucket) else 0.0
+    ll[real] = np.stack([segment_sums(row[bucket].astype(np.float64), each) for row in logs], axis=1) / len(s.lengths) if len(bucket) else 0.0
     lik = np.maximum(np.exp(ll - ll.max(axis=1, keepdims=True)), s.floor) if len(own) else ll
     text = np.repeat(np.arange(len(texts)), words.counts)
     kept = real[words.ids] if len(own) else np.zeros(0, bool)
-    doc, counts = text[kept], np.bincount(text[kept], minlength=len(texts))
-    lik = lik[words.ids[kept]]
+    counts = np.bincount(text[kept], minlength=len(texts))
+    lik = lik.astype(np.float32)[words.ids[kept]]
     langs = len(logs)
-    share, fit = _em(lik, doc, counts, np.full((len(texts), langs), 1 / langs), s.rounds)
+    share, fit = _em(lik, counts, np.full((len(texts), langs), 1 / langs), s.rounds)
     cost = s.penalty * 0.5 * np.log(np.maximum(counts, 1))
     best, value = share, fit - cost * (langs - 1)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
     for m in range(1, min(s.most, langs - 1) + 1):
         first = np.where(rank < m, np.maximum(share, 1e-12), 0)
-        got, fit = _em(lik, doc, counts, first / first.sum(axis=1, keepdims=True), s.rounds if m > 1 else 0)
+        got, fit = _em(lik, counts, first / first.sum(axis=1, keepdims=True), s.rounds if m > 1 else 0)
         better = fit - cost * (m - 1) >= value
         best, value = np.where(better[:, None], got, best), np.where(better, fit - cost * (m - 1), value)
     return np.where(counts[:, None] > 0, best, 0.0), counts > 0
