@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,6 +35,25 @@ def gram_recall(truth: Column, output: Column, n: int = 4) -> Column:
     return F.when(F.size(t) > 0, F.size(F.array_intersect(t, o)) / F.size(t)).otherwise(F.lit(0.0))
 
 
+def gram_rows(df: DataFrame, keys: Sequence[str], text: str, n: int) -> DataFrame:
+    """A row ``(keys…, g)`` for each distinct n-gram of each text.
+
+    A map over Arrow batches: a built-in substring counts code points from the text's start, which
+    is quadratic in long texts.
+    """
+    fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, t in enumerate(batch.column(text).to_pylist()):
+                found = sorted({t[i : i + n] for i in range(len(t or "") - n + 1)}) if t else []
+                if found:
+                    at = pa.array([row] * len(found))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), pa.array(found, pa.string())], names=[*keys, "g"])
+
+    return df.select(*keys, text).mapInArrow(run, ", ".join([*fields, "g string"]))
+
+
 def jaccard(a: Column, b: Column, heavy: str = "num:", weight: float = 2.0) -> Column:
     """Weighted Jaccard of two distinct key lists; keys that begin with ``heavy`` weigh more."""
 

@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Character sets, numerals and patterns that decide results.
 ZH_PUNCT = "，。、；：？！「」『』（）〔〕【】《》〈〉—…‧·．,.;:?!()[]<>\"' 　\n\t"
@@ -130,7 +131,7 @@ def bo_numbers(c: Column) -> Column:
 # ---- Sanskrit
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC, which has no built-in."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))

@@ -205,6 +205,8 @@ def align(ref: DataFrame, wit: DataFrame, sim="chargrams", params: Params | None
         beads = solve(r.length.tolist(), w.length.tolist(), *lists, kind, p)
         return pd.DataFrame([(key[0], i, *b) for i, b in enumerate(beads)], columns=["grp", "bead_no", "ref", "wit", "cost", "similarity"])
 
+    # renamed afresh: both sides may come from one table
+    ref, wit = (side.select(*(F.col(c).alias(c) for c in ("grp", "seq", "length", "payload"))) for side in (ref, wit))
     return ref.groupBy("grp").cogroup(wit.groupBy("grp")).applyInPandas(run, BEADS_SCHEMA)
 
 
@@ -252,14 +254,15 @@ def alignment_summary(beads: DataFrame) -> DataFrame:
     return beads.groupBy("grp", shape_of(F.col("ref"), F.col("wit")).alias("shape")).agg(F.count("*").alias("n"))
 
 
-def cells_from_beads(beads: DataFrame, units: DataFrame, wits: DataFrame, witness: str) -> DataFrame:
-    """Cells of aligned groups.
+def cells_from_beads(beads: DataFrame, units: DataFrame, wits: DataFrame, witness: Column | str) -> DataFrame:
+    """Cells of aligned groups; ``witness`` is a name, or a column computed from ``grp``.
 
     ``units(grp, seq, unit, chapter, kind, length, position, flag)``,
     ``wits(grp, seq, start, end, text, kind, length, position, density)``. A bead n:m gives its n
     units one cell each with shared span and deviations, n:0 absent (or lacunose) units, 0:m one
     orphan named by the witness and its coordinates.
     """
+    witness = F.lit(witness) if isinstance(witness, str) else witness
     index = lambda df: df.withColumn("i", F.row_number().over(Window.partitionBy("grp").orderBy("seq")) - 1)
     u, w = index(units), index(wits)
     b = beads.withColumn("bead", shape_of(F.col("ref"), F.col("wit")))
@@ -279,17 +282,17 @@ def cells_from_beads(beads: DataFrame, units: DataFrame, wits: DataFrame, witnes
     matched = F.col("m") > 0
     on_units = ref_side.select("grp", "bead_no", "unit", "chapter", "kind", "position", "flag").join(both, ["grp", "bead_no"])
     unit_cells = on_units.select(
-        "unit", F.lit(witness).alias("witness"), "chapter", "kind",
+        "grp", "bead_no", "unit", witness.alias("witness"), "chapter", "kind",
         F.when(matched, "PRESENT").when(F.col("flag") == "LACUNA", "LACUNA").otherwise("ABSENT").alias("status"),
         "span_start", "span_end", "bead", F.when(matched, 1.0).otherwise(0.0).alias("d_cov"),
         F.when(matched, F.ln(F.col("lw") / F.col("lr"))).alias("d_len"), F.when(matched, F.col("density")).alias("d_lit"),
         F.when(matched, F.abs(F.col("pos_w") - F.col("position"))).alias("d_ord"), F.when(matched, F.ln((F.col("n") * F.col("m")).cast("double"))).otherwise(0.0).alias("d_split"),
         F.lit(None).cast("double").alias("d_lex"), "similarity", F.substring("text", 1, 80).alias("text"), F.lit("auto").alias("provenance"),
     )
-    orphan = F.concat(F.lit(f"+{witness}:"), F.when(F.col("span_start") == F.col("span_end"), F.col("span_start")).otherwise(F.concat_ws("-", "span_start", "span_end")))
+    orphan = F.concat(F.lit("+"), witness, F.lit(":"), F.when(F.col("span_start") == F.col("span_end"), F.col("span_start")).otherwise(F.concat_ws("-", "span_start", "span_end")))
     nothing = F.lit(None).cast("double")
     orphans = both.where("n is null").select(
-        orphan.alias("unit"), F.lit(witness).alias("witness"), F.col("grp").alias("chapter"), F.col("wit_kind").alias("kind"), F.lit("PRESENT").alias("status"), "span_start", "span_end", "bead",
+        "grp", "bead_no", orphan.alias("unit"), witness.alias("witness"), F.col("grp").alias("chapter"), F.col("wit_kind").alias("kind"), F.lit("PRESENT").alias("status"), "span_start", "span_end", "bead",
         nothing.alias("d_cov"), nothing.alias("d_len"), F.col("density").alias("d_lit"), nothing.alias("d_ord"), F.lit(0.0).alias("d_split"), nothing.alias("d_lex"),
         F.lit(0.0).alias("similarity"), F.substring("text", 1, 80).alias("text"), F.lit("auto").alias("provenance"),
     )

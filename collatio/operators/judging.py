@@ -32,7 +32,7 @@ class Mock:
         if self.respond is not None:
             return self.respond(prompt)
         if fields is None:
-            return "no answer"
+            return "[mock]"
         empty = {"array": [], "string": ""}
         return json.dumps({k: empty.get(v) for k, v in fields.items()})
 

@@ -186,8 +186,11 @@ def dice_bigram(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(S.dice(F.col("a"), F.col("b")), 4).alias("dice"))
 
 
-PROBE_SQL = """t AS (SELECT item_id, regexp_replace(trim(text), '\\s+', ' ', 'g') AS t FROM benchmark), tg AS (SELECT DISTINCT item_id, substr(t, i, 16) AS g FROM (SELECT item_id, t, unnest(range(1, len(t) - 14)) AS i FROM t)),
-o AS (SELECT doc_id, source, regexp_replace(trim(text), '\\s+', ' ', 'g') AS t FROM documents), og AS (SELECT DISTINCT doc_id, source, substr(t, i, 16) AS g FROM (SELECT doc_id, source, t, unnest(range(1, greatest(1, len(t) - 14))) AS i FROM o)),
+def _gram_sql(name: str, source: str, keys: str, n: int) -> str:
+    return f"""{name} AS (SELECT DISTINCT {keys}, g FROM (SELECT {keys}, string_agg(c, '') OVER (PARTITION BY {keys.split(',')[0]} ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS g FROM (SELECT {keys}, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM (SELECT {keys}, string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), '') AS cs FROM {source}))) WHERE len(g) = {n})"""
+
+
+PROBE_SQL = f"""{_gram_sql('tg', 'benchmark', 'item_id', 16)}, {_gram_sql('og', 'documents', 'doc_id, source', 16)},
 n AS (SELECT item_id, count(*) AS n FROM tg GROUP BY item_id), ov AS (SELECT doc_id, source, item_id, count(*) / any_value(n.n) AS overlap FROM og JOIN tg USING (g) JOIN n USING (item_id) GROUP BY ALL)"""
 
 
@@ -199,8 +202,7 @@ def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     n = 16
 
     def grams(df: DataFrame, *keys: str) -> DataFrame:
-        t = S.squeeze(F.col("text"))
-        return df.select(*keys, F.explode(S.grams(t, n, False)).alias("g"))
+        return S.gram_rows(df.select(*keys, S.squeeze(F.col("text")).alias("text")), list(keys), "text", n)
 
     truth = grams(D.table(spark, d, "benchmark"), "item_id")
     met = grams(D.table(spark, d, "documents"), "doc_id", "source").join(truth, "g")
