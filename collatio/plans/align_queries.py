@@ -66,7 +66,7 @@ def align_cost(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _beads(spark: SparkSession, d: str) -> DataFrame:
-    return L.align(*_sides(spark, d), "chargrams", P)
+    return L.align(*_sides(spark, d), "chargrams", P).cache()  # read several times by what follows
 
 
 @query()

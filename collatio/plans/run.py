@@ -39,7 +39,7 @@ def align_witnesses(reference: DataFrame, witnesses: DataFrame, bridge: DataFram
     alive = w.select("grp").distinct()
     u = units.join(F.broadcast(named.select("grp", F.posexplode("chapters").alias("at", "chapter"))), "chapter").join(alive, "grp", "left_semi").withColumn("seq", F.col("at") * (1 << 40) + F.col("seq"))
     w = w.join(u.select("grp").distinct(), "grp", "left_semi")
-    beads = L.align(u.select("grp", "seq", "length", F.col("keys").alias("payload")), w.select("grp", "seq", "length", F.col("keys").alias("payload")), "anchors", params)
+    beads = L.align(u.select("grp", "seq", "length", F.col("keys").alias("payload")), w.select("grp", "seq", "length", F.col("keys").alias("payload")), "anchors", params).cache()
     flag = F.col("flag") if "flag" in u.columns else F.lit(None).cast("string").alias("flag")
     cells = L.cells_from_beads(beads, u.select("grp", "seq", "unit", "chapter", "kind", "length", "position", flag), w.select("grp", "seq", "start", "end", "text", "kind", "length", "position", "density"), F.substring_index("grp", "|", 1))
     cells = cells.withColumn("chapter", F.substring_index("chapter", "|", -1))

@@ -44,7 +44,8 @@ def transfer(segments: DataFrame, registry: DataFrame, variants: T.Variants, par
     """The matrix of marked segments (``sources.marked``) and ``registry(witness, scope, reference)``."""
     length = F.greatest(F.lit(1), F.length(T.strip_marks(F.col("text")))).cast("long")
     norm = F.replace(variants.normalize(T.strip_marks(F.col("text"))), F.lit("□"), F.lit(""))
-    known = segments.join(F.broadcast(registry), "witness").withColumn("length", length).withColumn("norm", norm)
+    # what several later steps read is cached, so that files are parsed and groups aligned once
+    known = segments.join(F.broadcast(registry), "witness").withColumn("length", length).withColumn("norm", norm).cache()
     ref = known.where(F.col("reference") & (F.col("kind") == "prose"))
     units = M.mint_units(ref.select("chapter", "seq", "text", "norm", "length"), style="p%02d").withColumn("kind", F.lit("prose")).withColumn("flag", F.lit(None).cast("string"))
     others = known.where(~F.col("reference"))
@@ -53,13 +54,13 @@ def transfer(segments: DataFrame, registry: DataFrame, variants: T.Variants, par
     wits = M.positions(others.withColumn("grp", grp), ["grp"], "seq", "length").withColumn("density", F.lit(0.0))
     shared = wits.select("witness", "chapter", "grp").distinct()
     refs = units.join(shared, "chapter").drop("witness")
-    beads = L.align(refs.select("grp", "seq", "length", F.col("norm").alias("payload")), wits.join(refs.select("grp").distinct(), "grp", "left_semi").select("grp", "seq", "length", F.col("norm").alias("payload")), "chargrams", params)
+    beads = L.align(refs.select("grp", "seq", "length", F.col("norm").alias("payload")), wits.join(refs.select("grp").distinct(), "grp", "left_semi").select("grp", "seq", "length", F.col("norm").alias("payload")), "chargrams", params).cache()
     cells = L.cells_from_beads(beads, refs.select("grp", "seq", "unit", "chapter", "kind", "length", "position", "flag"), wits.select("grp", "seq", "start", "end", "text", "kind", "length", "position", "density"), _witness())
-    cells = _lexical(cells.withColumn("chapter", F.coalesce(F.nullif(F.substring_index("chapter", "|", -1), F.lit("")), F.col("chapter"))), beads, refs, wits).drop("grp", "bead_no")
+    cells = _lexical(cells.withColumn("chapter", F.coalesce(F.nullif(F.substring_index("chapter", "|", -1), F.lit("")), F.col("chapter"))), beads, refs, wits).drop("grp", "bead_no").cache()
     in_chapter = refs.select(F.concat_ws("|", _witness(), "unit").alias("unit"), "grp", "norm", "position")
     marked = cells.withColumn("unit", F.when(F.col("unit").startswith("+"), F.col("unit")).otherwise(F.concat_ws("|", "witness", "unit")))
     relinked = L.reorder(marked, in_chapter, wits.select("grp", "seq", "start", "end", "text", "norm", "position"))
-    relinked = relinked.withColumn("unit", F.substring_index("unit", "|", -1))
+    relinked = relinked.withColumn("unit", F.substring_index("unit", "|", -1)).cache()
     repairs = relinked.where("from_start is not null").select("unit", "witness", F.col("from_start").alias("from"), F.col("span_start").alias("to"), F.round("similarity", 3).alias("similarity_after"))
     aligned = M.calibrate(relinked.drop("from_start"))
     missing = M.fill_missing(units, shared.select("witness", "chapter"), scopes)

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from collatio.operators.matrix import DIMS, wide
+from collatio.operators.matrix import DIMS, structure, wide
 from collatio.plans.transfer import Matrix
 
 SHADES = {"PRESENT": "#2f7d4f", "PARTIAL": "#e0b040", "ABSENT": "#b03030", "LACUNA": "#808080", "NA": "#d8d8d8", "UNALIGNED": "#ffffff"}
@@ -22,13 +22,21 @@ def write_csv(df: DataFrame, path: str) -> None:
 def export(m: Matrix, out: str, witnesses: list[str], manifest: dict) -> None:
     """The matrix under ``out``: Parquet as the primary tables, CSV mirrors, ``manifest.json``."""
     spark = m.cells.sparkSession
-    tables = {"cells": m.cells, "units": m.units, "review": m.review, "reorder_repairs": m.repairs, "chapter_order": m.orders, "structure": m.structure(spark.createDataFrame([(w,) for w in witnesses], "witness string"))}
-    for dim in ("status", *DIMS):
-        tables[f"wide_{dim}"] = wide(m.cells, dim, witnesses)
-    for name, df in tables.items():
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
-        flat = spark.read.parquet(f"{out}/{name}.parquet")
-        write_csv(flat.select(*(c for c, t in flat.dtypes if not t.startswith(("array", "map", "struct")))), f"{out}/{name}.csv")
+        back = spark.read.parquet(f"{out}/{name}.parquet")
+        write_csv(back.select(*(c for c, t in back.dtypes if not t.startswith(("array", "map", "struct")))), f"{out}/{name}.csv")
+        return back
+
+    # what follows reads the written cells and units, so the alignment runs once
+    cells, units = kept("cells", m.cells), kept("units", m.units)
+    for name, df in (("review", m.review), ("reorder_repairs", m.repairs), ("chapter_order", m.orders)):
+        kept(name, df)
+    columns = spark.createDataFrame([(w,) for w in witnesses], "witness string")
+    kept("structure", structure(cells, units.select("chapter").distinct(), columns))
+    for dim in ("status", *DIMS):
+        kept(f"wide_{dim}", wide(cells, dim, witnesses))
     spark.createDataFrame([(json.dumps(manifest | {"reference_grade": m.grade}, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/manifest")
 
 
