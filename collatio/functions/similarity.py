@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 
 def grams(c: Column, n: int, whole: bool = True) -> Column:
     """Distinct character n-grams; a shorter text is its own gram (with ``whole``) or has none."""
-    several = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substr(c, i, F.lit(n))))
+    # characters once, then neighbours joined: linear, where a substring per place would not be
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    count = F.greatest(F.lit(0), F.length(c) - n + 1)
+    several = F.slice(chars, F.lit(1), count)
+    for k in range(1, n):
+        several = F.zip_with(several, F.slice(chars, F.lit(k + 1), count), lambda a, b: F.concat(a, b))
+    several = F.array_distinct(several)
     none = F.array().cast("array<string>")
     short = F.when(F.length(c) > 0, F.array(c)).otherwise(none) if whole else none
     return F.when(F.length(c) >= n, several).otherwise(short)

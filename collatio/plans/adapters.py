@@ -68,11 +68,11 @@ MATRIX = f"{UNITS}, {RAW}, {CELLS}"
 def turns(spark: SparkSession, d: str, role: str) -> DataFrame:
     """One side of a chapter pair: a conversation's turns of a role; length in words, payload the text."""
     c = table(spark, d, "conversations").where(F.col("role") == role)
-    return c.select(F.col("conv_id").cast("string").alias("grp"), F.col("turn").alias("seq"), F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("length"), F.substring("text", 1, 200).alias("payload"))
+    return c.select(F.col("conv_id").cast("string").alias("grp"), F.col("turn").alias("seq"), F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("length"), F.col("text").alias("payload"))
 
 
 def turns_sql(name: str, role: str) -> str:
-    return f"{name} AS (SELECT conv_id::VARCHAR AS grp, turn AS seq, len(string_split_regex(trim(text), '\\s+'))::BIGINT AS length, substr(text, 1, 200) AS payload, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role = '{role}')"
+    return f"{name} AS (SELECT conv_id::VARCHAR AS grp, turn AS seq, len(string_split_regex(trim(text), '\\s+'))::BIGINT AS length, text AS payload, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role = '{role}')"
 
 
 def yearly_orders(spark: SparkSession, d: str) -> DataFrame:

@@ -179,9 +179,9 @@ def dice_sql(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN 2.0::DOUBLE * len(list_intersect({g[a]}, {g[b]})) / (len({g[a]}) + len({g[b]})) ELSE 0.0::DOUBLE END"
 
 
-@query(f"""WITH p AS (SELECT x.conv_id, x.turn, substr(x.text, 1, 200) AS a, substr(y.text, 1, 200) AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) SELECT conv_id, turn, round({dice_sql('a', 'b')}, 4) AS dice FROM p""")
+@query(f"""WITH p AS (SELECT x.conv_id, x.turn, x.text AS a, y.text AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) SELECT conv_id, turn, round({dice_sql('a', 'b')}, 4) AS dice FROM p""")
 def dice_bigram(spark: SparkSession, d: str) -> DataFrame:
-    a = D.table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("a"))
+    a = D.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(S.dice(F.col("a"), F.col("b")), 4).alias("dice"))
 
