@@ -47,7 +47,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     else:
         grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, 42) for g in grams), np.uint64, len(grams))
+    return of_hashes(np.fromiter((digest(g, 42) for g in grams), np.uint64, len(grams)))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes; none: 0."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), STEP):
         ones += np.unpackbits(hashes[at : at + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
