@@ -1,0 +1,17 @@
+import numpy as np
+
+from collatio.llm import contextmix
+
+
+def test_production_settings_step_within_short_texts():
+    """A text of 200 words takes steps of its own: its score depends on the order of its words."""
+    s = contextmix.Settings()
+    assert len(s.cells) == 4
+    rng = np.random.default_rng(1)
+    size = sum(1 << b for b in s.cells)
+    words = [b"alpha", b"beta", b"gamma", b"delta"]
+    model = contextmix.learn(words, np.ones(4), rng.integers(0, 400, size).astype(np.int16), np.zeros(1 << s.cells[-1], np.uint8), s)
+    first, second = b" ".join(words[:1] * 100 + words[1:2] * 100), b" ".join(words[1:2] * 100 + words[:1] * 100)
+    ids, counts, vocab = contextmix.tokens([first, second, first])
+    total, _ = model.scorer(s).score(vocab, ids, counts)
+    assert abs(total[0] - total[1]) > 1e-6 and np.isclose(total[0], total[2])
