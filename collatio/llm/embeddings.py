@@ -3,7 +3,9 @@
 In each pass every vector gets the signs of seeded random projections as one long bit string;
 vectors are ordered lexicographically by (label, bit string) and each is compared with the next
 ``window`` vectors in that order. Passes differ in their projections; pairs verified in any of
-them are united. One global order serves all passes at once: it is range-partitioned with a
+them are united. A window is a lesser part of a larger group, so the number of passes grows with
+the largest group of one label and length, and passes go on until a round of them unites no two
+components. One global order serves all passes at once: it is range-partitioned with a
 unique last key, so a crowd of equal strings is spread over tasks, and cut into blocks with a
 halo of ``window`` rows, so no pair in a window is lost at a border.
 
@@ -32,12 +34,20 @@ class Passes:
     least: float = 0.93
     passes: int = 12
     window: int = 32
+    #: vectors of the largest group up to which ``passes`` are enough; beyond, they grow by this power
+    enough: int = 10_000
+    power: float = 0.25
     block: int = 512
     #: members of a component in one tile of its completion
     tile: int = 256
     seed: int = 42
 
 
+def needed(p: Passes, largest: int) -> int:
+    """Passes for groups of up to ``largest`` vectors: the chance of one window to show a pair falls as a power."""
+    return int(np.ceil(p.passes * max(largest / p.enough, 1.0) ** p.power))
+
+
 def planes(p: Passes, number: int, dim: int) -> np.ndarray:
     return np.random.default_rng([p.seed, number, dim]).standard_normal((dim, 63))
 
@@ -57,7 +67,7 @@ def classes(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFra
     return cut(same).withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("vec"))
 
 
-def _signed(distinct: DataFrame, p: Passes) -> DataFrame:
+def _signed(distinct: DataFrame, p: Passes, numbers: range) -> DataFrame:
     """``(cid, label, dim, pass, sig)``: a row for each class and pass."""
     kind = distinct.schema["label"].dataType.simpleString()
 
@@ -68,7 +78,7 @@ def _signed(distinct: DataFrame, p: Passes) -> DataFrame:
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 rows = unit_rows(part.column("vec"))
-                for number in range(p.passes):
+                for number in numbers:
                     sig = ((rows @ planes(p, number, int(dim)) > 0) * weights).sum(axis=1)
                     yield pa.RecordBatch.from_arrays(
                         [part.column("cid"), part.column("label"), part.column("dim"), pa.array(np.full(len(sig), number, np.int32)), pa.array(sig)], names=["cid", "label", "dim", "pass", "sig"]
@@ -87,12 +97,12 @@ def _ranked(signed: DataFrame) -> DataFrame:
     return ordered.join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + F.col("place")).drop("part", "place", "offset")
 
 
-def window_pairs(distinct: DataFrame, p: Passes) -> DataFrame:
+def window_pairs(distinct: DataFrame, p: Passes, numbers: range | None = None) -> DataFrame:
     """``(a, b)``, a < b: classes of one label within a window of some pass whose cosine is enough."""
     block = F.floor(F.col("rank") / p.block)
     halo = (F.col("rank") % p.block < p.window) & (F.col("rank") >= p.block)
     blocks = F.explode(F.when(halo, F.array(block, block - 1)).otherwise(F.array(block)))
-    dealt = _ranked(_signed(distinct, p)).select("cid", "label", "dim", "pass", "rank", blocks.alias("block"))
+    dealt = _ranked(_signed(distinct, p, range(p.passes) if numbers is None else numbers)).select("cid", "label", "dim", "pass", "rank", blocks.alias("block"))
     full = dealt.join(distinct.select("cid", "vec"), "cid").select("block", "rank", "pass", "label", "cid", "dim", "vec")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -117,6 +127,26 @@ def window_pairs(distinct: DataFrame, p: Passes) -> DataFrame:
     return full.groupBy("block").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _rounds(distinct: DataFrame, p: Passes) -> tuple[DataFrame, DataFrame]:
+    """The pairs found and their components, after as many passes as the groups need and until a round unites nothing."""
+    largest = distinct.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    done = needed(p, largest)
+    pairs = cut(window_pairs(distinct, p, range(done)))
+    linked = cut(components(pairs).withColumnRenamed("node", "cid"))
+    while True:
+        more = cut(window_pairs(distinct, p, range(done, done + p.passes)))
+        done += p.passes
+        ends = more
+        for end in ("a", "b"):
+            named = linked.select(F.col("cid").alias(end), F.col("component").alias(f"in_{end}"))
+            ends = ends.join(named, end, "left").withColumn(f"in_{end}", F.coalesce(f"in_{end}", end))
+        united = not ends.where("in_a <> in_b").isEmpty()
+        pairs = cut(pairs.union(more).distinct())
+        if not united:
+            return pairs, linked
+        linked = cut(components(pairs).withColumnRenamed("node", "cid"))
+
+
 def _complete(members: DataFrame, p: Passes) -> DataFrame:
     """``(cid, links)`` for ``members(component, size, cid, n, vec)``: links of each class inside its component."""
     tiles = F.ceil(F.col("size") / p.tile).cast("long")
@@ -151,8 +181,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     """
     p = passes or Passes()
     distinct = classes(df, id_col, vec_col, label_col)
-    pairs = cut(window_pairs(distinct, p))
-    linked = cut(components(pairs).withColumnRenamed("node", "cid"))
+    pairs, linked = _rounds(distinct, p)
     sizes = linked.groupBy("component").agg(F.count("*").alias("size"))
     found = pairs.select(F.col("a").alias("cid")).join(linked, "cid").groupBy("component").agg(F.count("*").alias("pairs"))
     state = sizes.join(found, "component").withColumn("whole", F.col("pairs") * 2 == F.col("size") * (F.col("size") - 1))
