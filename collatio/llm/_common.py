@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Words are maximal runs outside ASCII white space; ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,19 +22,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: a lost executor costs no recomputation.
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) a
-    temporary one is made.
+    Only where none is set and all runs in this one process (tests) a temporary one is made.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _LOCAL.get("folder") or _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="collatio-checkpoint-"))
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="collatio-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table: for wide rows, of which later steps read some columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, order: Sequence[str], **sums: str) -> DataFrame:
+    """``df`` with, for each ``name=expression``, the expression's sum over all rows before in ``order``.
+
+    No task sees more than a partition of the order: rows are range-partitioned, summed by
+    partition, and the partitions' offsets (one row each) are added. Keys should be unique.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).select("*", *(F.expr(e).alias(f"_v_{n}") for n, e in sums.items())))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("_part").agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums)).select("_part", *(F.sum(f"_s_{n}").over(ahead).alias(f"_o_{n}") for n in sums))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.select("*", *(F.sum(f"_v_{n}").over(inside).alias(f"_i_{n}") for n in sums))
+    zero = F.lit(0)
+    return own.join(F.broadcast(offsets), "_part").select(*df.columns, *((F.coalesce(f"_o_{n}", zero) + F.coalesce(f"_i_{n}", zero)).alias(n) for n in sums))
+
+
 def slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` with about ``budget`` bytes of ``column`` each, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
