@@ -1,10 +1,12 @@
 """Language identification: which languages a text mixes, and in what proportions.
 
-Every language has a distribution over hashed character n-grams, learnt from labelled texts.
+Every language has a distribution over hashed n-grams of characters, learnt from labelled texts.
 A word's likelihood under a language is that of its n-grams; a text is a mixture of languages
 word by word, its proportions estimated by expectation-maximisation. Sets of languages, the
-largest proportions first, are compared by likelihood less a penalty for each further language
-(half the logarithm of the number of words, as in the Bayesian information criterion).
+largest proportions first, of every size up to all, are compared by likelihood less a penalty for
+each further language (half the logarithm of the number of words, as in the Bayesian information
+criterion). No set fits better than all languages do, so a text's larger sets are left out once
+that bound less their penalty is below the best value found.
 """
 
 from __future__ import annotations
@@ -26,31 +28,30 @@ class Settings:
     buckets: int = 1 << 16
     lengths: tuple[int, ...] = (1, 2, 3, 4)
     smoothing: float = 0.5
-    #: most languages in a set that is tried, besides all
-    most: int = 3
     rounds: int = 10
     penalty: float = 1.0
     #: least likelihood of a word under a language, relative to its best language
     floor: float = 1e-4
 
 
-def grams(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def grams(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of each word (with its ends marked by blanks), and their number by word."""
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint64)
-    lengths = np.array([len(w) for w in words], np.int64) + 2
+    data = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     starts = np.cumsum(lengths) - lengths - np.arange(len(words))  # neighbours share their blank
     word = np.repeat(np.arange(len(words)), lengths)
     at = ranges(starts, lengths)
-    left = np.repeat(starts + lengths, lengths) - at  # bytes to the word's end
+    left = np.repeat(starts + lengths, lengths) - at  # characters to the word's end
     out, owner = [], []
     with np.errstate(over="ignore"):
         for n in s.lengths:
             ok = left >= n
-            code = np.full(int(ok.sum()), n, np.uint64)
+            place = at[ok]
+            code = np.full(len(place), n, np.uint64)
             for j in range(n):
-                code = code << np.uint64(8) | data[at[ok] + j]
+                code = code * np.uint64(0x100000001B3) + data[place + j]
             out.append((code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % s.buckets)
             owner.append(word[ok])
     owner = np.concatenate(owner)
@@ -61,12 +62,12 @@ def grams(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
 OTHERS = re.compile(r"[\W\d_]+")
 
 
-def letters(word: bytes) -> bytes:
+def letters(word: bytes) -> str:
     """The word's letters, lower-cased; empty where it has none."""
     if word.isalpha() or (word := word.strip(b".,;:!?|\"'()*#$%&")).isalpha():  # ASCII letters only
-        return word.lower()
+        return word.lower().decode()
     left = OTHERS.sub("", word.decode("utf-8", "replace").lower())
-    return (left if left.isalpha() else "".join(filter(str.isalpha, left))).encode()
+    return left if left.isalpha() else "".join(filter(str.isalpha, left))
 
 
 def _learn(df: DataFrame, s: Settings) -> DataFrame:
@@ -130,29 +131,44 @@ SETTLED = 1e-3
 
 
 def infer(texts: list[bytes], logs: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions by text (all 0 without letters), and which texts have letters."""
+    """Proportions by text (all 0 without letters), and how far the mixture is above chance.
+
+    The latter is the mean log likelihood of an n-gram over that of a uniform choice of buckets.
+    """
     words = Words(texts)
     own = [letters(w) for w in words.vocab]
     real = np.array([bool(w) for w in own], bool)
     bucket, each = grams([w for w in own if w], s)
-    ll = np.zeros((len(own), len(logs)))
-    ll[real] = np.stack([segment_sums(row[bucket].astype(np.float64), each) for row in logs], axis=1) / len(s.lengths) if len(bucket) else 0.0
-    lik = np.maximum(np.exp(ll - ll.max(axis=1, keepdims=True)), s.floor) if len(own) else ll
+    ll, size = np.zeros((len(own), len(logs))), np.zeros(len(own))
+    if len(bucket):
+        ll[real] = np.stack([segment_sums(row[bucket].astype(np.float64), each) for row in logs], axis=1) / len(s.lengths)
+        size[real] = each / len(s.lengths)
+    top = ll.max(axis=1) if len(own) else np.zeros(0)
+    lik = np.maximum(np.exp(ll - top[:, None]), s.floor) if len(own) else ll
     text = np.repeat(np.arange(len(texts)), words.counts)
     kept = real[words.ids] if len(own) else np.zeros(0, bool)
     counts = np.bincount(text[kept], minlength=len(texts))
-    lik = lik.astype(np.float32)[words.ids[kept]]
+    ids = words.ids[kept]
+    lik = lik.astype(np.float32)[ids]
     langs = len(logs)
-    share, fit = _em(lik, counts, np.full((len(texts), langs), 1 / langs), s.rounds)
+    share, all_fit = _em(lik, counts, np.full((len(texts), langs), 1 / langs), s.rounds)
     cost = s.penalty * 0.5 * np.log(np.maximum(counts, 1))
-    best, value = share, fit - cost * (langs - 1)
+    best, fit, value = share.copy(), all_fit.copy(), all_fit - cost * (langs - 1)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-    for m in range(1, min(s.most, langs - 1) + 1):
-        first = np.where(rank < m, np.maximum(share, 1e-12), 0)
-        got, fit = _em(lik, counts, first / first.sum(axis=1, keepdims=True), s.rounds if m > 1 else 0)
-        better = fit - cost * (m - 1) >= value
-        best, value = np.where(better[:, None], got, best), np.where(better, fit - cost * (m - 1), value)
-    return np.where(counts[:, None] > 0, best, 0.0), counts > 0
+    first = np.cumsum(counts) - counts
+    for m in range(1, langs):
+        live = np.flatnonzero((all_fit - cost * (m - 1) >= value) & (counts > 0))
+        if not len(live):
+            break
+        begin = np.where(rank[live] < m, np.maximum(share[live], 1e-12), 0)
+        got, reached = _em(lik[ranges(first[live], counts[live])], counts[live], begin / begin.sum(axis=1, keepdims=True), s.rounds if m > 1 else 0)
+        worth = reached - cost[live] * (m - 1)
+        better = worth >= value[live] if m == 1 else worth > value[live]
+        at = live[better]
+        best[at], fit[at], value[at] = got[better], reached[better], worth[better]
+    size = segment_sums(size[ids], counts)
+    above = (fit + segment_sums(top[ids], counts)) / np.maximum(size, 1e-9) + np.log(s.buckets)
+    return np.where(counts[:, None] > 0, best, 0.0), np.where(counts > 0, above, 0.0)
 
 
 def held_out(id_col: Column) -> Column:
@@ -160,14 +176,16 @@ def held_out(id_col: Column) -> Column:
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per row of ``df``: ``(id, held_out, lang_pred, score, languages)``.
+    """One row per row of ``df``: ``(id, held_out, lang_pred, score, languages, above_chance)``.
 
     Learns from the rows with a language, a text and an id whose crc32 modulo 3 is not 1;
     predictions see the text alone. The columns of ``carry`` are passed on behind these. ``languages`` is the chosen
     set with proportions, ``array<struct<lang, share>>`` by falling share, ``lang_pred`` its
     first and ``score`` that share; ties go to the first language by code point. Null text, and
     text without letters, is ``und`` with score 0 and no languages, and so is all text where
-    nothing was learnt. A null id is not held out and not learnt from. Repeated rows are
+    nothing was learnt. ``above_chance`` is the mean log likelihood of the text's n-grams under its
+    mixture over that of buckets drawn at random: 0 or less means that no language explains the
+    text (0 for ``und``). A null id is not held out and not learnt from. Repeated rows are
     learnt from each time; other columns are ignored. Texts are read whole.
     """
     s = settings or Settings()
@@ -181,17 +199,17 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = byte_texts(part, "text")
-                share = infer(texts, logs, s)[0] if langs else np.zeros((len(texts), 0))
+                share, above = infer(texts, logs, s) if langs else (np.zeros((len(texts), 0)), np.zeros(len(texts)))
                 found = []
                 for row in share:
                     at = np.argsort(-row, kind="stable")
                     found.append([{"lang": langs[i], "share": min(1.0, float(row[i]))} for i in at if row[i] > 0])
                 kept = {f"carry_{i}": part.column(f"carry_{i}") for i in range(len(carry))}
-                own = {"id": part.column("id"), "held_out": part.column("held_out"), "languages": pa.array(found, kind)}
+                own = {"id": part.column("id"), "held_out": part.column("held_out"), "languages": pa.array(found, kind), "above_chance": pa.array(above)}
                 yield pa.RecordBatch.from_arrays([*own.values(), *kept.values()], names=[*own, *kept])
 
     texts = df.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
     more = "".join(f", carry_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    got = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, held_out boolean, languages array<struct<lang:string,share:double>>{more}")
+    got = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, held_out boolean, languages array<struct<lang:string,share:double>>, above_chance double{more}")
     first = F.try_element_at("languages", F.lit(1))
-    return got.select(F.col("id").alias(id_col), "held_out", F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(first["share"], F.lit(0.0)).alias("score"), "languages", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))
+    return got.select(F.col("id").alias(id_col), "held_out", F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(first["share"], F.lit(0.0)).alias("score"), "languages", "above_chance", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))
