@@ -14,7 +14,7 @@ def _star(pairs: DataFrame, keep: str) -> DataFrame:
     return pairs.join(least, "u").where(keep).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; a component is named by its least node.
 
     ``a`` and ``b`` are of one orderable type and not null. Each round is two shuffles of at
@@ -24,7 +24,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both, "v > u").distinct()
         # after a large-star step b < a: u's smaller neighbours, with u itself hung onto the least of them
@@ -36,7 +36,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -72,8 +72,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 fps = np.array([fingerprint(t, shingle) for t in byte_texts(part, "text")], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(_signed(fps))], names=["id", "fp"])
 
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, fp long")
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
 class Golay:
@@ -160,7 +160,7 @@ def near_edges(distinct: DataFrame, hot: int = 64) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 64, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``df``: ``(id, fingerprint, component_id)``.
 
-    ``component_id`` is the least id reachable over links of at most MAX_BITS differing bits,
+    Ids keep their type, which must have an order. ``component_id`` is the least id reachable over links of at most MAX_BITS differing bits,
     the row's own included. Null text counts as empty; texts without words have fingerprint 0 and
     link like any other. A null id takes part in links but names no component (a component of
     null ids only has component null); repeated rows are returned as often as they come. Columns
