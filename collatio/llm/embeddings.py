@@ -39,7 +39,7 @@ class Passes:
     power: float = 0.25
     block: int = 512
     #: members of a component in one tile of its completion
-    tile: int = 256
+    tile: int = 2048
     seed: int = 42
 
 
@@ -53,8 +53,12 @@ def planes(p: Passes, number: int, dim: int) -> np.ndarray:
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as rows of length 1 in double precision."""
+    """Vectors of one length, none zero, as rows of length 1 in double precision.
+
+    Rows are divided by their largest component first, so that no square over- or underflows.
+    """
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True)
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 
