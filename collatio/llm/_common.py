@@ -107,6 +107,15 @@ def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def run_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Like ``segment_sums`` for floating-point runs, each summed by itself."""
+    out = np.zeros(len(counts))
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some])
+    return out
+
+
 class Numbers(dict):
     """Numbers keys in the order in which they are first looked up."""
 

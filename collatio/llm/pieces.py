@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatio.llm._common import Numbers, mix64, ranges, segment_sums, slices
+from collatio.llm._common import Numbers, mix64, ranges, run_sums, segment_sums, slices
 
 #: A public model's file; a parameter everywhere, this is only the default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: A unit: a word (or 32 characters of one) with up to 16 blanks before it, blanks, or line ends.
-UNIT = re.compile(r" {0,16}[^ \n]{1,32}| {1,16}|\n{1,32}")
+#: A unit: a word with the blanks before it, blanks at the end of a line, or line ends; none is cut.
+UNIT = re.compile(r" *[^ \n]+| +|\n+")
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,8 @@ class Sampling:
     depth: float = -36.0
 
 
+#: Bytes of texts whose lattices a worker holds at once, besides those of common units.
+SLICE = 1_000_000
 #: Edges of a path looked at for alternatives, before it is known whether more can matter.
 CLOSE = 256
 
@@ -133,20 +135,48 @@ def _double_array(tree: list[dict[int, int]], ends: dict[int, int]) -> tuple[np.
 class Lattice:
     """The lattices of distinct units, as one graph. A unit of n bytes has states 0 … n.
 
-    Edges of a state are consecutive. ``q`` is an edge's probability among its state's, weighed
-    with everything behind it; ``upto`` the running sum of ``q`` inside the state.
+    Edges of a state are consecutive. ``logq`` is the logarithm of an edge's probability among its
+    state's, weighed with everything behind it; ``upto`` the running sum of these inside the state.
+    Units are added behind those that are there; ``keep`` marks the ones that stay when the rest
+    is dropped, so that a worker prepares common units once.
     """
 
+    EDGES = {"src": np.int32, "piece": np.int32, "size": np.int32, "to": np.int32, "tokens": np.int32, "logq": np.float64, "upto": np.float64}
+    STATES = {"data": np.uint8, "final": bool, "first": np.int64}
+
     def __init__(self, units: list[bytes], v: Vocabulary, alpha: float):
-        lengths = np.array([len(u) for u in units], np.int64)
+        self.v, self.alpha = v, alpha
+        for name, kind in (self.EDGES | self.STATES).items():
+            setattr(self, name, np.zeros(1, kind))
+        self.start = np.zeros(0, np.int64)
+        self.states = self.edges = self.kept_units = self.kept_states = self.kept_edges = 0
+        self.add(units)
+
+    def keep(self) -> None:
+        self.kept_units, self.kept_states, self.kept_edges = len(self.start), self.states, self.edges
+
+    def drop(self) -> None:
+        self.start, self.states, self.edges = self.start[: self.kept_units], self.kept_states, self.kept_edges
+
+    def _room(self, names: dict, used: int, more: int) -> None:
+        for name in names:
+            old = getattr(self, name)
+            if len(old) < used + more + 1:
+                new = np.zeros(used + more + more // 4 + 1, old.dtype)
+                new[: used + 1] = old[: used + 1]
+                setattr(self, name, new)
+
+    def add(self, units: list[bytes]) -> None:
+        if not units:
+            return
+        v = self.v
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
         # a zero byte ends each unit; no piece of the trie goes on with it, so a state is a byte's place
-        self.data = data = np.frombuffer(b"\0".join([*units, b""]), np.uint8).astype(np.int32)
+        data = np.frombuffer(b"\0".join([*units, b""]), np.uint8).astype(np.int32)
         states = len(data)
         ends = np.cumsum(lengths + 1) - 1
-        self.start = ends - lengths
-        self.final = np.zeros(states + 1, bool)
-        self.final[ends] = True
-        inner = ~self.final[:states]
+        inner = np.ones(states, bool)
+        inner[ends] = False
         first = np.flatnonzero(((data & 0xC0) != 0x80) & inner).astype(np.int32)
         # bytes of the character that begins at each of them
         lead = data[first]
@@ -163,32 +193,38 @@ class Lattice:
             at, node, char = at[ok], cell[ok], char[ok]
             depth += 1
             piece = v.term[node]
-            hit = piece >= 0
+            hit = np.flatnonzero(piece >= 0)
             found.append((at[hit], piece[hit]))
-            whole[at[hit & (char == depth)]] = True
+            whole[at[hit[char[hit] == depth]]] = True
         # characters without a piece of their own go byte by byte, as one edge, the last of its state
         lost = np.flatnonzero(~whole[first])
         count = np.bincount(np.concatenate([first[lost], *(f[0] for f in found)]), minlength=states)
-        self.first = np.concatenate([[0], np.cumsum(count)])
-        fill = self.first[:-1].copy()
-        edges = int(self.first[-1])
-        self.src, self.piece, size = np.zeros(edges, np.int32), np.full(edges, -1, np.int32), np.zeros(edges, np.int32)
+        opens = np.concatenate([[0], np.cumsum(count)])
+        fill = opens[:-1].copy()
+        edges = int(opens[-1])
+        self._room(self.STATES, self.states, states)
+        self._room(self.EDGES, self.edges, edges)
+        src, piece, size, to, tokens, logq, upto = (getattr(self, name)[self.edges : self.edges + edges] for name in self.EDGES)
+        piece[:] = -1
         for n in range(depth, 0, -1):  # long pieces first: they are the likelier ones
-            s, piece = found[n - 1]
+            s, p = found[n - 1]
             e = fill[s]
-            self.src[e], self.piece[e], size[e] = s, piece, n
+            src[e], piece[e], size[e] = s, p, n
             fill[s] += 1
         e = fill[first[lost]]
-        self.src[e], size[e] = first[lost], wide[lost]
-        self.size = size
-        self.to = self.src + size
-        weight = alpha * np.where(self.piece >= 0, v.weight[self.piece], v.weight[v.byte_ids[0]] * size)
-        self.tokens = np.where(self.piece >= 0, 1, size)
+        src[e], size[e] = first[lost], wide[lost]
+        np.add(src, size, out=to)
+        spelt = np.flatnonzero(piece < 0)
+        weight = v.weight[piece]
+        weight[spelt] = v.weight[v.byte_ids[0]] * size[spelt]
+        weight *= self.alpha
+        tokens[:] = 1
+        tokens[spelt] = size[spelt]
         behind = np.full(states, -np.inf)
         behind[ends] = 0.0
         # backward sums, by distance from the unit's end
         rest = np.repeat(ends, lengths + 1) - np.arange(states)
-        near = rest[first].astype(np.uint16)
+        near = rest[first].astype(np.uint16 if int(lengths.max()) < 1 << 16 else np.int64)
         order = np.argsort(near, kind="stable")
         turn = first[order]
         cuts = np.searchsorted(near[order], np.arange(1, int(near.max(initial=0)) + 2))
@@ -197,35 +233,48 @@ class Lattice:
                 continue
             s = turn[a:b]
             n = count[s]
-            e = ranges(self.first[s], n)
-            x = weight[e] + behind[self.to[e]]
+            e = ranges(opens[s], n)
+            x = weight[e] + behind[to[e]]
             begin = np.cumsum(n) - n
             top = np.maximum.reduceat(x, begin)
             behind[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), begin))
-        self.logq = weight + behind[self.to] - behind[self.src]
-        run = np.cumsum(np.exp(self.logq))
-        own = self.first[self.src]
-        self.upto = run - np.where(own > 0, run[own - 1], 0.0)
-        self.upto[self.first[1:][count > 0] - 1] = np.inf
+        np.subtract(weight + behind[to], behind[src], out=logq)
+        run = np.cumsum(np.exp(logq))
+        own = opens[src]
+        np.subtract(run, np.where(own > 0, run[own - 1], 0.0), out=upto)
+        upto[opens[1:][count > 0] - 1] = np.inf
+        src += self.states
+        to += self.states
+        self.start = np.concatenate([self.start, self.states + ends - lengths])
+        self.data[self.states : self.states + states] = data
+        self.final[self.states : self.states + states] = ~inner
+        self.first[self.states : self.states + states + 1] = opens + self.edges
+        self.states += states
+        self.edges += edges
 
     def walk(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each state to its unit's end: ``(number of edges, edges one state after the other)``."""
         owner = np.flatnonzero(~self.final[state])
-        at = state[owner]
+        at, key = state[owner], key[owner]
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         taken = np.zeros(len(state), np.int64)
         while len(owner):
-            u = uniform(key[owner] + np.uint64(len(steps)))
+            u = uniform(key)
             e = self.first[at]
             behind = np.flatnonzero(u > self.upto[e])
-            while len(behind):
-                e[behind] += 1
-                behind = behind[u[behind] > self.upto[e[behind]]]
+            if len(behind):
+                u = u[behind]
+                f = e[behind] + 1
+                open_ = np.flatnonzero(u > self.upto[f])
+                while len(open_):
+                    f[open_] += 1
+                    open_ = open_[u[open_] > self.upto[f[open_]]]
+                e[behind] = f
             steps.append((owner, e))
-            taken[owner] += 1
             at = self.to[e]
-            more = ~self.final[at]
-            owner, at = owner[more], at[more]
+            more = np.flatnonzero(~self.final[at])
+            taken[owner] = len(steps)
+            owner, at, key = owner[more], at[more], key[more] + np.uint64(1)
         out = np.zeros(int(taken.sum()), np.int64)
         begin = np.cumsum(taken) - taken
         for i, (owner, e) in enumerate(steps):
@@ -246,9 +295,9 @@ def _stream(seed: np.ndarray, kind: int) -> np.ndarray:
 
 
 def _keys(stream: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Keys 64 apart, for draws at the given places."""
+    """Keys far apart, for draws at the given places: a unit's steps are numbered between them."""
     with np.errstate(over="ignore"):
-        return stream + number.astype(np.uint64) * np.uint64(64)
+        return stream + (number.astype(np.uint64) << np.uint64(28))
 
 
 @dataclass
@@ -292,34 +341,46 @@ def sample(units: np.ndarray, counts: np.ndarray, lattice: Lattice, keys: np.nda
         taken, walked = lattice.walk(from_state, _keys(np.repeat(_stream(seed[texts], 2 + 3 * r), todo), place))
         walked_counts = segment_sums(taken, todo)
         total = prefix_counts + walked_counts
-        edges = np.zeros(int(total.sum()), np.int64)
         at = np.cumsum(total) - total
-        edges[ranges(at, prefix_counts)] = prefix
-        edges[ranges(at + prefix_counts, walked_counts)] = walked
-        logq = lattice.logq[edges]
-        path = Path(edges, total, segment_sums(logq, total), np.log(now["time"]))
+        if len(prefix):
+            edges = np.zeros(int(total.sum()), np.int64)
+            later = np.ones(len(edges), bool)
+            ahead = ranges(at, prefix_counts)
+            later[ahead] = False
+            edges[ahead], edges[later] = prefix, walked
+        else:
+            edges = walked
+        path = Path(edges, total, run_sums(lattice.logq[edges], total), np.log(now["time"]))
         rounds.append((texts, path))
-        # alternatives beside the walked part, where the path is likely enough for them to matter
-        run = np.cumsum(logq) - logq
-        run -= np.repeat(run[at[total > 0]], total[total > 0])
+        # alternatives beside the walked part, where the path is likely enough for them to matter:
+        # looked for among the first edges, and among all where these do not make it unlikely
         close = np.minimum(prefix_counts + CLOSE, total)
-        on = (close < total) & (run[np.minimum(at + close, max(len(run) - 1, 0))] > s.depth) if len(run) else close < 0
-        beside = np.where(on, total, close) - prefix_counts
-        fresh = ranges(at + prefix_counts, beside)
-        owner = np.repeat(np.arange(len(texts)), beside)
-        likely = run[fresh] > s.depth
-        fresh, owner = fresh[likely], owner[likely]
+        while True:
+            near = ranges(at, close)
+            logq = lattice.logq[edges[near]]
+            run = np.cumsum(logq) - logq
+            lead = np.cumsum(close) - close
+            run -= np.repeat(run[lead[close > 0]], close[close > 0])
+            ends = lead + close - 1
+            on = (close < total) & (close > 0)
+            on[on] = run[ends[on]] + logq[ends[on]] > s.depth
+            if not on.any():
+                break
+            close = np.where(on, np.minimum(2 * close + CLOSE, total), close)
+        mine = np.repeat(np.arange(len(texts)), close)
+        likely = (run > s.depth) & (near - at[mine] >= prefix_counts[mine])
+        fresh, owner, before = near[likely], mine[likely], run[likely]
         state_of = lattice.src[edges[fresh]]
         degree = lattice.first[state_of + 1] - lattice.first[state_of]
         other = ranges(lattice.first[state_of], degree)
-        spot, who = np.repeat(fresh, degree), np.repeat(owner, degree)
+        spot, who, before = np.repeat(fresh, degree), np.repeat(owner, degree), np.repeat(before, degree)
         keep = other != edges[spot]
-        other, spot, who = other[keep], spot[keep], who[keep]
+        other, spot, who, before = other[keep], spot[keep], who[keep], before[keep]
         where = spot - at[who]
         e = -np.log(uniform(_keys(_stream(seed[texts], 3 + 3 * r)[who], where * 32 + (other - lattice.first[lattice.src[other]]))))
         new = {
-            "text": texts[who], "time": now["time"][who] + e * np.exp(-(run[spot] + lattice.logq[other])), "round": np.full(len(who), r),
-            "place": where, "edge": other, "before": run[spot],
+            "text": texts[who], "time": now["time"][who] + e * np.exp(-(before + lattice.logq[other])), "round": np.full(len(who), r),
+            "place": where, "edge": other, "before": before,
         }
         queue = {k: np.concatenate([queue[k], new[k]]) for k in queue}
         order = np.lexsort((queue["time"], queue["text"]))
@@ -381,17 +442,39 @@ class Decoder:
         return [joined[a + 1 : b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def encode_samples(texts: list[str], keys: np.ndarray, v: Vocabulary, s: Sampling) -> tuple[Lattice, list[tuple[np.ndarray, Path]], np.ndarray]:
-    seen = Numbers()
-    units: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = UNIT.findall(f" {text}") if text else []
-        counts[i] = len(own)
-        units.extend(map(seen.__getitem__, own))
-    lattice = Lattice([u.encode() for u in seen], v, s.alpha)
-    rounds, after = sample(np.array(units, np.int64), counts, lattice, keys, s)
-    return lattice, rounds, after
+class Encoder:
+    """Samples segmentations of texts; the units common in the first texts are prepared once."""
+
+    def __init__(self, v: Vocabulary, s: Sampling):
+        self.v, self.s, self.common, self.lattice = v, s, Numbers(), Lattice([], v, s.alpha)
+
+    def __call__(self, texts: list[str], keys: np.ndarray) -> tuple[Lattice, list[tuple[np.ndarray, Path]], np.ndarray]:
+        fresh = not self.common
+        seen = Numbers(self.common)
+        units: list[int] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = UNIT.findall(f" {text}") if text else []
+            counts[i] = len(own)
+            units.extend(map(seen.__getitem__, own))
+        ids = np.array(units, np.int64)
+        names = list(seen)
+        if fresh and names:
+            times = np.bincount(ids, minlength=len(names))
+            often = np.flatnonzero((times > 1) & (np.fromiter(map(len, names), np.int64, len(names)) <= 64))
+            self.common = Numbers((names[i], n) for n, i in enumerate(often.tolist()))
+            self.lattice.add([names[i].encode() for i in often])
+            self.lattice.keep()
+            others = np.setdiff1d(np.arange(len(names)), often)
+            self.lattice.add([names[i].encode() for i in others])
+            place = np.empty(len(names), np.int64)
+            place[often], place[others] = np.arange(len(often)), len(often) + np.arange(len(others))
+            ids = place[ids]
+        else:
+            self.lattice.drop()
+            self.lattice.add([u.encode() for u in names[len(self.common) :]])
+        rounds, after = sample(ids, counts, self.lattice, keys, self.s)
+        return self.lattice, rounds, after
 
 
 def sample_encodings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampling: Sampling | None = None, model: str = MODEL) -> DataFrame:
@@ -401,8 +484,8 @@ def sample_encodings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fewer segmentations gets them all, each with inclusion score 1 (logarithm 0). Null and empty
     texts have one segmentation, the empty one. ``round_trip``: the ids decode to the text
     exactly. Samples depend on id and text alone: rows that repeat get equal samples, null ids
-    share a key. Other columns are ignored. Texts are encoded whole, some hundred thousand
-    characters of them at a time (a longer text by itself).
+    share a key. Other columns are ignored. Texts are encoded whole, about a million bytes of them
+    at a time (a longer text by itself).
     """
     s = sampling or Sampling()
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(model))
@@ -411,15 +494,15 @@ def sample_encodings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        decode = Decoder(v)
+        decode, encoder = Decoder(v), Encoder(v, s)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                lattice, rounds, after = encode_samples(texts, part.column("key").to_numpy().view(np.uint64), v, s)
+                lattice, rounds, after = encoder(texts, part.column("key").to_numpy().view(np.uint64))
+                coded = [t.encode() for t in texts]
                 for r, (at, path) in enumerate(rounds):
                     ids, counts = token_ids(path, lattice, v)
-                    back = decode(ids, counts)
-                    same = [b == texts[i].encode() for b, i in zip(back, at.tolist())]
+                    same = [b == coded[i] for b, i in zip(decode(ids, counts), at.tolist())]
                     with np.errstate(divide="ignore", over="ignore"):
                         x = path.log_prob + np.log(after[at])
                         inclusion = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 700)))))

@@ -277,7 +277,7 @@ def test_samples_follow_the_lattice():
     weight = np.array([math.exp(s.alpha * sum(v.weight[ids[p]] for p in c)) for c in every])
     p = dict(zip((tuple(ids[x] for x in c) for c in every), weight / weight.sum()))
     n = 4000
-    lattice, rounds, after = pieces.encode_samples(["the"] * n, np.arange(n, dtype=np.uint64), v, s)
+    lattice, rounds, after = pieces.Encoder(v, s)(["the"] * n, np.arange(n, dtype=np.uint64))
     first, both = Counter(), Counter()
     for texts, path in rounds:
         tokens, counts = pieces.token_ids(path, lattice, v)
