@@ -49,8 +49,10 @@ class Sampling:
     depth: float = -36.0
 
 
-#: Bytes of texts whose lattices a worker holds at once, besides those of common units.
-SLICE = 1_000_000
+#: Bytes of texts whose lattices a worker holds at once, besides those of common units: what a core's cache holds.
+SLICE = 400_000
+#: Bytes before a unit's end over which products of weights stay far above the least double.
+PLAIN = 100
 #: Edges of a path looked at for alternatives, before it is known whether more can matter.
 CLOSE = 256
 
@@ -181,7 +183,9 @@ class Lattice:
         # bytes of the character that begins at each of them
         lead = data[first]
         wide = (1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)).astype(np.int32)
-        at, node, char = first, np.zeros(len(first), np.int32), wide
+        width = np.zeros(states, np.int8)
+        width[first] = wide
+        at, node = first, np.zeros(len(first), np.int32)
         whole = np.zeros(states, bool)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         depth = 0
@@ -190,12 +194,14 @@ class Lattice:
             ok = v.check[cell] == node
             if depth == 0:
                 ok &= data[at] != 0
-            at, node, char = at[ok], cell[ok], char[ok]
+            some = np.flatnonzero(ok)
+            at, node = at[some], cell[some]
             depth += 1
             piece = v.term[node]
             hit = np.flatnonzero(piece >= 0)
-            found.append((at[hit], piece[hit]))
-            whole[at[hit[char[hit] == depth]]] = True
+            here = at[hit]
+            found.append((here, piece[hit]))
+            whole[here[width[here] == depth]] = True
         # characters without a piece of their own go byte by byte, as one edge, the last of its state
         lost = np.flatnonzero(~whole[first])
         count = np.bincount(np.concatenate([first[lost], *(f[0] for f in found)]), minlength=states)
@@ -220,26 +226,38 @@ class Lattice:
         weight *= self.alpha
         tokens[:] = 1
         tokens[spelt] = size[spelt]
-        behind = np.full(states, -np.inf)
-        behind[ends] = 0.0
-        # backward sums, by distance from the unit's end
+        # backward sums, by distance from the unit's end: near to it as they are, further on as logarithms
         rest = np.repeat(ends, lengths + 1) - np.arange(states)
-        near = rest[first].astype(np.uint16 if int(lengths.max()) < 1 << 16 else np.int64)
+        longest = int(lengths.max())
+        near = rest[first].astype(np.uint16 if longest < 1 << 16 else np.int64)
         order = np.argsort(near, kind="stable")
         turn = first[order]
-        cuts = np.searchsorted(near[order], np.arange(1, int(near.max(initial=0)) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            s = turn[a:b]
-            n = count[s]
-            e = ranges(opens[s], n)
-            x = weight[e] + behind[to[e]]
-            begin = np.cumsum(n) - n
-            top = np.maximum.reduceat(x, begin)
-            behind[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), begin))
-        np.subtract(weight + behind[to], behind[src], out=logq)
-        run = np.cumsum(np.exp(logq))
+        cuts = np.searchsorted(near[order], np.arange(1, longest + 2))
+        plain, behind = np.exp(weight), np.zeros(states)
+        behind[ends] = 1.0
+        for a, b in zip(cuts[:PLAIN], cuts[1 : PLAIN + 1]):
+            if a < b:
+                s = turn[a:b]
+                n = count[s]
+                e = ranges(opens[s], n)
+                behind[s] = np.add.reduceat(plain[e] * behind[to[e]], np.cumsum(n) - n)
+        if longest > PLAIN:
+            logs = np.log(np.maximum(behind, 1e-300))
+            for a, b in zip(cuts[PLAIN:-1], cuts[PLAIN + 1 :]):
+                if a < b:
+                    s = turn[a:b]
+                    n = count[s]
+                    e = ranges(opens[s], n)
+                    x = weight[e] + logs[to[e]]
+                    begin = np.cumsum(n) - n
+                    top = np.maximum.reduceat(x, begin)
+                    logs[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), begin))
+            np.subtract(weight + logs[to], logs[src], out=logq)
+            share = np.exp(logq)
+        else:
+            share = plain * behind[to] / behind[src]
+            np.log(share, out=logq)
+        run = np.cumsum(share)
         own = opens[src]
         np.subtract(run, np.where(own > 0, run[own - 1], 0.0), out=upto)
         upto[opens[1:][count > 0] - 1] = np.inf
@@ -254,8 +272,7 @@ class Lattice:
 
     def walk(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each state to its unit's end: ``(number of edges, edges one state after the other)``."""
-        owner = np.flatnonzero(~self.final[state])
-        at, key = state[owner], key[owner]
+        owner, at = np.arange(len(state)), state  # no unit is empty, so each state has an edge
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         taken = np.zeros(len(state), np.int64)
         while len(owner):
@@ -343,11 +360,9 @@ def sample(units: np.ndarray, counts: np.ndarray, lattice: Lattice, keys: np.nda
         total = prefix_counts + walked_counts
         at = np.cumsum(total) - total
         if len(prefix):
-            edges = np.zeros(int(total.sum()), np.int64)
-            later = np.ones(len(edges), bool)
-            ahead = ranges(at, prefix_counts)
-            later[ahead] = False
-            edges[ahead], edges[later] = prefix, walked
+            ends, rest = np.cumsum(prefix_counts).tolist(), np.cumsum(walked_counts).tolist()
+            parts = zip([0, *ends], ends, [0, *rest], rest)
+            edges = np.concatenate([x for a, b, c, d in parts for x in (prefix[a:b], walked[c:d])])
         else:
             edges = walked
         path = Path(edges, total, run_sums(lattice.logq[edges], total), np.log(now["time"]))
@@ -418,12 +433,13 @@ def _prefixes(now: dict[str, np.ndarray], rounds: list[tuple[np.ndarray, Path]],
 
 def token_ids(path: Path, lattice: Lattice, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts' tokens, and their number by text; byte edges become byte pieces."""
+    ids = lattice.piece[path.edges]
+    spelt = np.flatnonzero(ids < 0)
+    if not len(spelt):
+        return ids, path.counts
     each = lattice.tokens[path.edges]
-    ids = np.repeat(lattice.piece[path.edges], each)
-    spelt = np.flatnonzero(lattice.piece[path.edges] < 0)
-    if len(spelt):
-        e = path.edges[spelt]
-        ids[ids < 0] = v.byte_ids[lattice.data[ranges(lattice.src[e], lattice.size[e])]]
+    ids, e = np.repeat(ids, each), path.edges[spelt]
+    ids[ids < 0] = v.byte_ids[lattice.data[ranges(lattice.src[e], lattice.size[e])]]
     return ids, segment_sums(each, path.counts)
 
 
@@ -484,8 +500,8 @@ def sample_encodings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fewer segmentations gets them all, each with inclusion score 1 (logarithm 0). Null and empty
     texts have one segmentation, the empty one. ``round_trip``: the ids decode to the text
     exactly. Samples depend on id and text alone: rows that repeat get equal samples, null ids
-    share a key. Other columns are ignored. Texts are encoded whole, about a million bytes of them
-    at a time (a longer text by itself).
+    share a key. Other columns are ignored. Texts are encoded whole, some hundred thousand bytes of
+    them at a time (a longer text by itself).
     """
     s = sampling or Sampling()
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(model))
