@@ -21,7 +21,9 @@ gets the same samples wherever it is computed.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -160,6 +162,10 @@ class Lattice:
     def drop(self) -> None:
         self.start, self.states, self.edges = self.start[: self.kept_units], self.kept_states, self.kept_edges
 
+    def reset(self) -> None:
+        self.kept_units = self.kept_states = self.kept_edges = 0
+        self.drop()
+
     def _room(self, names: dict, used: int, more: int) -> None:
         for name in names:
             old = getattr(self, name)
@@ -458,38 +464,43 @@ class Decoder:
         return [joined[a + 1 : b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
+#: Slices after which a worker chooses its common units anew, and how many it keeps.
+CHOOSE, COMMON = (1, 4, 12), 40_000
+
+
 class Encoder:
-    """Samples segmentations of texts; the units common in the first texts are prepared once."""
+    """Samples segmentations of texts; the units that were common in the first slices are prepared once."""
 
     def __init__(self, v: Vocabulary, s: Sampling):
         self.v, self.s, self.common, self.lattice = v, s, Numbers(), Lattice([], v, s.alpha)
+        self.slices, self.times = 0, Counter()
+
+    def _choose(self) -> None:
+        """Units seen twice, the most frequent ones: from now on the first of the lattice."""
+        often = [u for u, n in self.times.most_common(COMMON) if n > 1 and len(u) <= 64]
+        self.common = Numbers((u, i) for i, u in enumerate(often))
+        self.lattice.reset()
+        self.lattice.add([u.encode() for u in often])
+        self.lattice.keep()
 
     def __call__(self, texts: list[str], keys: np.ndarray) -> tuple[Lattice, list[tuple[np.ndarray, Path]], np.ndarray]:
-        fresh = not self.common
+        found = [UNIT.findall(f" {text}") if text else [] for text in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(texts))
+        if self.slices < CHOOSE[-1]:
+            for own in found:
+                self.times.update(own)
+            self.slices += 1
+            if self.slices in CHOOSE:
+                self._choose()
+            if self.slices == CHOOSE[-1]:
+                self.times.clear()
         seen = Numbers(self.common)
         units: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = UNIT.findall(f" {text}") if text else []
-            counts[i] = len(own)
+        for own in found:
             units.extend(map(seen.__getitem__, own))
-        ids = np.array(units, np.int64)
-        names = list(seen)
-        if fresh and names:
-            times = np.bincount(ids, minlength=len(names))
-            often = np.flatnonzero((times > 1) & (np.fromiter(map(len, names), np.int64, len(names)) <= 64))
-            self.common = Numbers((names[i], n) for n, i in enumerate(often.tolist()))
-            self.lattice.add([names[i].encode() for i in often])
-            self.lattice.keep()
-            others = np.setdiff1d(np.arange(len(names)), often)
-            self.lattice.add([names[i].encode() for i in others])
-            place = np.empty(len(names), np.int64)
-            place[often], place[others] = np.arange(len(often)), len(often) + np.arange(len(others))
-            ids = place[ids]
-        else:
-            self.lattice.drop()
-            self.lattice.add([u.encode() for u in names[len(self.common) :]])
-        rounds, after = sample(ids, counts, self.lattice, keys, self.s)
+        self.lattice.drop()
+        self.lattice.add([u.encode() for u in itertools.islice(seen, len(self.common), None)])
+        rounds, after = sample(np.array(units, np.int64), counts, self.lattice, keys, self.s)
         return self.lattice, rounds, after
 
 
