@@ -24,11 +24,19 @@ def grams(c: Column, n: int, whole: bool = True) -> Column:
     return F.when(F.length(c) >= n, several).otherwise(short)
 
 
+def dice_grams(c: Column) -> Column:
+    """Distinct characters and pairs of characters: what ``dice`` compares, to be made once a text."""
+    return F.array_distinct(F.concat(grams(c, 1), grams(c, 2)))
+
+
+def dice_of(a: Column, b: Column) -> Column:
+    """Dice coefficient of two lists of distinct n-grams; 0 if a side is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
+
+
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient over characters and pairs of characters; 0 if a side is empty."""
-    ga, gb = (F.array_distinct(F.concat(grams(x, 1), grams(x, 2))) for x in (a, b))
-    both = F.size(ga) + F.size(gb)
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), 2.0 * F.size(F.array_intersect(ga, gb)) / both).otherwise(F.lit(0.0))
+    return dice_of(dice_grams(a), dice_grams(b))
 
 
 def squeeze(c: Column) -> Column:

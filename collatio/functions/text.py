@@ -5,6 +5,7 @@ All are built-in expressions (code-point semantics); only NFC, which Spark lacks
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -142,6 +143,12 @@ def sa_normalize(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"(?U)[|।॥\d.\-()\[\]]+", " "), r"(?U)\s+", " "))
 
 
+def sa_normalized(text: str) -> str:
+    """``sa_normalize`` of a constant."""
+    low = unicodedata.normalize("NFC", text.strip().lower())
+    return re.sub(r"\s+", " ", re.sub(r"[|।॥\d.\-()\[\]]+", " ", low)).strip()
+
+
 def sa_length(c: Column) -> Column:
     return F.regexp_count(sa_normalize(c), F.lit(SA_VOWELS)).cast("long")
 

@@ -9,7 +9,7 @@ partitioning and memory is one chapter's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,9 +53,9 @@ class CharGrams:
         return [set(t) | {t[j : j + 2] for j in range(len(t) - 1)} for t in joined]
 
     def compare(self, a: list, b: list) -> np.ndarray:
-        x, y, _ = _incidence(a, b)
-        size = x.sum(axis=1)[:, None] + y.sum(axis=1)
-        return np.where(size > 0, 2 * (x @ y.T) / np.maximum(size, 1), 0.0) * ((x.sum(axis=1) > 0)[:, None] & (y.sum(axis=1) > 0))
+        both, x, y = _shared(a, b)
+        size = x[:, None] + y
+        return np.where((x > 0)[:, None] & (y > 0), 2 * both / np.maximum(size, 1), 0.0)
 
     def marked(self, a: list, b: list) -> np.ndarray:
         return np.zeros((len(a), len(b)), bool)
@@ -70,10 +70,8 @@ class Anchors:
         return [set().union(*map(set, payloads[i : i + k])) for i in range(len(payloads) - k + 1)]
 
     def compare(self, a: list, b: list) -> np.ndarray:
-        x, y, keys = _incidence(a, b)
-        w = np.array([2.0 if key.startswith("num:") else 1.0 for key in keys])
-        both = (x * w) @ y.T
-        union = (x @ w)[:, None] + y @ w - both
+        both, x, y = _shared(a, b, lambda key: 2.0 if key.startswith("num:") else 1.0)
+        union = x[:, None] + y - both
         return np.where(union > 0, both / np.maximum(union, 1e-300), 0.0)
 
     def marked(self, a: list, b: list) -> np.ndarray:
@@ -124,16 +122,40 @@ def backend(name: str, weight: float = 0.8):
     return kinds[name]()
 
 
-def _incidence(a: list[set], b: list[set]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    keys = sorted(set().union(*a, *b))
+#: Keys that are compared at once: a side's part is a dense matrix of its spans and so many keys.
+TILE = 4096
+
+
+def _shared(a: list[set], b: list[set], weigh: Callable[[str], float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weight of the keys that each pair of sets shares, and each set's own weight.
+
+    Only keys of both sides are compared, a tile of them at a time.
+    """
+    own = [np.array([float(sum(map(weigh, s))) if weigh else float(len(s)) for s in side]) for side in (a, b)]
+    keys = sorted(set().union(*a) & set().union(*b))
     place = {k: i for i, k in enumerate(keys)}
-    out = []
+    sides = []
     for side in (a, b):
-        m = np.zeros((len(side), len(keys)))
-        for r, s in enumerate(side):
-            m[r, [place[k] for k in s]] = 1
-        out.append(m)
-    return out[0], out[1], keys
+        at = [[place[k] for k in s if k in place] for s in side]
+        row = np.repeat(np.arange(len(side)), [len(x) for x in at])
+        key = np.fromiter((k for x in at for k in x), np.int64, len(row))
+        order = np.argsort(key, kind="stable")
+        sides.append((row[order], key[order], len(side)))
+    weight = np.array([weigh(k) for k in keys], np.float32) if weigh else np.ones(len(keys), np.float32)
+    both = np.zeros((len(a), len(b)))
+    for begin in range(0, len(keys), TILE):
+        tiles = []
+        for row, key, n in sides:
+            part = slice(*np.searchsorted(key, (begin, begin + TILE)))
+            tile = np.zeros((n, min(TILE, len(keys) - begin)), np.float32)
+            tile[row[part], key[part] - begin] = 1
+            tiles.append(tile)
+        both += (tiles[0] * weight[begin : begin + TILE]) @ tiles[1].T
+    return both, *own
+
+
+#: Costs this near to each other are equal: what is left is rounding.
+EVEN = 1e-9
 
 
 def solve(ref_len: Sequence[float], wit_len: Sequence[float], ref: Sequence, wit: Sequence, sim, p: Params, ratio: float | None = None) -> list[tuple[list[int], list[int], float, float]]:
@@ -175,7 +197,7 @@ def solve(ref_len: Sequence[float], wit_len: Sequence[float], ref: Sequence, wit
             a, b = i[ok] - k, j[ok] - l
             v = best[a, b] + (cost[k, l][a, b] if k and l else p.prior_null)
             at = np.flatnonzero(ok)
-            less = v < top[at]
+            less = v < top[at] - EVEN
             top[at[less]], arg[at[less]] = v[less], number
         best[i, j], back[i, j] = top, arg
     beads = []
@@ -228,21 +250,34 @@ def expected_ratio(ref: DataFrame, wit: DataFrame) -> DataFrame:
     return a.join(b, "grp", "full").select("grp", F.when(F.coalesce("r", F.lit(0)) > 0, F.coalesce("w", F.lit(0)) / F.col("r")).otherwise(1.0).alias("ratio"))
 
 
+def _for_partners(side: DataFrame, mine: int, other: str, own: str) -> DataFrame:
+    """Spans with their n-grams, once for each size of a partner's span that makes a bead."""
+    sizes: dict[int, list[int]] = {}
+    for shape in TWO_SIDED:
+        sizes.setdefault(shape[mine], []).append(shape[1 - mine])
+    partner = None
+    for n, others in sizes.items():
+        these = F.array(*map(F.lit, others))
+        partner = F.when(F.col("k") == n, these) if partner is None else partner.when(F.col("k") == n, these)
+    gram = spans(side).withColumn("grams", S.dice_grams(F.col("text")))
+    return gram.select("grp", "first", F.col("k").alias(own), F.explode(partner).alias(other), "length", "grams")
+
+
 def bead_candidates(ref: DataFrame, wit: DataFrame, params: Params | None = None) -> DataFrame:
     """Costs of all two-sided beads under character-gram similarity, as a relation.
 
-    Both sides meet only inside a group, and only in the six shapes.
+    Both sides meet by group and shape alone; n-grams are made once a span, before they meet.
     """
     p = params or Params(conflict=0.0)
-    shape = None
+    prior = None
     for k, l in TWO_SIDED:  # noqa: E741
-        hit = (F.col("r.k") == k) & (F.col("w.k") == l)
-        shape = F.when(hit, p.prior(k, l)) if shape is None else shape.when(hit, p.prior(k, l))
-    r, w = spans(ref).alias("r"), spans(wit).alias("w")
-    met = r.join(w, F.col("r.grp") == F.col("w.grp")).withColumn("prior", shape).where("prior is not null").join(expected_ratio(ref, wit).alias("e"), F.col("r.grp") == F.col("e.grp"))
-    sim = S.dice(F.col("r.text"), F.col("w.text"))
-    cost = F.col("prior") + p.length_weight * S.length_cost(F.col("r.length"), F.col("w.length"), F.col("e.ratio"), p.variance) - p.anchor_weight * sim
-    return met.select(F.col("r.grp").alias("grp"), F.col("r.first").alias("i"), F.col("w.first").alias("j"), F.col("r.k").alias("k"), F.col("w.k").alias("l"), sim.alias("similarity"), cost.alias("cost"))
+        hit = (F.col("k") == k) & (F.col("l") == l)
+        prior = F.when(hit, p.prior(k, l)) if prior is None else prior.when(hit, p.prior(k, l))
+    r = _for_partners(ref, 0, "l", "k").select("grp", "k", "l", F.col("first").alias("i"), F.col("length").alias("lr"), F.col("grams").alias("gr"))
+    w = _for_partners(wit, 1, "k", "l").select("grp", "k", "l", F.col("first").alias("j"), F.col("length").alias("lw"), F.col("grams").alias("gw"))
+    met = r.join(w, ["grp", "k", "l"]).withColumn("similarity", S.dice_of(F.col("gr"), F.col("gw"))).drop("gr", "gw").join(expected_ratio(ref, wit), "grp")
+    cost = prior + p.length_weight * S.length_cost(F.col("lr"), F.col("lw"), F.col("ratio"), p.variance) - p.anchor_weight * F.col("similarity")
+    return met.select("grp", "i", "j", "k", "l", "similarity", cost.alias("cost"))
 
 
 def shape_of(ref: Column, wit: Column) -> Column:
@@ -254,13 +289,18 @@ def alignment_summary(beads: DataFrame) -> DataFrame:
     return beads.groupBy("grp", shape_of(F.col("ref"), F.col("wit")).alias("shape")).agg(F.count("*").alias("n"))
 
 
-def cells_from_beads(beads: DataFrame, units: DataFrame, wits: DataFrame, witness: Column | str) -> DataFrame:
+def no_density(text: Column, lang: Column) -> Column:
+    return F.lit(0.0)
+
+
+def cells_from_beads(beads: DataFrame, units: DataFrame, wits: DataFrame, witness: Column | str, density: Callable[[Column, Column], Column] = no_density) -> DataFrame:
     """Cells of aligned groups; ``witness`` is a name, or a column computed from ``grp``.
 
     ``units(grp, seq, unit, chapter, kind, length, position, flag)``,
-    ``wits(grp, seq, start, end, text, kind, length, position, density)``. A bead n:m gives its n
+    ``wits(grp, seq, start, end, text, lang, kind, length, position)``. A bead n:m gives its n
     units one cell each with shared span and deviations, n:0 absent (or lacunose) units, 0:m one
-    orphan named by the witness and its coordinates.
+    orphan named by the witness and its coordinates. ``density(text, lang)`` is the share of
+    transliteration in a bead's text, its segments with blanks between.
     """
     witness = F.lit(witness) if isinstance(witness, str) else witness
     index = lambda df: df.withColumn("i", F.row_number().over(Window.partitionBy("grp").orderBy("seq")) - 1)
@@ -272,9 +312,10 @@ def cells_from_beads(beads: DataFrame, units: DataFrame, wits: DataFrame, witnes
         .groupBy("grp", "bead_no")
         .agg(
             F.min_by("start", "i").alias("span_start"), F.max_by("end", "i").alias("span_end"), F.min_by("kind", "i").alias("wit_kind"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "").alias("text"),
-            F.sum("length").alias("lw"), F.avg("position").alias("pos_w"), F.max("density").alias("density"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("text"),
+            F.sum("length").alias("lw"), F.avg("position").alias("pos_w"), F.min_by("lang", "i").alias("lang"),
         )
+        .withColumn("density", density(F.col("text"), F.col("lang")))
     )
     ref_side = b.select("grp", "bead_no", F.explode("ref").alias("i")).join(u, ["grp", "i"])
     sums = ref_side.groupBy("grp", "bead_no").agg(F.sum("length").alias("lr"), F.count("*").alias("n"))
@@ -306,8 +347,10 @@ def reorder(cells: DataFrame, units: DataFrame, wits: DataFrame, low: float = 0.
     equally similar clauses the last one counts. Adds ``from_start`` where a cell was relinked.
     """
     poor = cells.where((F.col("status") == "PRESENT") & ~F.col("unit").startswith("+") & (F.coalesce("similarity", F.lit(0.0)) < low)).select("unit", "witness", "span_start")
-    met = poor.join(units.select("unit", "grp", F.col("norm").alias("un"), F.col("position").alias("up")), "unit").join(wits.select("grp", "seq", "start", "end", "text", F.col("norm").alias("wn"), F.col("position").alias("wp")), "grp")
-    best = met.groupBy("unit", "witness", "span_start", "up").agg(F.max(F.struct(S.dice(F.col("un"), F.col("wn")).alias("s"), "seq", "start", "end", "text", "wp")).alias("b"))
+    left = poor.join(units.select("unit", "grp", F.col("position").alias("up"), S.dice_grams(F.col("norm")).alias("ug")), "unit")
+    right = wits.select("grp", "seq", "start", "end", "text", F.col("position").alias("wp"), S.dice_grams(F.col("norm")).alias("wg"))
+    met = left.join(right, "grp").withColumn("s", S.dice_of(F.col("ug"), F.col("wg"))).drop("ug", "wg")
+    best = met.groupBy("unit", "witness", "span_start", "up").agg(F.max(F.struct("s", "seq", "start", "end", "text", "wp")).alias("b"))
     hits = best.where((F.col("b.s") >= high) & ~F.col("b.start").eqNullSafe(F.col("span_start"))).select("unit", "witness", F.col("span_start").alias("from_start"), "b", F.abs(F.col("b.wp") - F.col("up")).alias("moved"))
     joined = cells.join(hits, ["unit", "witness"], "left")
     new = F.col("b").isNotNull()

@@ -65,13 +65,16 @@ def witness_order(cells: DataFrame, order: str) -> DataFrame:
 def edition_cells(units: DataFrame, edition: DataFrame, witness: str) -> DataFrame:
     """Cells of an edition matched by id: missing NA, flagged LACUNA or ABSENT, blank ABSENT."""
     found = units.select("unit", "chapter", "kind").join(edition.select("unit", "text", "flag", F.lit(True).alias("has")), "unit", "left")
+    text = F.coalesce("text", F.lit(""))
     status = (
         F.when(F.col("has").isNull(), "NA")
         .when(F.col("flag") == "LACUNA", "LACUNA")
         .when((F.col("flag") == "ABSENT") | (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0), "ABSENT")
         .otherwise("PRESENT")
     )
-    return found.select("unit", F.lit(witness).alias("witness"), "chapter", "kind", status.alias("status")).withColumn("d_cov", F.when(F.col("status") == "PRESENT", 1.0).when(F.col("status") != "NA", 0.0))
+    span = F.when(F.col("has"), F.col("unit"))
+    rows = found.select("unit", F.lit(witness).alias("witness"), "chapter", "kind", status.alias("status"), span.alias("span_start"), span.alias("span_end"), F.when(F.col("has"), F.substring(text, 1, 80)).alias("text"))
+    return rows.withColumn("d_cov", F.when(F.col("status") == "PRESENT", 1.0).when(F.col("status") != "NA", 0.0)).withColumn("d_split", F.when(F.col("status") != "NA", 0.0))
 
 
 def fill_missing(units: DataFrame, cells: DataFrame, witnesses: DataFrame) -> DataFrame:
@@ -80,7 +83,7 @@ def fill_missing(units: DataFrame, cells: DataFrame, witnesses: DataFrame) -> Da
     ``witnesses(witness, scope)``. Units of chapters that have any cell stay as they are.
     """
     done = cells.join(units.select("unit", "chapter"), "unit").select("witness", "chapter").distinct() if "chapter" not in cells.columns else cells.select("witness", "chapter").distinct()
-    every = units.select("unit", "chapter", "kind").join(F.broadcast(witnesses))  # witnesses are a registry of columns
+    every = units.select("unit", "chapter", "kind").join(witnesses)  # every unit has a cell for every witness
     left = every.join(done, ["witness", "chapter"], "left_anti")
     return left.select("unit", "witness", "chapter", "kind", F.when(F.col("scope").isin("anthology", "fragment", "quotation"), "NA").otherwise("UNALIGNED").alias("status"))
 
@@ -111,16 +114,14 @@ def structure(cells: DataFrame, chapters: DataFrame, witnesses: DataFrame, dims:
     one = cells.groupBy("chapter", "witness").agg(
         F.count_if(~orphan).alias("n_units"),
         F.count_if(~orphan & counted).alias("n_counted"),
-        F.count_if(~orphan & (F.col("status") == "PRESENT")).alias("n_present"),
+        F.count_if(some).alias("n_present"),
         F.count_if(~orphan & (F.col("status") == "ABSENT")).alias("n_absent"),
         F.count_if(orphan).alias("n_orphan"),
-        F.sum(F.when(~orphan & counted, F.when(F.col("status") == "ABSENT", 0).otherwise(1))).alias("_kept"),
         *(F.round(F.avg(F.when(some, F.col(d))), 4).alias(f"mean_{d}") for d in dims if d in cells.columns),
     )
     counts = ["n_units", "n_counted", "n_present", "n_absent", "n_orphan"]
-    full = chapters.select("chapter").join(F.broadcast(witnesses.select("witness"))).join(one, ["chapter", "witness"], "left").na.fill(0, counts)
-    coverage = F.round(F.col("_kept") / F.nullif(F.col("n_counted"), F.lit(0)), 4)
-    return full.withColumn("coverage", coverage).drop("_kept")
+    full = chapters.select("chapter").join(witnesses.select("witness")).join(one, ["chapter", "witness"], "left").na.fill(0, counts)
+    return full.withColumn("coverage", F.round(F.col("n_present") / F.nullif(F.col("n_counted"), F.lit(0)), 4))
 
 
 def wide(cells: DataFrame, dim: str, witnesses: Sequence[str]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 
 import pandas as pd
@@ -38,53 +37,97 @@ def decompose(units: DataFrame) -> DataFrame:
     return counts.select("*", *(F.round(F.col(c) / F.greatest(F.col("n_counted"), F.lit(1)), 4).alias(f"rate_{c}") for c in CLASSES))
 
 
+def decompose_all(cells: DataFrame, wanted: DataFrame, sources: Sequence[str] = (), reference: str | None = None) -> DataFrame:
+    """``decompose`` for each row of ``wanted(witness, cowitness)``, all in one pass over the cells.
+
+    A null co-witness asks for the two-term decomposition.
+    """
+    others = [s for s in sources if s != reference]
+    own = cells.where(countable(F.col("status")) & ~is_orphan(F.col("unit"))).select("unit", "witness", deviates(F.col("status")).alias("deviating"))
+    lacking = F.max(F.col("status").isin("ABSENT", "PARTIAL"))
+    source = cells.where(F.col("witness").isin(*others) if others else F.lit(False)).groupBy("unit").agg(lacking.alias("lacking"))
+    co = own.select("unit", F.col("witness").alias("cowitness"), F.col("deviating").alias("co"))
+    met = own.join(wanted, "witness").join(source, "unit", "left").join(co, ["unit", "cowitness"], "left")
+    kind = F.when(F.coalesce("lacking", F.lit(False)), CLASSES[0]).when(F.col("cowitness").isNull(), CLASSES[2]).when(F.col("co").isNull(), None).when(F.col("co"), CLASSES[1]).otherwise(CLASSES[2])
+    classed = met.withColumn("class", F.when(F.col("deviating"), kind))
+    counts = classed.groupBy("witness", "cowitness").agg(F.count("*").alias("n_counted"), F.count_if("deviating").alias("n_deviating"), *(F.count_if(F.col("class") == c).alias(c) for c in CLASSES))
+    return counts.select("*", *(F.round(F.col(c) / F.col("n_counted"), 4).alias(f"rate_{c}") for c in CLASSES))
+
+
+def deviations(cells: DataFrame) -> DataFrame:
+    """``(witness, chapter, total, n)`` for all witnesses."""
+    own = cells.where(countable(F.col("status")) & ~is_orphan(F.col("unit")))
+    return own.groupBy("witness", "chapter").agg(F.sum(deviates(F.col("status")).cast("long")).cast("double").alias("total"), F.count("*").alias("n"))
+
+
 def deviation_by_chapter(cells: DataFrame, witness: str) -> DataFrame:
     """``(chapter, total, n)``: deviating and countable units, all that a mean's bootstrap needs."""
     own = cells.where((F.col("witness") == witness) & countable(F.col("status")) & ~is_orphan(F.col("unit")))
     return own.groupBy("chapter").agg(F.sum(deviates(F.col("status")).cast("long")).cast("double").alias("total"), F.count("*").alias("n"))
 
 
-def bootstrap(blocks: DataFrame, order: str = "chapter", n_boot: int = 1000, alpha: float = 0.05, seed: int = 20260930) -> DataFrame:
-    """Mean and percentile interval by resampling whole blocks ``(order, total, n)``.
+#: Draws are worked out modulo this prime, by squares, so that any SQL engine gets the same ones.
+PRIME = 2147483647
+
 
-    The draws are numbers of blocks, made on the driver by a seeded generator: ``n_boot`` times
-    the number of blocks, which is the number of chapters. One row: estimate, lo, hi, n_blocks.
+def draw(seed: int, boot: Column, place: Column, blocks: Column) -> Column:
+    """The block that a round draws at a place: a fixed function of seed, round and place."""
+    x = (F.lit(seed % PRIME).cast("long") + boot * 1000003 + place * 7919) % PRIME
+    y = (x * x + 12345) % PRIME
+    z = (y * y + x) % PRIME
+    return ((z * z + y) % PRIME) % blocks
+
+
+def bootstrap(blocks: DataFrame, order: str = "chapter", n_boot: int = 1000, alpha: float = 0.05, seed: int = 20260930, stat: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """A statistic and its percentile interval by resampling whole blocks: ``(by…, estimate, lo, hi, n_blocks)``.
+
+    Rows are ``(by…, order, total, n)``, one a block, and the statistic is their mean; or any rows with a
+    block's name in ``order`` and any aggregate ``stat`` of their columns. Each round draws as many
+    blocks as there are. Rounds and places are rows made on the executors; only the blocks' names of
+    a group of ``by`` are numbered in one task. Without ``by`` there is one row, whatever the input.
     """
-    spark = blocks.sparkSession
-    kept = blocks.where("n > 0").select(F.col(order).alias("key"), "total", "n")
-    numbered = kept.withColumn("block", F.row_number().over(Window.orderBy("key")) - 1)
-    k = kept.count()
-    nan = F.lit(float("nan"))
-    if not k:
-        return spark.range(1).select(nan.alias("estimate"), nan.alias("lo"), nan.alias("hi"), F.lit(0).cast("long").alias("n_blocks"))
-    rng = random.Random(seed)
-    order_of = range(k)
-    draws = pd.DataFrame([(b, rng.choice(order_of)) for b in range(n_boot) for _ in order_of], columns=["boot", "block"])
-    drawn = F.broadcast(spark.createDataFrame(draws, "boot int, block int"))
-    rounds = numbered.join(drawn, "block").groupBy("boot").agg((F.sum("total") / F.sum("n")).alias("v"))
+    group = list(by)
+    kept = blocks.where("n > 0") if stat is None else blocks
+    value = F.sum("total") / F.sum("n") if stat is None else stat
+    rows = kept.withColumnRenamed(order, "_key")
+    numbered = rows.select(*group, "_key").distinct()
+    inside = Window.partitionBy(*group)
+    numbered = numbered.withColumn("_block", (F.row_number().over(inside.orderBy("_key")) - 1).cast("long")).withColumn("_all", F.count("*").over(inside))
+    rounds = numbered.select(*group, "_block", "_all", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("_boot"))
+    drawn = rounds.select(*group, "_boot", draw(seed, F.col("_boot"), F.col("_block"), F.col("_all")).alias("_block")).groupBy(*group, "_boot", "_block").agg(F.count("*").alias("_times"))
+    repeated = drawn.join(numbered.select(*group, "_block", "_key"), [*group, "_block"]).join(rows, [*group, "_key"])
+    if stat is None:
+        repeated = repeated.withColumn("total", F.col("total") * F.col("_times")).withColumn("n", F.col("n") * F.col("_times"))
+    else:
+        repeated = repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    values = repeated.groupBy(*group, "_boot").agg(value.alias("v"))
     lo, hi = math.floor(alpha / 2 * n_boot), min(n_boot - 1, math.ceil((1 - alpha / 2) * n_boot) - 1)
-    ordered = rounds.agg(F.array_sort(F.collect_list("v")).alias("v"))
-    whole = numbered.agg((F.sum("total") / F.sum("n")).alias("estimate"))
-    return whole.crossJoin(ordered).select("estimate", F.element_at("v", lo + 1).alias("lo"), F.element_at("v", hi + 1).alias("hi"), F.lit(k).cast("long").alias("n_blocks"))
+    ordered = values.groupBy(*group).agg(F.array_sort(F.collect_list("v")).alias("v"))
+    whole = rows.groupBy(*group).agg(value.cast("double").alias("estimate"), F.count_distinct("_key").alias("n_blocks"))
+    nan = F.lit(float("nan"))
+    ends = [F.coalesce(F.try_element_at("v", F.lit(i + 1)).cast("double"), nan).alias(n) for i, n in ((lo, "lo"), (hi, "hi"))]
+    met = whole.join(ordered, group, "left") if group else whole.join(ordered)  # one row each
+    return met.select(*group, F.coalesce("estimate", nan).alias("estimate"), *ends, "n_blocks")
 
 
 def witness_distances(cells: DataFrame, dims: Sequence[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """``(a, b, distance, n)`` for all pairs a < b in one self-join on the unit."""
+    """``(a, b, distance, n)`` for all pairs a < b: a unit's cells meet in one row, its pairs are summed before they are shuffled."""
     w = weights or {}
-    side = cells.where(countable(F.col("status")) & ~is_orphan(F.col("unit"))).select("unit", "witness", "status", *dims)
-    a, b = side.alias("a"), side.alias("b")
-    joined = a.join(b, (F.col("a.unit") == F.col("b.unit")) & (F.col("a.witness") < F.col("b.witness")))
+    side = cells.where(countable(F.col("status")) & ~is_orphan(F.col("unit")))
+    per = side.groupBy("unit").agg(F.collect_list(F.struct("witness", "status", *dims)).alias("ws"))
+    one = per.select("ws", F.explode("ws").alias("a"))
+    pairs = one.select("a", F.explode(F.filter("ws", lambda x: x["witness"] > F.col("a.witness"))).alias("b"))
     apart = F.when(F.col("a.status") != F.col("b.status"), w.get("status", 1.0)).otherwise(0.0)
     for d in dims:
         apart = apart + F.coalesce(w.get(d, 1.0) * F.abs(F.col(f"a.{d}") - F.col(f"b.{d}")), F.lit(0.0))
-    return joined.groupBy(F.col("a.witness").alias("a"), F.col("b.witness").alias("b")).agg((F.sum(apart) / F.count("*")).alias("distance"), F.count("*").alias("n"))
+    return pairs.groupBy(F.col("a.witness").alias("a"), F.col("b.witness").alias("b")).agg((F.sum(apart) / F.count("*")).alias("distance"), F.count("*").alias("n"))
 
 
 def distance_matrix(distances: DataFrame, witnesses: DataFrame) -> DataFrame:
     """All ordered pairs, the diagonal 0, pairs without a common unit null."""
     names = witnesses.select("witness")
     both = distances.select("a", "b", "distance").union(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    every = names.select(F.col("witness").alias("a")).crossJoin(F.broadcast(names.select(F.col("witness").alias("b"))))
+    every = names.select(F.col("witness").alias("a")).join(names.select(F.col("witness").alias("b")))
     return every.join(both, ["a", "b"], "left").withColumn("distance", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("distance")))
 
 
@@ -156,6 +199,12 @@ def summarise(values: DataFrame, group: Sequence[str], col: str) -> DataFrame:
     )
 
 
+def dimension(cells: DataFrame, dim: str) -> DataFrame:
+    """``summarise`` of one deviation by witness, over present and partial cells of the reference's units."""
+    some = F.col("status").isin("PRESENT", "PARTIAL") & ~is_orphan(F.col("unit"))
+    return summarise(cells.where(some), ["witness"], dim)
+
+
 def match_candidates(units: DataFrame, tolerance: float = 0.35) -> DataFrame:
     """Pairs of a sensitive and a neutral unit of one chapter and kind with like lengths.
 
@@ -182,7 +231,7 @@ def match(units: DataFrame, order: str = "unit", tolerance: float = 0.35, seed:
                 out.append((u["chapter"], u["kind"], u["unit"], pool.pop(hit)["unit"]))
         return pd.DataFrame(out, columns=["chapter", "kind", "unit", "mate"])
 
-    side = units.select("unit", "chapter", "kind", F.greatest(F.lit(1.0), F.col("length").cast("double")).alias("length"), "sensitive", F.col(order).alias("ord"), F.xxhash64(F.lit(seed), "unit").alias("mark"))
+    side = units.select("unit", "chapter", "kind", F.greatest(F.lit(1.0), F.col("length").cast("double")).alias("length"), "sensitive", F.col(order).alias("ord"), F.md5(F.concat_ws(":", F.lit(str(seed)), "unit")).alias("mark"))
     return side.groupBy("chapter", "kind").applyInPandas(run, "chapter string, kind string, unit string, mate string")
 
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from collatio import report
 from collatio.functions import guards as G
 from collatio.functions import ids, lexicon
 from collatio.functions import similarity as S
 from collatio.functions import text as T
 from collatio.operators import attribution as A
 from collatio.operators import judging as J
+from collatio.operators import metrics as X
 from collatio.plans import adapters as D
+from collatio.session import scratch
+from collatio.sources import folio, marked, tables, tei
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,28 +49,120 @@ def segments_scan(spark: SparkSession, d: str) -> DataFrame:
     return D.lines(spark, d).select("doc_id", "seq", "witness", "chapter", F.md5("text").alias("digest"))
 
 
-@query(f"WITH {D.LINES} SELECT chapter, CASE WHEN ends_with(text, '.') AND len(text) > 60 THEN 'prose' WHEN contains(text, '|') THEN 'table' WHEN len(string_split_regex(trim(text), '\\s+')) IN (7, 9, 11) THEN 'verse_line' ELSE 'meta' END AS kind, count(*) AS n, sum(len(text))::BIGINT AS chars FROM lines GROUP BY ALL")
+WORDS = "len(list_filter(string_split_regex({}, '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"WITH {D.LINES}, k AS (SELECT *, text || CASE WHEN seq % 10 = 3 THEN ' རྫོགས་སོ' ELSE '' END AS t FROM lines) SELECT chapter, CASE WHEN seq % 10 = 3 THEN 'colophon' WHEN {WORDS.format('t')} IN (7, 9, 11) THEN 'verse_line' ELSE 'prose' END AS kind, count(*) AS n, sum(len(t))::BIGINT AS chars FROM k GROUP BY ALL")
 def segment_kinds(spark: SparkSession, d: str) -> DataFrame:
-    words = F.size(F.split(F.trim("text"), r"\s+"))
-    kind = F.when(F.col("text").endswith(".") & (F.length("text") > 60), "prose").when(F.contains("text", F.lit("|")), "table").when(words.isin(7, 9, 11), "verse_line").otherwise("meta")
-    return D.lines(spark, d).groupBy("chapter", kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    """Kinds of lines; every tenth line is given a colophon's end."""
+    rows = D.lines(spark, d).withColumn("text", F.concat("text", F.when(F.col("seq") % 10 == 3, " རྫོགས་སོ").otherwise("")))
+    return rows.groupBy("chapter", folio.classify(F.col("text")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(r"WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '([^.,;:?!]*[.,;:?!]|[^.,;:?!]+$)')) AS c FROM documents) SELECT doc_id, count(*) AS n_clauses, sum(len(c))::BIGINT AS chars FROM c WHERE len(regexp_replace(c, '[\s.,;:?!]+', '', 'g')) > 0 GROUP BY doc_id")
+LATIN, CJK = ".,;:?!", "。，；：？！"
+CLAUSES = f"(SELECT doc_id, unnest(regexp_extract_all(translate(text, '{LATIN}', '{CJK}'), '([^{T.CLAUSE_MARKS}]*[{T.CLAUSE_MARKS}]|[^{T.CLAUSE_MARKS}]+$)')) AS c FROM documents)"
+
+
+@query(f"SELECT doc_id, count(*) AS n_clauses, sum(len(regexp_replace(c, '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars FROM {CLAUSES} WHERE len(regexp_replace(c, '{T.STRIPPED}', '', 'g')) > 0 GROUP BY doc_id")
 def clause_split(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.regexp_extract_all("text", F.lit("([^.,;:?!]*[.,;:?!]|[^.,;:?!]+$)"))
-    c = D.table(spark, d, "documents").select("doc_id", F.explode(parts).alias("c")).where(F.length(F.regexp_replace("c", r"[\s.,;:?!]+", "")) > 0)
+    """Clauses of documents whose marks are read as Chinese ones."""
+    parts = T.clauses(F.translate("text", LATIN, CJK))
+    c = D.table(spark, d, "documents").select("doc_id", F.explode(parts).alias("c"))
     return c.groupBy("doc_id").agg(F.count("*").alias("n_clauses"), F.sum(F.length("c")).alias("chars"))
 
 
-@query("SELECT lang, count(*) AS docs, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::BIGINT AS length FROM documents GROUP BY lang")
+def _tei(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as TEI: the source as head, the text with Chinese marks as one paragraph with a note."""
+    text = report.xml_text(F.translate("text", LATIN, CJK))
+    xml = F.concat(F.lit('<TEI><text><body><lb n="'), F.col("doc_id").cast("string"), F.lit('"/><head>'), report.xml_text(F.col("source")), F.lit("</head><p>"), text, F.lit("<note>n</note></p></body></text></TEI>"))
+    return D.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("witness"), xml.cast("binary").alias("content"))
+
+
+ONLY = "[" + "".join(sorted(set(tei.ONLY_MARKS))) + "]"
+TEI_CLAUSES = f"(SELECT doc_id, unnest(regexp_extract_all(regexp_replace(translate(text, '{LATIN}', '{CJK}'), '[\n\r\t]', '', 'g'), '([^{T.CLAUSE_MARKS}]*[{T.CLAUSE_MARKS}]+[」』]?|[^{T.CLAUSE_MARKS}]+$)')) AS c FROM documents)"
+
+
+@query(f"""SELECT doc_id::VARCHAR AS witness, 'prose' AS kind, count(*) AS n, sum(len(trim(c)))::BIGINT AS chars, doc_id::VARCHAR AS start, 1::BIGINT AS notes FROM {TEI_CLAUSES} WHERE len(regexp_replace(c, '{ONLY}', '', 'g')) > 0 GROUP BY doc_id
+UNION ALL SELECT doc_id::VARCHAR, 'head', 1, len(trim(source)), doc_id::VARCHAR, 0 FROM documents WHERE source IS NOT NULL AND text IS NOT NULL""")
+def tei_segments(spark: SparkSession, d: str) -> DataFrame:
+    got = tei.parsed(_tei(spark, d).where("content is not null"), 0, tei.SEGMENTS)
+    return got.groupBy("witness", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.first("start").alias("start"), F.max("inline_notes").cast("long").alias("notes"))
+
+
+def _back(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as documents with an apparatus of their nations and a gloss."""
+    nations = F.array_join(F.transform(F.array_sort(F.collect_list("n_name")), lambda n: F.concat(F.lit('<rdg wit="#'), n, F.lit('">'), n, F.lit("</rdg>"))), "")
+    per = D.table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(nations.alias("rdg"))
+    r = D.table(spark, d, "region").join(per, "r_regionkey")
+    xml = F.concat(
+        F.lit('<TEI><text><body/><back><app from="#'), F.col("r_regionkey").cast("string"), F.lit('"><lem>'), F.col("r_name"), F.lit("</lem>"), F.col("rdg"),
+        F.lit('</app><tt from="#g"><t xml:lang="zh-Hant">字</t><t xml:lang="sa">'), F.col("r_name"), F.lit(".</t></tt></back></text></TEI>"),
+    )
+    return r.select(F.col("r_name").alias("witness"), xml.cast("binary").alias("content"))
+
+
+@query("SELECT r_name AS witness, '#' || r_regionkey AS anchor, r_name AS lem, string_agg(n_name, ' ' ORDER BY n_name) AS rdg, string_agg('#' || n_name, ' ' ORDER BY n_name) AS wit FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def tei_apparatus(spark: SparkSession, d: str) -> DataFrame:
+    got = tei.parsed(_back(spark, d), 2, tei.APPARATUS)
+    return got.select("witness", "anchor", "lem", F.array_join("rdg", " ").alias("rdg"), F.array_join("wit", " ").alias("wit"))
+
+
+@query("SELECT DISTINCT r_name AS witness, '字' AS zh, r_name AS sa, '#g' AS anchor FROM region JOIN nation ON n_regionkey = r_regionkey")
+def tei_glosses(spark: SparkSession, d: str) -> DataFrame:
+    return tei.parsed(_back(spark, d), 1, tei.GLOSSES)
+
+
+@query(f"""WITH t AS (SELECT doc_id, translate(replace(text, chr(10), ''), '.{{', '།(') AS t FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, regexp_extract_all(t, '([^།]*།|[^།]+$)') AS us FROM t),
+u AS (SELECT doc_id, i - 1 AS seq, regexp_replace(us[i], '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT doc_id, us, unnest(range(1, len(us) + 1)) AS i FROM p))
+SELECT 'D' || doc_id AS text_id, count(*) AS n, max(seq)::BIGINT AS last, sum(len(text))::BIGINT AS chars, count(*) FILTER (len(list_filter(string_split_regex(text, '[\\s།]+'), lambda x: x <> '')) IN (7, 9, 11)) AS verses FROM u WHERE text NOT IN ('', '།') GROUP BY doc_id""")
+def folio_units(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as texts of one folio file each, cut at their full stops; lines after the first are at its coordinate."""
+    body = F.translate("text", ".{", "།(")
+    rows = D.table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
+    mark = F.when(F.col("line_no") == 0, F.concat(F.lit("[1a.1]{D"), F.col("doc_id").cast("string"), F.lit("}"))).otherwise("")
+    units = folio.parse_folio(rows.select(F.col("doc_id").cast("string").alias("file"), "line_no", F.concat(mark, "line").alias("line")))
+    return units.groupBy("text_id").agg(F.count("*").alias("n"), F.max("seq").cast("long").alias("last"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("kind") == "verse_line").alias("verses"))
+
+
+@query(f"""WITH m AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, l FROM (SELECT doc_id, string_split(translate(text, '{LATIN}', '{CJK}'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+c AS (SELECT doc_id, 1 + (p - 1) // 3 AS chapter, p, unnest(regexp_extract_all(l[p], '([^{T.CLAUSE_MARKS}]*[{T.CLAUSE_MARKS}]|[^{T.CLAUSE_MARKS}]+$)')) AS c FROM m)
+SELECT witness, 'L.' || ch AS chapter, n, chars, 'c' || ch || ':' || n AS last, (ch - 1)::INT AS "order" FROM (SELECT doc_id::VARCHAR AS witness, chapter AS ch, count(*) AS n, sum(len(regexp_replace(c, '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars FROM c WHERE len(regexp_replace(c, '{T.STRIPPED}', '', 'g')) > 0 AND chapter <= 99 GROUP BY doc_id, chapter)""")
+def marked_clauses(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as marked texts with a chapter for every three lines, up to 99."""
+    rows = D.table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(F.translate("text", LATIN, CJK), "\n")).alias("p", "line")).where("p < 297")
+    clean = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
+    head = rows.where("p % 3 = 0").select("doc_id", (F.col("p") * 2).alias("line_no"), F.concat(F.lit("#"), F.floor(F.col("p") / 3 + 1).cast("string")).alias("line"))
+    lines = head.union(rows.where(~clean.startswith("#") & ~clean.startswith("//")).select("doc_id", (F.col("p") * 2 + 1).alias("line_no"), "line")).withColumn("file", F.col("doc_id").cast("string"))
+    got = marked.parse_marked(lines)
+    return got.groupBy("witness", "chapter").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max_by("end", "seq").alias("last"), F.max("order").cast("int").alias("order"))
+
+
+@query("SELECT 'customers' AS witness, 'I.' || (1 + c_nationkey % 11) || '.' || (1 + c_custkey % 900) AS unit, 'I.' || (1 + c_nationkey % 11) AS chapter, 'verse' AS kind, trim(regexp_replace(lower(c_name), '[#0-9]+', ' ', 'g')) AS text, CASE WHEN c_acctbal < 0 THEN 'LACUNA' END AS flag FROM customer")
+def reference_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as lines of a reference edition, between comments."""
+    c = D.table(spark, d, "customer")
+    unit = F.concat(F.lit("I."), (1 + F.col("c_nationkey") % 11).cast("string"), F.lit("."), (1 + F.col("c_custkey") % 900).cast("string"))
+    line = F.concat_ws("\t", unit, F.regexp_replace("c_name", "#", " "), F.when(F.col("c_acctbal") < 0, "lacuna"))
+    lines = c.select(F.lit("customers").alias("file"), F.col("c_custkey").alias("line_no"), line.alias("line")).union(c.select(F.lit("customers"), -F.col("c_custkey"), F.concat(F.lit("# "), "c_name")))
+    return tables.parse_reference(lines).select("witness", "unit", "chapter", "kind", "text", "flag")
+
+
+#: Documents' languages read as those that have a length of their own.
+READ_AS = {"en": "zh", "de": "bo", "fr": "sa"}
+PUNCT = T.ZH_PUNCT.replace("'", "''")
+SA = "regexp_replace(nfc_normalize(lower(text)), '[|।॥0-9.\\-()\\[\\]]+', ' ', 'g')"
+
+
+@query(f"""SELECT lang, count(*) AS docs, sum(CASE lang WHEN 'en' THEN len(translate(text, '{PUNCT}', '')) WHEN 'de' THEN len(list_filter(string_split_regex(text, '{T.BO_SPLIT}'), lambda x: x <> '')) WHEN 'fr' THEN len(regexp_extract_all({SA}, '{T.SA_VOWELS}')) ELSE {WORDS.format('text')} END)::BIGINT AS length FROM documents GROUP BY lang""")
 def length_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    return D.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(T.length_in(F.col("text"), F.col("lang"))).alias("length"))
+    """Lengths by the rules of three languages and by words, one for each language of the documents."""
+    lang = F.coalesce(*(F.when(F.col("lang") == k, v) for k, v in READ_AS.items()), F.lit("xx"))
+    return D.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(T.length_in(F.col("text"), lang)).alias("length"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def file_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return D.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return D.table(spark, d, "documents").select("doc_id", tables.digest(F.col("text")).alias("sha256"))
 
 
 # ---- identifiers
@@ -220,35 +318,25 @@ def contamination_probe(spark: SparkSession, d: str) -> DataFrame:
     return A.contamination(_overlaps(spark, d))
 
 
-@query("SELECT doc_id, round(len(regexp_replace(text, '[^éèêäöüßñóí]', '', 'g')) / nullif(len(text), 0), 6) AS density FROM documents")
-def translit_density(spark: SparkSession, d: str) -> DataFrame:
-    marks = F.length("text") - F.length(F.translate("text", "éèêäöüßñóí", ""))
-    return D.table(spark, d, "documents").select("doc_id", F.round(marks / F.nullif(F.length("text"), F.lit(0)), 6).alias("density"))
-
-
-@query("SELECT doc_id, regexp_matches(text, 'worthless|pathetic|deliberately (omit|remov)', 'i') AS motive FROM documents")
-def motive_flag(spark: SparkSession, d: str) -> DataFrame:
-    return D.table(spark, d, "documents").select("doc_id", A.asserts_motive(F.col("text"), ("worthless", "pathetic", "deliberately (omit|remov)")).alias("motive"))
+ACCENTS = "".join(a for a, _ in PAIRS)
+TRANSLIT = lexicon.Lexicon((lexicon.Term("tion", "term", {"zh": ("tion", "ionti")}, True), lexicon.Term("x", "term", {"zh": ("the",)})), ACCENTS)
 
 
-# ---- markup
+@query(f"""WITH c AS (SELECT doc_id, translate(text, '{PUNCT}', '') AS c FROM documents), m AS (SELECT doc_id, len(c) AS n, list_sum(list_transform(regexp_extract_all(c, '[{ACCENTS}]{{2,}}'), lambda r: len(r))) AS runs, string_split(replace(c, 'tion', chr(1) || chr(1) || chr(1) || chr(1)), '') AS a, string_split(replace(c, 'ionti', chr(1) || chr(1) || chr(1) || chr(1) || chr(1)), '') AS b FROM c)
+SELECT doc_id, round(CASE WHEN n > 0 THEN (coalesce(runs, 0) + len(list_filter(list_zip(a, b), lambda x: x[1] = chr(1) OR x[2] = chr(1)))) / n ELSE 0 END, 6)::DOUBLE AS density FROM m""")
+def translit_density(spark: SparkSession, d: str) -> DataFrame:
+    """Characters inside either of two overlapping forms, or beside another accented one."""
+    return D.table(spark, d, "documents").select("doc_id", F.round(TRANSLIT.density(F.col("text"), "zh"), 6).alias("density"))
 
 
-@query(r"""WITH b AS (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h1|p|li)>.*?</(?:h1|p|li)>') AS bs FROM pages), x AS (SELECT page_id, unnest(range(0, len(bs))) AS seq, bs FROM b)
-SELECT page_id, seq::BIGINT AS seq, CASE WHEN starts_with(bs[seq + 1], '<h1>') THEN 'head' WHEN starts_with(bs[seq + 1], '<p>') THEN 'prose' ELSE 'meta' END AS kind, len(regexp_replace(bs[seq + 1], '<[^>]*>', '', 'g'))::BIGINT AS chars FROM x""")
-def html_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered blocks of the pages' markup with their kind."""
-    blocks = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h1|p|li)>.*?</(?:h1|p|li)>"), F.lit(0))
-    b = D.table(spark, d, "pages").select("page_id", F.posexplode(blocks).alias("seq", "b"))
-    kind = F.when(F.col("b").startswith("<h1>"), "head").when(F.col("b").startswith("<p>"), "prose").otherwise("meta")
-    return b.select("page_id", F.col("seq").cast("long").alias("seq"), kind.alias("kind"), F.length(F.regexp_replace("b", "<[^>]*>", "")).cast("long").alias("chars"))
+SAID = {0: " The translator deliberately removed it.", 1: " 此處有意省略。", 2: " It was toned down."}
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS lem, array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1), ' ') AS rdg, len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::BIGINT AS n FROM pages""")
-def apparatus_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """A lemma with the array of its readings, here title and link targets."""
-    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return D.table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("lem"), F.array_join(links, " ").alias("rdg"), F.size(links).cast("long").alias("n"))
+@query(f"SELECT doc_id, regexp_matches(text || CASE doc_id % 7 {' '.join(f'WHEN {k} THEN {v!r}' for k, v in SAID.items())} ELSE '' END, '(?i){'|'.join(A.MOTIVES)}') AS motive FROM documents WHERE text IS NOT NULL")
+def motive_flag(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which some are given a sentence that names a motive."""
+    more = F.coalesce(*(F.when(F.col("doc_id") % 7 == k, v) for k, v in SAID.items()), F.lit(""))
+    return D.table(spark, d, "documents").where("text is not null").select("doc_id", A.asserts_motive(F.concat("text", more)).alias("motive"))
 
 
 # ---- guarded model output
@@ -278,11 +366,85 @@ def probe_items(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", "seq", "p.prefix", F.length("p.continuation").cast("long").alias("rest"))
 
 
-@query("SELECT item_id::VARCHAR AS ref, 0.0::DOUBLE AS overlap FROM benchmark WHERE len(trim(text)) >= 80")
+def echo(prompt: str) -> str:
+    """A model that says the last forty characters it was given."""
+    return prompt[-40:]
+
+
+PROBED = "(SELECT item_id, regexp_replace(substr(t, 41), '\\s+', ' ', 'g') AS b, regexp_replace(substr(t, 1, 40), '\\s+', ' ', 'g') AS a FROM (SELECT item_id, trim(text) AS t FROM benchmark) WHERE len(t) >= 80)"
+
+
+@query(f"WITH p AS (SELECT item_id, trim(b) AS b, trim(a) AS a FROM {PROBED}) SELECT item_id::VARCHAR AS ref, round(CASE WHEN len(b) >= 4 THEN len(list_intersect({gram_sql('b', 4)}, {gram_sql('a', 4)})) / len({gram_sql('b', 4)}) ELSE 0 END, 4)::DOUBLE AS overlap FROM p")
 def mock_probe(spark: SparkSession, d: str) -> DataFrame:
-    """The memorisation probe end to end with the mock model, which remembers nothing."""
+    """The memorisation probe end to end, with a model that repeats the prefix."""
     items = D.table(spark, d, "benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").cast("string").alias("ref"), "text")
-    return J.probe(items, J.Mock()).select("ref", "overlap")
+    return J.probe(items, J.Mock(respond=echo)).select("ref", F.round("overlap", 4).alias("overlap"))
+
+
+# ---- model-backed roles, with models that answer the same to all
+
+
+def _says(answer: dict) -> J.Mock:
+    return J.Mock(respond=lambda prompt: json.dumps(answer))
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return D.lines(spark, d).select("doc_id", "seq", "text", F.lit("xx").alias("lang"), F.array(F.lit("name:a"), F.lit("term:b")).alias("anchors"))
+
+
+@query(f"WITH {D.LINES} SELECT doc_id, seq, CASE WHEN contains(text, 'the') THEN 'the' ELSE '' END AS actor, CASE WHEN contains(text, 'que') THEN 'que que' ELSE '' END AS action, CASE WHEN contains(text, 'the') THEN '' ELSE 'actor:the' END || '|' || CASE WHEN contains(text, 'que') THEN '' ELSE 'action:que action:que' END AS rejected, 'term:b' AS keys FROM lines")
+def mock_components(spark: SparkSession, d: str) -> DataFrame:
+    """Slots hold what the text says word for word; keys are those that were offered."""
+    got = J.extract_components(_lines(spark, d), _says({"actor": [" the "], "action": ["que", "que"], "lexicon_keys": ["term:b", "bogus"]}))
+    parts = [F.array_join(F.filter("rejected", _begins(slot)), " ") for slot in ("actor", "action")]
+    return got.select("doc_id", "seq", *(F.array_join(F.col("slots")[x], " ").alias(x) for x in ("actor", "action")), F.concat(parts[0], F.lit("|"), parts[1]).alias("rejected"), F.array_join("lexicon_keys", " ").alias("keys"))
+
+
+def _begins(slot: str):
+    return lambda x: x.startswith(f"{slot}:")
+
+
+@query(f"WITH {D.LINES} SELECT doc_id, seq, 'other' AS topic, CASE WHEN contains(text, 'und') THEN 'und' ELSE '' END AS cues FROM lines")
+def mock_topics(spark: SparkSession, d: str) -> DataFrame:
+    got = J.label_topics(_lines(spark, d), _says({"topic": "heresy", "cues": ["und", "never said"]}))
+    return got.select("doc_id", "seq", "topic", F.array_join("cues", " ").alias("cues"))
+
+
+@query(f"WITH {D.LINES} SELECT doc_id, seq, text AS propositions FROM lines")
+def mock_segmentation(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces that do not tile the text are not taken: the text stays whole."""
+    return J.segment(_lines(spark, d), _says({"propositions": ["in no text", "nor this"]})).select("doc_id", "seq", F.array_join("propositions", "|").alias("propositions"))
+
+
+FACTS = "SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE event_type || ': PRESENT' END AS facts FROM events"
+
+
+@query(f"SELECT event_id::VARCHAR AS unit, CASE WHEN facts = '' THEN 'abstain' ELSE 'shared_with_cowitness' END AS top, CASE WHEN facts = '' THEN 0.0 ELSE 0.75 END::DOUBLE AS share, CASE WHEN facts = '' THEN '' ELSE '1' END AS cited FROM ({FACTS})")
+def mock_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """Shares add up to 1; facts that do not exist are not cited; without facts there is no answer."""
+    e = D.table(spark, d, "events").select(F.col("event_id").cast("string").alias("unit"), F.when(F.col("event_type") == "error", "").otherwise(F.concat("event_type", F.lit(": PRESENT"))).alias("facts"))
+    got = J.judge_attribution(e, _says({"distribution": {"shared_with_cowitness": 3, "abstain": "1", "lacuna": -2}, "cited_facts": [1, 9], "note": "as the facts say"}))
+    return got.select("unit", "top", F.col("distribution")["shared_with_cowitness"].alias("share"), F.array_join(F.transform("cited", lambda x: x.cast("string")), " ").alias("cited"))
+
+
+@query("SELECT item_id::VARCHAR AS unit, 'It was toned down.' AS rationale, true AS motive FROM benchmark")
+def mock_rationale(spark: SparkSession, d: str) -> DataFrame:
+    cells = D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("unit"), F.lit("w").alias("witness"), F.lit("ABSENT").alias("status"))
+    return J.explain(cells, J.Mock(respond=lambda p: "<think>hm</think> It was toned down.")).select("unit", "rationale", "motive")
+
+
+@query("SELECT 'naive' AS model, count(*) AS n, 1.0::DOUBLE AS rate_a, 0.0::DOUBLE AS rate_b, 1.0::DOUBLE AS diff FROM benchmark UNION ALL SELECT 'stubborn', count(*), 1.0, 1.0, 0.0 FROM benchmark")
+def mock_counterfactual(spark: SparkSession, d: str) -> DataFrame:
+    """Does a model stop naming motives when it is told that others lack the unit too?"""
+    items = D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("unit"), F.col("text").alias("source_text"), F.lit("another one lacks it").alias("fact"))
+    models = [J.Mock("naive", lambda p: "A variant reading." if "Additional fact" in p else "This is censorship."), J.Mock("stubborn", lambda p: "Censorship.")]
+    return A.counterfactual_rates(J.counterfactual(items, models))
+
+
+@query(f"SELECT sha256(r_name) AS prompt_sha256, sha256('mock response') AS response_sha256, sha256('{J.SYSTEM.replace(chr(39), chr(39) * 2)}') AS system_sha256, 'mock' AS model_id, len(r_name)::INT AS n_prompt_chars, 13::INT AS n_response_chars, 64::INT AS max_tokens FROM region")
+def call_records(spark: SparkSession, d: str) -> DataFrame:
+    asked = J.ask(D.table(spark, d, "region").select("r_name"), F.col("r_name"), J.Mock(), None, 64)
+    return J.call_log(asked).select("prompt_sha256", "response_sha256", "system_sha256", "model_id", "n_prompt_chars", "n_response_chars", "max_tokens")
 
 
 # ---- vectors
@@ -303,8 +465,96 @@ def _centroid(spark: SparkSession, d: str) -> DataFrame:
     return e.join(v, "label").select("vec_id", "label", S.cosine(F.col("embedding").cast("array<double>"), F.col("v")).alias("similarity"))
 
 
-@query(f"WITH {CENTROIDS} SELECT vec_id, round(greatest((vec_id % 10) / 10, 0.8::DOUBLE * greatest(0, list_cosine_similarity(embedding::DOUBLE[], v))), 4) AS similarity FROM embeddings JOIN v USING (label)")
+KEYS = "[('k' || vec_id % 5), ('num:' || label % 3)] AS a, [('k' || label % 5), ('num:' || vec_id % 3)] AS b"
+
+
+@query(f"""WITH {CENTROIDS}, k AS (SELECT vec_id, label, embedding, {KEYS} FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), w AS (SELECT *, (a[1] = b[1])::INT + 2 * (a[2] = b[2])::INT AS hits FROM k)
+SELECT vec_id, round(greatest(hits / (6.0::DOUBLE - hits), 0.8::DOUBLE * greatest(0, list_cosine_similarity(embedding::DOUBLE[], v))), 4) AS similarity FROM w JOIN v USING (label)""")
 def hybrid_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """The larger of a (made up) anchor similarity and the weighted cosine."""
+    """The larger of anchor similarity, numbers weighing double, and the weighted cosine."""
     s = _centroid(spark, d)
-    return s.select("vec_id", F.round(S.hybrid((F.col("vec_id") % 10) / 10, F.greatest(F.lit(0.0), F.col("similarity"))), 4).alias("similarity"))
+
+    def keys(x: str, y: str):
+        return F.array(F.concat(F.lit("k"), (F.col(x) % 5).cast("string")), F.concat(F.lit("num:"), (F.col(y) % 3).cast("string")))
+
+    anchor = S.jaccard(keys("vec_id", "label"), keys("label", "vec_id"))
+    return s.select("vec_id", F.round(S.hybrid(anchor, F.greatest(F.lit(0.0), F.col("similarity"))), 4).alias("similarity"))
+
+
+# ---- functions against hand-checked values
+
+SYLLABLES, MANTRA = "རྩ་ནི་སུམ་ཅུ།", "ཨོཾ་ཧཱུྃ་ཕཊ།"
+TEXTS = [
+    ("zh_strip", "彼，血。（脈）", "彼血脈"), ("zh_length", "彼，血。", "2"), ("bo_length", SYLLABLES, "4"), ("bo_share", MANTRA, "1.0"), ("bo_share", SYLLABLES, "0.0"), ("strip_marks", " 絕智，「棄」辯。", "絕智棄辯"),
+    ("lacuna", "□□道，□", "0.75"), ("lacuna", "", "0.0"), ("sa", " Evaṃ  Mayā|12. ", "evaṃ mayā"), ("length_zh", "道可道，", "3"), ("length_bo", SYLLABLES, "4"), ("length_sa", "oṃ hūṃ", "2"), ("length_xx", "two words", "2"),
+    ("numbers_zh", "三十二", "32"), ("numbers_bo", "བཅུ་ལྔ", "15"), ("numbers_sa", "pañca", "5"), ("numbers_xx", "5", ""), ("density_zh", "金剛拏吉尼", "0.6"), ("density_zh", "拏金", "0.0"), ("density_bo", MANTRA, "1.0"), ("density_sa", "oṃ", "0.0"),
+    ("kind", "ལེའུ་སྟེ་དང་པོའོ།", "colophon"), ("kind", MANTRA, "mantra"), ("kind", SYLLABLES, "prose"), ("ordinal", "རིགས་ཀྱི་ལེའུ་སྟེ་དང་པོའོ།", "1"), ("ordinal", "ལེའུ་སྟེ་བཅུ་གཉིས་པའོ།", "12"), ("ordinal", "རྫོགས་སོ།", None),
+]
+CLASSED = lexicon.Lexicon((), "拏吉尼")
+CALLS = {
+    "zh_strip": T.zh_strip, "zh_length": T.zh_length, "bo_length": T.bo_length, "bo_share": T.bo_sanskrit_share, "strip_marks": T.strip_marks, "lacuna": T.lacuna_share, "sa": T.sa_normalize, "kind": folio.classify, "ordinal": folio.ordinal,
+    **{f"length_{x}": (lambda c, x=x: T.length_in(c, F.lit(x))) for x in ("zh", "bo", "sa", "xx")}, **{f"numbers_{x}": (lambda c, x=x: _numbers(T.numbers_in(c, F.lit(x)))) for x in ("zh", "bo", "sa", "xx")},
+    **{f"density_{x}": (lambda c, x=x: CLASSED.density_in(c, F.lit(x))) for x in ("zh", "bo", "sa")},
+}
+
+
+def _sql_rows(rows: list[tuple], names: str) -> str:
+    cells = ", ".join("(" + ", ".join("NULL" if v is None else "'" + str(v).replace("'", "''") + "'" for v in row) + ")" for row in rows)
+    return f"SELECT * FROM (VALUES {cells}) t({names})"
+
+
+@query(_sql_rows([(f, t, v) for f, t, v in TEXTS], "fn, input, value"))
+def text_functions_golden(spark: SparkSession, d: str) -> DataFrame:
+    rows = _values(spark, [(f, t) for f, t, _ in TEXTS], "fn string, input string")
+    value = F.coalesce(*(F.when(F.col("fn") == name, call(F.col("input")).cast("string")) for name, call in CALLS.items()))
+    return rows.select("fn", "input", value.alias("value"))
+
+
+SAID_ROWS = [
+    ("clamp", "1.7", "1.0"), ("clamp", "x", "0.0"), ("clamp", "-2", "0.0"), ("closed", "accept", "accept"), ("closed", "definitely", "unsure"), ("shares", '{"lacuna": 1, "abstain": 3}', "0.25"), ("shares", "{}", "0.0"),
+    ("tiles", '["甲乙。", "丙丁。"]', "甲乙。|丙丁。"), ("tiles", '["丙丁。", "甲乙。"]', "甲乙。丙丁。"), ("verbatim", '[" 甲乙 ", "戊"]', "甲乙"), ("invented", '["甲", "戊"]', "戊"),
+]
+
+
+@query(_sql_rows(SAID_ROWS, "fn, input, value"))
+def guards_golden(spark: SparkSession, d: str) -> DataFrame:
+    rows = _values(spark, [(f, t) for f, t, _ in SAID_ROWS], "fn string, input string")
+    said, text, names = F.col("input"), F.lit("甲乙。丙丁。"), ("lacuna", "abstain")
+    listed = F.coalesce(F.from_json(F.when(said.startswith("["), said), "array<string>"), F.array().cast("array<string>"))
+    shares = F.coalesce(F.from_json(F.when(said.startswith("{"), said), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    value = (
+        F.when(F.col("fn") == "clamp", G.unit_interval(said).cast("string"))
+        .when(F.col("fn") == "closed", G.one_of(said, G.VERDICTS, "unsure"))
+        .when(F.col("fn") == "shares", G.distribution(shares, names, "abstain")["lacuna"].cast("string"))
+        .when(F.col("fn") == "tiles", F.array_join(G.tiles(listed, text), "|"))
+        .when(F.col("fn") == "verbatim", F.array_join(G.verbatim(listed, text), "|"))
+        .when(F.col("fn") == "invented", F.array_join(G.invented(listed, text), "|"))
+    )
+    return rows.select("fn", "input", value.alias("value"))
+
+
+@query("SELECT '(c:2.0000,(a:0.5000,b:0.5000):1.5000);' AS newick")
+def upgma_golden(spark: SparkSession, d: str) -> DataFrame:
+    """Average linkage of three witnesses, worked out by hand."""
+    return _values(spark, [(X.tree(["a", "b", "c"], {("a", "b"): 1.0, ("a", "c"): 4.0, ("b", "c"): 4.0}),)], "newick string")
+
+
+# ---- sinks, written and read back
+
+
+@query("SELECT r_name, n_name, n_nationkey::VARCHAR AS n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A table through the CSV sink and the CSV source."""
+    rows = D.table(spark, d, "nation").join(D.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey")
+    path = scratch(spark, "csv")
+    report.write_csv(rows, path)
+    return tables.read_csv(spark, path, rows.columns)
+
+
+@query("SELECT doc_id, source, text FROM documents")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, with whatever their texts hold, through the JSON lines sink."""
+    rows = D.table(spark, d, "documents").select("doc_id", "source", "text")
+    path = scratch(spark, "jsonl")
+    report.write_jsonl(rows, path)
+    return spark.read.schema(rows.schema).json(path)

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from collatio.functions.text import CLAUSE_MARKS
 
@@ -21,20 +22,30 @@ GLOSSES = "witness string, zh string, sa string, anchor string"
 APPARATUS = "witness string, anchor string, lem string, rdg array<string>, wit array<string>"
 CLAUSE = re.compile(f"[^{CLAUSE_MARKS}]*[{CLAUSE_MARKS}]+[」』]?|[^{CLAUSE_MARKS}]+$")
 SKIPPED = {"note", "anchor", "pb"}
+TITLES = "witness string, title_note string"
+CHAPTERS = "witness string, n int, title string, start string"
+#: What a clause may consist of without being one.
+ONLY_MARKS = CLAUSE_MARKS + "「」『』 "
 
 
 def _name(el: ET.Element) -> str:
     return el.tag.rpartition("}")[2] if isinstance(el.tag, str) else ""
 
 
+def _text(el: ET.Element) -> str:
+    return "".join(el.itertext()).strip()
+
+
 @dataclass
 class _Walk:
     """A document-order walk that knows the line and chapter it is in."""
 
     witness: str
-    line: str = ""
+    line: str = "0000a00"
     chapter: int | None = None
+    title_note: str | None = None
     rows: list[tuple] = field(default_factory=list)
+    chapters: list[tuple] = field(default_factory=list)
 
     def chars(self, el: ET.Element) -> list[tuple[str, str]]:
         out = [(c, self.line) for c in el.text or ""]
@@ -49,63 +60,82 @@ class _Walk:
     def add(self, chars: list[tuple[str, str]], kind: str, notes: int = 0) -> None:
         text = "".join(c for c, _ in chars).strip()
         if text:
+            number = len(self.rows) + 1
             start, end = chars[0][1], chars[-1][1]
-            self.rows.append((self.witness, len(self.rows), f"zh:{start}:{len(self.rows):05d}", text, start, end, kind, self.chapter, notes))
+            self.rows.append((self.witness, number, f"zh:{start}:{number:05d}", text, start, end, kind, self.chapter, notes))
 
     def clauses(self, chars: list[tuple[str, str]], kind: str, notes: int = 0) -> None:
         for m in CLAUSE.finditer("".join(c for c, _ in chars)):
-            self.add(chars[m.start() : m.end()], kind, notes)
+            if m.group().strip(ONLY_MARKS):
+                self.add(chars[m.start() : m.end()], kind, notes)
 
-    def walk(self, el: ET.Element) -> None:
+    def block(self, el: ET.Element) -> None:
         name = _name(el)
         if name == "lb":
             self.line = el.get("n", self.line)
         elif name == "mulu":
-            if el.get("type") == "品" and (el.get("n") or "").isdigit():
+            if el.get("type") == "品":
                 self.chapter = int(el.get("n"))
+                self.chapters.append((self.witness, self.chapter, (el.text or "").strip(), self.line))
         elif name in ("jhead", "byline", "docNumber"):
+            if name == "jhead" and self.title_note is None:
+                note = next((x for x in el.iter() if _name(x) == "note" and x.text), None)
+                self.title_note = None if note is None else note.text.strip()
             self.add(self.chars(el), "meta")
         elif name == "head":
             self.add(self.chars(el), "head")
-        elif name == "l":
-            self.clauses(self.chars(el), "verse_line")
+        elif name == "lg":
+            for child in el:
+                if _name(child) == "lb":
+                    self.line = child.get("n", self.line)
+                elif _name(child) == "l":
+                    self.clauses(self.chars(child), "verse_line")
         elif name == "p":
             self.clauses(self.chars(el), "prose", sum(_name(x) == "note" for x in el.iter()))
         elif name not in SKIPPED:
             for child in el:
-                self.walk(child)
+                self.block(child)
 
 
-def parse(content: bytes, witness: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """Segment, gloss and apparatus rows of one document."""
+def parse(content: bytes, witness: str) -> tuple[list[tuple], ...]:
+    """Segment, gloss, apparatus, title and chapter rows of one document; an error if it has no body."""
     root = ET.fromstring(content)
     walk = _Walk(witness)
+    body = next((el for el in root.iter() if _name(el) == "body"), None)
+    if body is None:
+        raise ValueError(f"{witness}: no body")
+    for child in body:
+        walk.block(child)
     glosses, apparatus = [], []
-    for el in root.iter():
-        if _name(el) == "body":
-            walk.walk(el)
-        elif _name(el) == "tt":
-            said = {t.get("{http://www.w3.org/XML/1998/namespace}lang", ""): "".join(t.itertext()).strip() for t in el}
-            zh = next((v for k, v in said.items() if k.startswith("zh")), "")
-            sa = next((v for k, v in said.items() if k.startswith("sa")), "").rstrip(".")
+    back = next((el for el in root.iter() if _name(el) == "back"), ())
+    for el in back.iter() if len(back) else ():
+        if _name(el) == "tt":
+            said = {t.get("{http://www.w3.org/XML/1998/namespace}lang", ""): _text(t) for t in el if _name(t) == "t"}
+            zh, sa = next((v for k, v in said.items() if k.startswith("zh")), ""), said.get("sa", "").rstrip(".")
             if zh and sa:
-                glosses.append((witness, zh, sa, (el.get("from") or "").lstrip("#")))
+                glosses.append((witness, zh, sa, el.get("from", "")))
         elif _name(el) == "app":
             readings = [x for x in el if _name(x) == "rdg"]
-            lem = next(("".join(x.itertext()).strip() for x in el if _name(x) == "lem"), "")
-            apparatus.append((witness, (el.get("from") or "").lstrip("#"), lem, ["".join(x.itertext()).strip() for x in readings], [x.get("wit", "") for x in readings]))
-    return walk.rows, glosses, apparatus
+            lem = next((_text(x) for x in el if _name(x) == "lem"), "")
+            apparatus.append((witness, el.get("from", ""), lem, [_text(x) for x in readings], [x.get("wit", "") for x in readings]))
+    return walk.rows, glosses, apparatus, [(witness, walk.title_note)], walk.chapters
 
 
-def _read(spark: SparkSession, path: str, which: int, schema: str) -> DataFrame:
+def parsed(documents: DataFrame, which: int, schema: str) -> DataFrame:
+    """One kind of ``parse``'s rows of ``documents(witness, content)``."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for p, content in zip(pdf.path, pdf.content):
-                yield pd.DataFrame(parse(bytes(content), p.rpartition("/")[2].rpartition(".")[0])[which], columns=names)
+            for witness, content in zip(pdf.witness, pdf.content):
+                yield pd.DataFrame(parse(bytes(content), witness)[which], columns=names)
+
+    return documents.select("witness", "content").mapInPandas(run, schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+def _read(spark: SparkSession, path: str, which: int, schema: str) -> DataFrame:
+    stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    return parsed(spark.read.format("binaryFile").load(path).select(stem.alias("witness"), "content"), which, schema)
 
 
 def read_tei(spark: SparkSession, path: str) -> DataFrame:
@@ -118,3 +148,12 @@ def read_glosses(spark: SparkSession, path: str) -> DataFrame:
 
 def read_apparatus(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, 2, APPARATUS)
+
+
+def read_titles(spark: SparkSession, path: str) -> DataFrame:
+    """The note in each document's first title, or null."""
+    return _read(spark, path, 3, TITLES)
+
+
+def read_chapters(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, 4, CHAPTERS)

@@ -1,4 +1,5 @@
 import itertools
+import json
 import math
 import random
 
@@ -82,6 +83,13 @@ def test_bootstrap_distance_order(spark, cells):
     one = spark.createDataFrame([("c", 2.0, 4)], "chapter string, total double, n long")
     b = X.bootstrap(one, n_boot=50).first()
     assert (b.estimate, b.lo, b.hi, b.n_blocks) == (0.5, 0.5, 0.5, 1)
+    several = spark.createDataFrame([(w, f"c{i}", float(i % 3), 3) for w in "xy" for i in range(12 if w == "x" else 1)], "witness string, chapter string, total double, n long")
+    by = {r.witness: r for r in X.bootstrap(several, by=["witness"]).collect()}
+    alone = X.bootstrap(several.where("witness = 'x'")).first()
+    assert by["x"].lo < by["x"].estimate < by["x"].hi and by["y"].lo == by["y"].hi == 0.0 and (by["x"].lo, by["x"].hi) == (alone.lo, alone.hi)
+    assert abs(by["x"].estimate - 1 / 3) < 1e-9 and by["x"].n_blocks == 12
+    middle = X.bootstrap(several.where("witness = 'x'").select("chapter", "total"), n_boot=40, stat=F.median("total")).first()
+    assert middle.estimate == 1.0 and middle.lo <= 1.0 <= middle.hi
     assert math.isnan(X.bootstrap(one.limit(0)).first().estimate)
     dist = {(r.a, r.b): r for r in X.witness_distances(cells, ["d_len"]).collect()}
     assert dist["s", "w"].n == 3 and abs(dist["s", "w"].distance - 1 / 3) < 1e-9
@@ -110,5 +118,45 @@ def test_judge_with_mock(spark):
     assert [r.review_status for r in J.judge_beads(J.to_judge(rows), sure).collect()] == ["llm:split"]
     assert [r.review_status for r in J.judge_beads(J.to_judge(rows), J.Mock()).collect()] == ["llm:unsure"]
     facts = spark.createDataFrame([("u", "x is ABSENT"), ("v", "")], "unit string, facts string")
+    named = J.judge_attribution(facts, J.Mock(respond=lambda p: '{"distribution": {"lacuna": 1}, "note": "surely censored"}'))
+    assert all(r.motive and r.top == "abstain" for r in named.collect())
     said = J.judge_attribution(facts, J.Mock(respond=lambda p: '{"distribution": {"lacuna": 1}}'))
     assert {r.unit: max(r.distribution, key=r.distribution.get) for r in said.collect()} == {"u": "lacuna", "v": "abstain"}
+
+
+def test_ngrams_are_made_once_a_span(spark):
+    """The plan of the candidates builds n-grams below the join of the spans, not for every pair."""
+    side = spark.createDataFrame([("g", i, 2, t) for i, t in enumerate(("ab", "bc", "cd"))], "grp string, seq long, length long, payload string")
+    c = L.bead_candidates(side, side)
+    assert c.count() == 9 + 2 * 6 + 4 + 2 * 3
+    plan = c._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = {name: [len(line) - len(line.lstrip(" :+-")) for line in plan if name in line] for name in ("Join Inner", "zip_with")}
+    assert depth["zip_with"] and min(depth["zip_with"]) > min(depth["Join Inner"]) and sum("zip_with" in line for line in plan) <= 4
+
+
+def test_shared_keys_by_tiles(monkeypatch):
+    rng = random.Random(7)
+    a, b = ([set(rng.sample([f"k{i}" for i in range(50)] + ["num:1"], rng.randint(0, 9))) for _ in range(n)] for n in (5, 7))
+    monkeypatch.setattr(L, "TILE", 3)
+    both, x, y = L._shared(a, b, lambda k: 2.0 if k.startswith("num:") else 1.0)
+    weigh = lambda s: sum(2.0 if k.startswith("num:") else 1.0 for k in s)
+    assert all(both[i, j] == weigh(a[i] & b[j]) for i in range(5) for j in range(7)) and list(x) == [weigh(s) for s in a] and list(y) == [weigh(s) for s in b]
+
+
+def test_decompose_all_equals_single(spark, cells):
+    wanted = spark.createDataFrame([("w", "co"), ("s", None)], "witness string, cowitness string")
+    got = {r.witness: r for r in X.decompose_all(cells, wanted, ["s"], "s").collect()}
+    one = X.decompose(X.decompose_units(cells, "w", ["s"], "co", "s")).first()
+    assert all(got["w"][c] == one[c] for c in ("n_counted", "n_deviating", *X.CLASSES)) and got["s"].residual == got["s"].n_deviating == 1
+
+
+def test_reports_and_roles_without_answers(spark):
+    rows = spark.createDataFrame([("a", "x y", "xx", ["term:b"])], "unit string, text string, lang string, anchors array<string>")
+    empty = J.extract_components(rows, J.Mock()).first()
+    assert all(v == [] for v in empty.slots.values()) and empty.rejected == [] and empty.model_id == "mock"
+    assert J.call_log(J.label_topics(rows, J.Mock())).first().n_response_chars == len('{"topic": "", "cues": []}')
+    table = spark.createDataFrame([(0, "1:1", "r", "w0", ""), (1, "1:0", "r", "", ""), (2, "0:1", "", "w2", "human:ok")], "row_no long, shape string, ref_text string, wit_text string, review_status string")
+    seen = []
+    judged = J.judge_table(table, J.Mock(respond=lambda p: json.dumps({"verdict": "make_null", "confidence": 0.9, "shared_content": ["a", "b"], "note": "n" if "w0" in p and "w2" in p else "?"})))
+    got = {r.row_no: (r.review_status, r.review_note, r.model_id) for r in judged.collect()}
+    assert got == {0: ("", "", None), 1: ("llm:make_null", "[mock c=0.90] a; b n", "mock"), 2: ("human:ok", "", None)} and not seen

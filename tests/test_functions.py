@@ -60,3 +60,15 @@ def test_guards(spark):
     assert dist[0][0] == {"a": 1.0, "b": 0.0, "c": 0.0, "abstain": 0.0} and dist[1][0]["abstain"] == 1.0
     tiled = one(spark, [(["ab", "cd"], "ab cd"), (["cd", "ab"], "ab cd")], "p array<string>, t string", G.tiles(F.col("p"), F.col("t")))
     assert tiled == [(["ab", "cd"],), (["ab cd"],)]
+
+
+def test_density_marks_terms_and_runs_apart(spark):
+    lex = lexicon.Lexicon((lexicon.Term("a", "name", {"zh": ("拏吉", "吉尼金")}, True), lexicon.Term("b", "name", {"zh": ("薩",)}, True)), "拏吉尼")
+    got = one(spark, [("拏金薩",), ("薩",), ("拏",), ("拏吉尼金",), ("",), ("金，拏尼。",)], "x string", lex.density(F.col("x"), "zh"))
+    assert [round(g[0], 4) for g in got] == [0.3333, 1.0, 0.0, 1.0, 0.0, 0.6667]
+
+
+def test_anchors_of_normalised_sanskrit(spark):
+    lex = lexicon.Lexicon((lexicon.Term("yogin", "term", {"sa": ("yogin",)}),))
+    got = one(spark, [("YOGIN 3",)], "x string", lex.anchors_in(F.col("x"), F.lit("sa")))
+    assert got == [(["term:yogin"],)]
