@@ -91,3 +91,12 @@ def test_hot_keys_give_the_same_groups(spark):
 def test_empty_table(spark):
     out = simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert out.columns == ["doc_id", "fingerprint", "component_id"] and out.count() == 0
+
+
+def test_ids_of_any_type(spark):
+    from collatio.llm import copies, simhash
+
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "nothing alike in here at all"), (None, "one two three four five six")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for found in (simhash.near_duplicates(df), copies.near_copies(df)):
+        assert sorted((r.doc_id or "", r.component_id) for r in found.collect()) == [("", "a"), ("a", "a"), ("b", "a"), ("c", "c")]
