@@ -41,7 +41,9 @@ def _fingerprints(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
 
 def transfer(args: argparse.Namespace, spark: SparkSession) -> None:
     """Same-language witnesses; a witness whose file is missing is named in the manifest and has no column."""
-    registry = tables.load_registry(spark, f"{args.config}/witnesses.yaml").select(F.col("id").alias("witness"), "scope", "reference", "cowitness", "file")
+    registry = tables.load_registry(spark, f"{args.config}/witnesses.yaml").select(
+        F.col("id").alias("witness"), "scope", "reference", "cowitness", "file",
+    )
     named = [r.asDict() for r in registry.collect()]  # the registry's rows, one a witness
     have = {w["witness"]: w for w in named if _exists(spark, f"{args.texts}/{w['file']}")}
     reference = next((w["witness"] for w in named if w["reference"]), None)
@@ -55,7 +57,10 @@ def transfer(args: argparse.Namespace, spark: SparkSession) -> None:
     others = [n for n in have if n != reference]
     m.reference, m.cowitness = reference, {n: have[n]["cowitness"] for n in others}
     missing = [w["witness"] for w in named if w["witness"] not in have]
-    about = {"command": "transfer", "params": TR.PARAMS.__dict__, "missing": missing, "variants_used": len(variants.mapping), "inputs": _fingerprints(spark, [f"{args.texts}/{w['file']}" for w in have.values()])}
+    about = {
+        "command": "transfer", "params": TR.PARAMS.__dict__, "missing": missing, "variants_used": len(variants.mapping),
+        "inputs": _fingerprints(spark, [f"{args.texts}/{w['file']}" for w in have.values()]),
+    }
     report.export(m, args.out, others, about)
 
 
@@ -68,7 +73,10 @@ def run(args: argparse.Namespace, spark: SparkSession, encode: R.Encoder | None
     m = R.run(spark, args.data, tei_path, folio_path, params, R.Similarity(args.similarity, args.embedding_model, encode=encode), given)
     inputs = [tei_path, folio_path, *([editions] if given is not None else [])]
     similarity = {"kind": args.similarity, "embedding_model": args.embedding_model if args.similarity != "anchors" else None}
-    report.export(m, args.out, list(m.witnesses), {"command": "run", "params": params.__dict__, "similarity_backend": similarity, "inputs": _fingerprints(spark, inputs)})
+    report.export(
+        m, args.out, list(m.witnesses),
+        {"command": "run", "params": params.__dict__, "similarity_backend": similarity, "inputs": _fingerprints(spark, inputs)},
+    )
 
 
 # ---- model-backed roles
@@ -110,7 +118,9 @@ def llm_extract(args: argparse.Namespace, spark: SparkSession) -> None:
     lexicon = tables.load_lexicon(f"{args.data}/anchors/terms.yaml")
     rows = _rows(spark, args.cells).where(F.col("status").isin("PRESENT", "PARTIAL") & (F.col("text") != ""))
     rows = rows.where(F.col("witness") == args.witness) if args.witness else rows
-    asked = _limited(rows, args.limit, ["witness", "unit"]).select("unit", "witness", "text", F.lit(args.lang).alias("lang"), lexicon.anchors(F.col("text"), args.lang).alias("anchors"))
+    asked = _limited(rows, args.limit, ["witness", "unit"]).select(
+        "unit", "witness", "text", F.lit(args.lang).alias("lang"), lexicon.anchors(F.col("text"), args.lang).alias("anchors"),
+    )
     done = _answered(J.extract_components(asked, _model(args)), args.out)
     report.write_jsonl(done.select("unit", "witness", "text", "lang", "model_id", "slots", "lexicon_keys", "rejected"), args.out)
     print(f"{done.count()} segments: {args.out}")
@@ -119,7 +129,12 @@ def llm_extract(args: argparse.Namespace, spark: SparkSession) -> None:
 def llm_attribute(args: argparse.Namespace, spark: SparkSession) -> None:
     cells = _rows(spark, args.cells)
     targets = _limited(cells.where((F.col("witness") == args.witness) & F.col("status").isin("ABSENT", "PARTIAL")), args.limit, ["unit"])
-    own = targets.select("unit", "witness", F.concat(F.col("witness"), F.lit(": "), F.col("status"), F.lit(", bead "), F.col("bead"), F.lit(", evidence "), F.col("evidence")).alias("own"))
+    own = targets.select(
+        "unit", "witness",
+        F.concat(
+            F.col("witness"), F.lit(": "), F.col("status"), F.lit(", bead "), F.col("bead"), F.lit(", evidence "), F.col("evidence"),
+        ).alias("own"),
+    )
     met = own.join(A.facts(cells, targets), ["unit", "witness"], "left")
     rows = met.select("unit", "witness", F.concat_ws("; ", "own", "facts").alias("facts"))
     done = _answered(J.judge_attribution(rows, _model(args)), args.out)
@@ -178,12 +193,30 @@ REQUIRED = object()
 Options = dict[str, object]
 MODEL: Options = {"llm": "mock", "models": None, "limit": 0}
 COMMANDS: dict[str, tuple[Callable, Options]] = {
-    "run": (run, {"raw": "data/raw", "out": "out", "data": "data", "tei": "*.xml", "folio": "*.txt", "prior-null": L.Params.prior_null, "anchor-weight": L.Params.anchor_weight, "similarity": "anchors", "embedding-model": R.Similarity.model}),
+    "run": (
+        run,
+        {
+            "raw": "data/raw", "out": "out", "data": "data", "tei": "*.xml", "folio": "*.txt", "prior-null": L.Params.prior_null,
+            "anchor-weight": L.Params.anchor_weight, "similarity": "anchors", "embedding-model": R.Similarity.model,
+        },
+    ),
     "transfer": (transfer, {"config": REQUIRED, "texts": REQUIRED, "out": "out"}),
-    "llm-judge": (llm_judge, MODEL | {"review": "out/alignment_review.csv", "out": None, "ref-lang": "bo", "wit-lang": "zh", "shapes": ",".join(J.DOUBTFUL), "min-confidence": 0.6}),
-    "llm-extract": (llm_extract, MODEL | {"cells": "out/cells.csv", "data": "data", "witness": None, "lang": "zh", "out": "out/derived/components.jsonl"}),
+    "llm-judge": (
+        llm_judge,
+        MODEL | {
+            "review": "out/alignment_review.csv", "out": None, "ref-lang": "bo", "wit-lang": "zh", "shapes": ",".join(J.DOUBTFUL),
+            "min-confidence": 0.6,
+        },
+    ),
+    "llm-extract": (
+        llm_extract,
+        MODEL | {"cells": "out/cells.csv", "data": "data", "witness": None, "lang": "zh", "out": "out/derived/components.jsonl"},
+    ),
     "llm-attribute": (llm_attribute, MODEL | {"cells": "out/cells.csv", "witness": R.TEI_WITNESS, "out": "out/derived/attribution_llm.csv"}),
-    "llm-probe": (llm_probe, MODEL | {"passages": "out/cells.csv", "prefix-chars": 40, "min-chars": 80, "threshold": 0.5, "out": "out/derived/contamination_probe.json"}),
+    "llm-probe": (
+        llm_probe,
+        MODEL | {"passages": "out/cells.csv", "prefix-chars": 40, "min-chars": 80, "threshold": 0.5, "out": "out/derived/contamination_probe.json"},
+    ),
     "llm-counterfactual": (llm_counterfactual, MODEL | {"items": REQUIRED, "out": "out/derived/counterfactual.csv"}),
     "query": (query, {"name": REQUIRED, "data": REQUIRED, "out": REQUIRED}),
     "fingerprint": (fingerprint, {"paths": REQUIRED, "out": REQUIRED}),
@@ -199,7 +232,10 @@ def parser() -> argparse.ArgumentParser:
         p = commands.add_parser(name)
         for option, default in options.items():
             kind = type(default) if isinstance(default, (int, float)) else str
-            p.add_argument(f"--{option}", required=default is REQUIRED, default=None if default is REQUIRED else default, type=kind, choices=("anchors", "embedding", "hybrid") if option == "similarity" else None)
+            p.add_argument(
+                f"--{option}", required=default is REQUIRED, default=None if default is REQUIRED else default, type=kind,
+                choices=("anchors", "embedding", "hybrid") if option == "similarity" else None,
+            )
     return out
 
 

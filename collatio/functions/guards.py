@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 # Slots, verdicts and topics that a model may answer with.
 SLOTS = ("actor", "action", "patient", "instrument", "negation", "condition", "quantity", "result")
 VERDICTS = ("accept", "shift_left", "shift_right", "split", "merge", "make_null", "unsure")
-TOPICS = ("sexual_yoga", "violent_rite", "transgressive_substance", "charnel_imagery", "mantra_ritual", "doctrine_philosophy", "iconography", "narrative_frame", "other")
+TOPICS = (
+    "sexual_yoga", "violent_rite", "transgressive_substance", "charnel_imagery", "mantra_ritual", "doctrine_philosophy", "iconography",
+    "narrative_frame", "other",
+)
 
 
 def _strip(c: Column) -> Column:
@@ -81,7 +84,10 @@ def component_deviation(ref: Column, wit: Column) -> Column:
     """Slots lost and added between two maps slot -> values, and the share of the reference's that is lost."""
     r, w = filled(ref), filled(wit)
     lost = F.array_sort(F.array_except(r, w))
-    return F.struct(lost.alias("lost"), F.array_sort(F.array_except(w, r)).alias("added"), F.when(F.size(r) > 0, F.size(lost) / F.size(r)).otherwise(0.0).alias("loss_rate"))
+    return F.struct(
+        lost.alias("lost"), F.array_sort(F.array_except(w, r)).alias("added"),
+        F.when(F.size(r) > 0, F.size(lost) / F.size(r)).otherwise(0.0).alias("loss_rate"),
+    )
 
 
 def probe_items(text: Column, prefix: int = 40, least: int = 80) -> Column:

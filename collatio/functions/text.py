@@ -63,7 +63,10 @@ def zh_number(c: Column) -> Column:
         return (
             F.when(digit.isNotNull(), F.struct(acc["total"].alias("total"), acc["section"].alias("section"), digit.alias("digit")))
             .when(unit < 10000, F.struct(acc["total"].alias("total"), small.alias("section"), nothing.alias("digit")))
-            .when(unit.isNotNull(), F.struct((acc["total"] + (acc["section"] + acc["digit"]) * unit).alias("total"), nothing.alias("section"), nothing.alias("digit")))
+            .when(
+                unit.isNotNull(),
+                F.struct((acc["total"] + (acc["section"] + acc["digit"]) * unit).alias("total"), nothing.alias("section"), nothing.alias("digit")),
+            )
             .otherwise(acc)
         )
 

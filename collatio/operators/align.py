@@ -158,7 +158,9 @@ def _shared(a: list[set], b: list[set], weigh: Callable[[str], float] | None = N
 EVEN = 1e-9
 
 
-def solve(ref_len: Sequence[float], wit_len: Sequence[float], ref: Sequence, wit: Sequence, sim, p: Params, ratio: float | None = None) -> list[tuple[list[int], list[int], float, float]]:
+def solve(
+    ref_len: Sequence[float], wit_len: Sequence[float], ref: Sequence, wit: Sequence, sim, p: Params, ratio: float | None = None,
+) -> list[tuple[list[int], list[int], float, float]]:
     """The cheapest beads ``(ref indices, wit indices, cost, similarity)`` of one group.
 
     The table is filled diagonal by diagonal (reference plus witness segments used), a whole
@@ -206,7 +208,9 @@ def solve(ref_len: Sequence[float], wit_len: Sequence[float], ref: Sequence, wit
         k, l = shapes[back[i, j]]  # noqa: E741
         a, b = i - k, j - l
         two = bool(k and l)
-        beads.append((list(range(a, i)), list(range(b, j)), float(cost[k, l][a, b]) if two else p.prior_null, float(like[k, l][a, b]) if two else 0.0))
+        beads.append(
+            (list(range(a, i)), list(range(b, j)), float(cost[k, l][a, b]) if two else p.prior_null, float(like[k, l][a, b]) if two else 0.0)
+        )
         i, j = a, b
     return beads[::-1]
 
@@ -237,8 +241,12 @@ def spans(side: DataFrame, sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:
     w = Window.partitionBy("grp").orderBy("seq")
     rows = side.withColumn("first", F.row_number().over(w) - 1)
     ahead = w.rowsBetween(0, max(sizes) - 1)
-    rows = rows.withColumn("next", F.collect_list(F.struct(F.greatest(F.lit(1), F.col("length")).cast("double").alias("length"), "payload")).over(ahead))
-    cut = rows.select("grp", "first", F.explode(F.array(*map(F.lit, sizes))).alias("k"), "next").where(F.size("next") >= F.col("k")).withColumn("part", F.slice("next", F.lit(1), F.col("k")))
+    rows = rows.withColumn(
+        "next", F.collect_list(F.struct(F.greatest(F.lit(1), F.col("length")).cast("double").alias("length"), "payload")).over(ahead),
+    )
+    cut = rows.select(
+        "grp", "first", F.explode(F.array(*map(F.lit, sizes))).alias("k"), "next",
+    ).where(F.size("next") >= F.col("k")).withColumn("part", F.slice("next", F.lit(1), F.col("k")))
     total = F.aggregate("part", F.lit(0.0), lambda s, x: s + x["length"])
     return cut.select("grp", "first", "k", total.alias("length"), F.array_join(F.transform("part", lambda x: x["payload"]), "").alias("text"))
 
@@ -247,7 +255,9 @@ def expected_ratio(ref: DataFrame, wit: DataFrame) -> DataFrame:
     """``(grp, ratio)`` of witness to reference length; 1 where the reference side is empty."""
     a = ref.groupBy("grp").agg(F.sum(F.greatest(F.lit(1), F.col("length"))).alias("r"))
     b = wit.groupBy("grp").agg(F.sum(F.greatest(F.lit(1), F.col("length"))).alias("w"))
-    return a.join(b, "grp", "full").select("grp", F.when(F.coalesce("r", F.lit(0)) > 0, F.coalesce("w", F.lit(0)) / F.col("r")).otherwise(1.0).alias("ratio"))
+    return a.join(b, "grp", "full").select(
+        "grp", F.when(F.coalesce("r", F.lit(0)) > 0, F.coalesce("w", F.lit(0)) / F.col("r")).otherwise(1.0).alias("ratio"),
+    )
 
 
 def _for_partners(side: DataFrame, mine: int, other: str, own: str) -> DataFrame:
@@ -275,7 +285,9 @@ def bead_candidates(ref: DataFrame, wit: DataFrame, params: Params | None = None
         prior = F.when(hit, p.prior(k, l)) if prior is None else prior.when(hit, p.prior(k, l))
     r = _for_partners(ref, 0, "l", "k").select("grp", "k", "l", F.col("first").alias("i"), F.col("length").alias("lr"), F.col("grams").alias("gr"))
     w = _for_partners(wit, 1, "k", "l").select("grp", "k", "l", F.col("first").alias("j"), F.col("length").alias("lw"), F.col("grams").alias("gw"))
-    met = r.join(w, ["grp", "k", "l"]).withColumn("similarity", S.dice_of(F.col("gr"), F.col("gw"))).drop("gr", "gw").join(expected_ratio(ref, wit), "grp")
+    met = r.join(w, ["grp", "k", "l"]).withColumn(
+        "similarity", S.dice_of(F.col("gr"), F.col("gw")),
+    ).drop("gr", "gw").join(expected_ratio(ref, wit), "grp")
     cost = prior + p.length_weight * S.length_cost(F.col("lr"), F.col("lw"), F.col("ratio"), p.variance) - p.anchor_weight * F.col("similarity")
     return met.select("grp", "i", "j", "k", "l", "similarity", cost.alias("cost"))
 
@@ -293,7 +305,9 @@ def no_density(text: Column, lang: Column) -> Column:
     return F.lit(0.0)
 
 
-def cells_from_beads(beads: DataFrame, units: DataFrame, wits: DataFrame, witness: Column | str, density: Callable[[Column, Column], Column] = no_density) -> DataFrame:
+def cells_from_beads(
+    beads: DataFrame, units: DataFrame, wits: DataFrame, witness: Column | str, density: Callable[[Column, Column], Column] = no_density,
+) -> DataFrame:
     """Cells of aligned groups; ``witness`` is a name, or a column computed from ``grp``.
 
     ``units(grp, seq, unit, chapter, kind, length, position, flag)``,
@@ -319,7 +333,9 @@ def cells_from_beads(beads: DataFrame, units: DataFrame, wits: DataFrame, witnes
     )
     ref_side = b.select("grp", "bead_no", F.explode("ref").alias("i")).join(u, ["grp", "i"])
     sums = ref_side.groupBy("grp", "bead_no").agg(F.sum("length").alias("lr"), F.count("*").alias("n"))
-    both = b.select("grp", "bead_no", "bead", "similarity", F.size("wit").alias("m")).join(wit_side, ["grp", "bead_no"], "left").join(sums, ["grp", "bead_no"], "left")
+    both = b.select(
+        "grp", "bead_no", "bead", "similarity", F.size("wit").alias("m"),
+    ).join(wit_side, ["grp", "bead_no"], "left").join(sums, ["grp", "bead_no"], "left")
     matched = F.col("m") > 0
     on_units = ref_side.select("grp", "bead_no", "unit", "chapter", "kind", "position", "flag").join(both, ["grp", "bead_no"])
     unit_cells = on_units.select(
@@ -327,10 +343,15 @@ def cells_from_beads(beads: DataFrame, units: DataFrame, wits: DataFrame, witnes
         F.when(matched, "PRESENT").when(F.col("flag") == "LACUNA", "LACUNA").otherwise("ABSENT").alias("status"),
         "span_start", "span_end", "bead", F.when(matched, 1.0).otherwise(0.0).alias("d_cov"),
         F.when(matched, F.ln(F.col("lw") / F.col("lr"))).alias("d_len"), F.when(matched, F.col("density")).alias("d_lit"),
-        F.when(matched, F.abs(F.col("pos_w") - F.col("position"))).alias("d_ord"), F.when(matched, F.ln((F.col("n") * F.col("m")).cast("double"))).otherwise(0.0).alias("d_split"),
+        F.when(matched, F.abs(F.col("pos_w") - F.col("position"))).alias("d_ord"), F.when(
+            matched, F.ln((F.col("n") * F.col("m")).cast("double")),
+        ).otherwise(0.0).alias("d_split"),
         F.lit(None).cast("double").alias("d_lex"), "similarity", F.substring("text", 1, 80).alias("text"), F.lit("auto").alias("provenance"),
     )
-    orphan = F.concat(F.lit("+"), witness, F.lit(":"), F.when(F.col("span_start") == F.col("span_end"), F.col("span_start")).otherwise(F.concat_ws("-", "span_start", "span_end")))
+    orphan = F.concat(
+        F.lit("+"), witness, F.lit(":"),
+        F.when(F.col("span_start") == F.col("span_end"), F.col("span_start")).otherwise(F.concat_ws("-", "span_start", "span_end")),
+    )
     nothing = F.lit(None).cast("double")
     orphans = both.where("n is null").select(
         "grp", "bead_no", orphan.alias("unit"), witness.alias("witness"), F.col("grp").alias("chapter"), F.col("wit_kind").alias("kind"), F.lit("PRESENT").alias("status"), "span_start", "span_end", "bead",
@@ -346,15 +367,22 @@ def reorder(cells: DataFrame, units: DataFrame, wits: DataFrame, low: float = 0.
     ``units(unit, grp, norm, position)``, ``wits(grp, seq, start, end, text, norm, position)``. Of
     equally similar clauses the last one counts. Adds ``from_start`` where a cell was relinked.
     """
-    poor = cells.where((F.col("status") == "PRESENT") & ~F.col("unit").startswith("+") & (F.coalesce("similarity", F.lit(0.0)) < low)).select("unit", "witness", "span_start")
+    poor = cells.where(
+        (F.col("status") == "PRESENT") & ~F.col("unit").startswith("+") & (F.coalesce("similarity", F.lit(0.0)) < low)
+    ).select("unit", "witness", "span_start")
     left = poor.join(units.select("unit", "grp", F.col("position").alias("up"), S.dice_grams(F.col("norm")).alias("ug")), "unit")
     right = wits.select("grp", "seq", "start", "end", "text", F.col("position").alias("wp"), S.dice_grams(F.col("norm")).alias("wg"))
     met = left.join(right, "grp").withColumn("s", S.dice_of(F.col("ug"), F.col("wg"))).drop("ug", "wg")
     best = met.groupBy("unit", "witness", "span_start", "up").agg(F.max(F.struct("s", "seq", "start", "end", "text", "wp")).alias("b"))
-    hits = best.where((F.col("b.s") >= high) & ~F.col("b.start").eqNullSafe(F.col("span_start"))).select("unit", "witness", F.col("span_start").alias("from_start"), "b", F.abs(F.col("b.wp") - F.col("up")).alias("moved"))
+    hits = best.where((F.col("b.s") >= high) & ~F.col("b.start").eqNullSafe(F.col("span_start"))).select(
+        "unit", "witness", F.col("span_start").alias("from_start"), "b", F.abs(F.col("b.wp") - F.col("up")).alias("moved"),
+    )
     joined = cells.join(hits, ["unit", "witness"], "left")
     new = F.col("b").isNotNull()
-    change = {"similarity": F.col("b.s"), "d_lex": 1 - F.col("b.s"), "d_ord": F.col("moved"), "span_start": F.col("b.start"), "span_end": F.col("b.end"), "text": F.substring(F.col("b.text"), 1, 80), "bead": F.lit("1:1*"), "provenance": F.lit("reorder_pass")}
+    change = {
+        "similarity": F.col("b.s"), "d_lex": 1 - F.col("b.s"), "d_ord": F.col("moved"), "span_start": F.col("b.start"),
+        "span_end": F.col("b.end"), "text": F.substring(F.col("b.text"), 1, 80), "bead": F.lit("1:1*"), "provenance": F.lit("reorder_pass"),
+    }
     return joined.select(*(F.when(new, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in cells.columns), "from_start")
 
 

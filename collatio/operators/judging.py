@@ -71,7 +71,10 @@ class ChatServer:
     key: str = "EMPTY"
 
     def body(self, prompt: str, fields: dict | None = None, most: int = 1024) -> dict:
-        out: dict[str, Any] = {"model": self.name, "seed": self.seed, "temperature": 0.0, "max_tokens": most, "messages": [{"role": "system", "content": SYSTEM}, {"role": "user", "content": prompt}]}
+        out: dict[str, Any] = {
+            "model": self.name, "seed": self.seed, "temperature": 0.0, "max_tokens": most,
+            "messages": [{"role": "system", "content": SYSTEM}, {"role": "user", "content": prompt}],
+        }
         if fields is not None:
             out["response_format"] = {"type": "json_schema", "json_schema": {"name": "out", "schema": fields}}
             out["guided_json"] = fields
@@ -165,18 +168,26 @@ def judge_beads(rows: DataFrame, model, least: float = 0.6, ref_lang: str = "ref
 
     prompt = F.concat(
         F.lit("An aligner pairs two passages as a bead of shape "), F.col("shape"), part(f"Reference ({ref_lang})", "ref_text"), part(f"Witness ({wit_lang})", "wit_text"), part("Witness before", "before"), part("Witness after", "after"),
-        F.lit("\n\nDo they say the same? Answer with a verdict (" + ", ".join(G.VERDICTS) + "), your confidence from 0 to 1, and the content they share."),
+        F.lit(
+            "\n\nDo they say the same? Answer with a verdict (" + ", ".join(G.VERDICTS) + "), your confidence from 0 to 1, and the content they share."
+        ),
     )
     out = ask(rows, prompt, model, VERDICT, 400)
     a = G.answer(F.col("response"), "verdict string, confidence string, shared_content array<string>, note string")
-    out = out.withColumn("_a", a).withColumn("verdict", G.one_of(F.col("_a.verdict"), G.VERDICTS, "unsure")).withColumn("confidence", G.unit_interval(F.col("_a.confidence")))
+    out = out.withColumn("_a", a).withColumn(
+        "verdict", G.one_of(F.col("_a.verdict"), G.VERDICTS, "unsure"),
+    ).withColumn("confidence", G.unit_interval(F.col("_a.confidence")))
     status = F.concat(F.lit("llm:"), F.when(F.col("confidence") >= least, F.col("verdict")).otherwise("unsure"))
     shared = F.array_join(F.coalesce("_a.shared_content", F.array().cast("array<string>")), "; ")
-    note = F.trim(F.concat(F.lit(f"[{model.name} c="), F.format_string("%.2f", "confidence"), F.lit("] "), shared, F.lit(" "), F.coalesce("_a.note", F.lit(""))))
+    note = F.trim(
+        F.concat(F.lit(f"[{model.name} c="), F.format_string("%.2f", "confidence"), F.lit("] "), shared, F.lit(" "), F.coalesce("_a.note", F.lit("")))
+    )
     return out.withColumn("review_status", status).withColumn("review_note", note).drop("_a")
 
 
-def judge_table(rows: DataFrame, model, shapes: tuple[str, ...] = DOUBTFUL, least: float = 0.6, ref_lang: str = "reference", wit_lang: str = "witness") -> DataFrame:
+def judge_table(
+    rows: DataFrame, model, shapes: tuple[str, ...] = DOUBTFUL, least: float = 0.6, ref_lang: str = "reference", wit_lang: str = "witness",
+) -> DataFrame:
     """A review table ``(row_no, …)`` whose doubtful rows without a status are judged; the others stay as they are.
 
     The calls' records stay in the table (null where no call was made).
@@ -184,7 +195,9 @@ def judge_table(rows: DataFrame, model, shapes: tuple[str, ...] = DOUBTFUL, leas
     named = rows if "review_note" in rows.columns else rows.withColumn("review_note", F.lit(""))
     near = neighbours(named)
     done = judge_beads(near.where(_doubtful(shapes)), model, least, ref_lang, wit_lang)
-    return done.select(*named.columns, "response", *CALL).unionByName(near.where(~F.coalesce(_doubtful(shapes), F.lit(False))).select(*named.columns), allowMissingColumns=True)
+    return done.select(*named.columns, "response", *CALL).unionByName(
+        near.where(~F.coalesce(_doubtful(shapes), F.lit(False))).select(*named.columns), allowMissingColumns=True,
+    )
 
 
 # ---- other roles
@@ -199,14 +212,19 @@ def segment(rows: DataFrame, model) -> DataFrame:
 
 def extract_components(rows: DataFrame, model) -> DataFrame:
     """``slots`` (verbatim values by slot), ``rejected`` and ``lexicon_keys`` of rows ``(text, lang, anchors)``."""
-    asked = F.concat(F.lit("Segment ("), F.col("lang"), F.lit("):\n"), F.col("text"), F.lit("\n\nAnchors: "), F.array_join("anchors", ", "), F.lit("\n\nFill the slots " + ", ".join(G.SLOTS) + " with exact substrings; list the anchors used."))
+    asked = F.concat(
+        F.lit("Segment ("), F.col("lang"), F.lit("):\n"), F.col("text"), F.lit("\n\nAnchors: "), F.array_join("anchors", ", "),
+        F.lit("\n\nFill the slots " + ", ".join(G.SLOTS) + " with exact substrings; list the anchors used."),
+    )
     out = ask(rows, asked, model, schema({**dict.fromkeys(G.SLOTS, "array"), "lexicon_keys": "array"}, G.SLOTS), 512)
     out = out.withColumn("_a", G.answer(F.col("response"), ", ".join(f"{s} array<string>" for s in (*G.SLOTS, "lexicon_keys"))))
     none = F.array().cast("array<string>")
     got = {s: F.coalesce(F.col(f"_a.{s}"), none) for s in (*G.SLOTS, "lexicon_keys")}
     slots = F.create_map(*(x for s in G.SLOTS for x in (F.lit(s), G.verbatim(got[s], F.col("text")))))
     rejected = F.concat(*(F.transform(G.invented(got[s], F.col("text")), _named(s)) for s in G.SLOTS))
-    return out.withColumn("slots", slots).withColumn("rejected", rejected).withColumn("lexicon_keys", G.allowed_only(got["lexicon_keys"], F.col("anchors"))).drop("_a")
+    return out.withColumn("slots", slots).withColumn("rejected", rejected).withColumn(
+        "lexicon_keys", G.allowed_only(got["lexicon_keys"], F.col("anchors")),
+    ).drop("_a")
 
 
 def _named(slot: str) -> Callable[[Column], Column]:
@@ -216,10 +234,18 @@ def _named(slot: str) -> Callable[[Column], Column]:
 def label_topics(rows: DataFrame, model) -> DataFrame:
     out = ask(rows, F.concat(F.lit("Topic of:\n"), F.col("text")), model, schema({"topic": G.TOPICS, "cues": "array"}, ("topic",)), 200)
     out = out.withColumn("_a", G.answer(F.col("response"), "topic string, cues array<string>"))
-    return out.withColumn("topic", G.one_of(F.col("_a.topic"), G.TOPICS, "other")).withColumn("cues", G.verbatim(F.coalesce("_a.cues", F.array().cast("array<string>")), F.col("text"))).drop("_a")
+    return out.withColumn("topic", G.one_of(F.col("_a.topic"), G.TOPICS, "other")).withColumn(
+        "cues", G.verbatim(F.coalesce("_a.cues", F.array().cast("array<string>")), F.col("text")),
+    ).drop("_a")
 
 
-SHARES = schema({"distribution": {"type": "object", "properties": {k: {"type": "number"} for k in LABELS}}, "cited_facts": {"type": "array", "items": {"type": "integer"}}, "note": "string"}, ("distribution",))
+SHARES = schema(
+    {
+        "distribution": {"type": "object", "properties": {k: {"type": "number"} for k in LABELS}},
+        "cited_facts": {"type": "array", "items": {"type": "integer"}}, "note": "string",
+    },
+    ("distribution",),
+)
 
 
 def judge_attribution(rows: DataFrame, model) -> DataFrame:
@@ -228,10 +254,15 @@ def judge_attribution(rows: DataFrame, model) -> DataFrame:
     Adds ``distribution``, ``top``, ``cited`` (numbers of facts there are), ``note`` and ``motive``. A
     note that names a motive, or no facts, abstains.
     """
-    listed = F.col("facts") if rows.schema["facts"].dataType.simpleString().startswith("array") else F.filter(F.split(F.coalesce("facts", F.lit("")), "; "), lambda x: x != "")
+    listed = F.col("facts") if rows.schema["facts"].dataType.simpleString().startswith("array") else F.filter(
+        F.split(F.coalesce("facts", F.lit("")), "; "), lambda x: x != "",
+    )
     kept = F.coalesce(listed, F.array().cast("array<string>"))
     numbered = F.array_join(F.transform(kept, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x)), "\n")
-    prompt = F.concat(F.lit("A unit is not kept whole by a witness. These numbered facts are all the evidence:\n"), numbered, F.lit("\n\nShare out probability over " + ", ".join(LABELS) + ", and cite the numbers you used."))
+    prompt = F.concat(
+        F.lit("A unit is not kept whole by a witness. These numbered facts are all the evidence:\n"), numbered,
+        F.lit("\n\nShare out probability over " + ", ".join(LABELS) + ", and cite the numbers you used."),
+    )
     out = ask(rows.withColumn("_facts", kept), prompt, model, SHARES, 300)
     out = out.withColumn("_a", G.answer(F.col("response"), "distribution map<string,string>, cited_facts array<string>, note string"))
     note = F.coalesce("_a.note", F.lit(""))
@@ -240,7 +271,9 @@ def judge_attribution(rows: DataFrame, model) -> DataFrame:
     raw = F.when(motive | (F.size("_facts") == 0), empty).otherwise(F.coalesce("_a.distribution", empty))
     number = F.transform(F.coalesce("_a.cited_facts", F.array().cast("array<string>")), lambda x: x.try_cast("double").cast("int"))
     cited = F.filter(number, lambda i: (i >= 1) & (i <= F.size("_facts")))
-    out = out.withColumn("motive", motive).withColumn("note", note).withColumn("cited", cited).withColumn("distribution", G.distribution(raw, LABELS, "abstain"))
+    out = out.withColumn("motive", motive).withColumn("note", note).withColumn("cited", cited).withColumn(
+        "distribution", G.distribution(raw, LABELS, "abstain"),
+    )
     most = F.array_max(F.map_values("distribution"))
     top = F.coalesce(*(F.when(F.col("distribution")[x] == most, x) for x in LABELS))
     return out.withColumn("top", top).drop("_a", "_facts")
@@ -256,18 +289,26 @@ def explain(rows: DataFrame, model) -> DataFrame:
 def counterfactual(items: DataFrame, models: list) -> DataFrame:
     """Answers ``(model, unit, a, b)`` without and with ``fact``, for items ``(unit, source_text, fact[, context])``."""
     context = F.col("context") if "context" in items.columns else F.lit("")
-    asked = F.concat(F.lit("The source has unit "), F.col("unit"), F.lit(":\n"), F.col("source_text"), F.lit("\n\nThe translation has no counterpart of it; around its place stands:\n"), context, F.lit("\n\nSay in two sentences how this may have come about."))
+    asked = F.concat(
+        F.lit("The source has unit "), F.col("unit"), F.lit(":\n"), F.col("source_text"),
+        F.lit("\n\nThe translation has no counterpart of it; around its place stands:\n"), context,
+        F.lit("\n\nSay in two sentences how this may have come about."),
+    )
     out = None
     for m in models:
         a = ask(items.withColumn("_asked", asked), F.col("_asked"), m, None, 200).select("unit", "fact", "_asked", F.col("response").alias("a"))
-        b = ask(a, F.concat(F.col("_asked"), F.lit("\n\nAdditional fact: "), F.col("fact")), m, None, 200).select(F.lit(m.name).alias("model"), "unit", "a", F.col("response").alias("b"))
+        b = ask(
+            a, F.concat(F.col("_asked"), F.lit("\n\nAdditional fact: "), F.col("fact")), m, None, 200,
+        ).select(F.lit(m.name).alias("model"), "unit", "a", F.col("response").alias("b"))
         out = b if out is None else out.unionByName(b)
     return out
 
 
 def probe(items: DataFrame, model, n: int = 4, prefix: int = 40, least: int = 80) -> DataFrame:
     """``(source, ref, overlap, response, CALL…)``: recall of a passage's continuation in the model's, cut to twice its length."""
-    parts = items.withColumn("_p", G.probe_items(F.col("text"), prefix, least)).where("_p is not null").select("source", "ref", "_p.prefix", "_p.continuation")
+    parts = items.withColumn(
+        "_p", G.probe_items(F.col("text"), prefix, least),
+    ).where("_p is not null").select("source", "ref", "_p.prefix", "_p.continuation")
     out = ask(parts, F.concat(F.lit("Continue this passage word for word as it was published; write nothing else.\n\n"), F.col("prefix")), model)
     said = F.substr(F.regexp_replace("response", r"(?s)<think>.*?</think>", ""), F.lit(1), 2 * F.length("continuation"))
     return out.select("source", "ref", gram_recall(F.col("continuation"), said, n).alias("overlap"), "response", *CALL)

@@ -73,8 +73,13 @@ def edition_cells(units: DataFrame, edition: DataFrame, witness: str) -> DataFra
         .otherwise("PRESENT")
     )
     span = F.when(F.col("has"), F.col("unit"))
-    rows = found.select("unit", F.lit(witness).alias("witness"), "chapter", "kind", status.alias("status"), span.alias("span_start"), span.alias("span_end"), F.when(F.col("has"), F.substring(text, 1, 80)).alias("text"))
-    return rows.withColumn("d_cov", F.when(F.col("status") == "PRESENT", 1.0).when(F.col("status") != "NA", 0.0)).withColumn("d_split", F.when(F.col("status") != "NA", 0.0))
+    rows = found.select(
+        "unit", F.lit(witness).alias("witness"), "chapter", "kind", status.alias("status"), span.alias("span_start"),
+        span.alias("span_end"), F.when(F.col("has"), F.substring(text, 1, 80)).alias("text"),
+    )
+    return rows.withColumn(
+        "d_cov", F.when(F.col("status") == "PRESENT", 1.0).when(F.col("status") != "NA", 0.0),
+    ).withColumn("d_split", F.when(F.col("status") != "NA", 0.0))
 
 
 def fill_missing(units: DataFrame, cells: DataFrame, witnesses: DataFrame) -> DataFrame:
@@ -85,7 +90,10 @@ def fill_missing(units: DataFrame, cells: DataFrame, witnesses: DataFrame) -> Da
     done = cells.join(units.select("unit", "chapter"), "unit").select("witness", "chapter").distinct() if "chapter" not in cells.columns else cells.select("witness", "chapter").distinct()
     every = units.select("unit", "chapter", "kind").join(witnesses)  # every unit has a cell for every witness
     left = every.join(done, ["witness", "chapter"], "left_anti")
-    return left.select("unit", "witness", "chapter", "kind", F.when(F.col("scope").isin("anthology", "fragment", "quotation"), "NA").otherwise("UNALIGNED").alias("status"))
+    return left.select(
+        "unit", "witness", "chapter", "kind",
+        F.when(F.col("scope").isin("anthology", "fragment", "quotation"), "NA").otherwise("UNALIGNED").alias("status"),
+    )
 
 
 def calibrate(cells: DataFrame) -> DataFrame:
@@ -144,7 +152,12 @@ def length_table(ref: DataFrame, wit: DataFrame, bridge: DataFrame) -> DataFrame
     by_ref = ref.groupBy("chapter").agg(F.sum("length").alias("ref_length"))
     by_wit = wit.groupBy("witness", "local").agg(F.sum("length").alias("witness_length"))
     rows = bridge.join(by_ref, "chapter", "left").na.fill(0, ["ref_length"]).join(by_wit, ["witness", "local"], "left").na.fill(0, ["witness_length"])
-    pooled = rows.where("local is not null").groupBy("witness", "local").agg(F.sum("ref_length").alias("_pool"), F.array_join(F.array_sort(F.collect_list("chapter")), "+").alias("merged_group"))
+    pooled = rows.where("local is not null").groupBy("witness", "local").agg(
+        F.sum("ref_length").alias("_pool"), F.array_join(F.array_sort(F.collect_list("chapter")), "+").alias("merged_group"),
+    )
     out = rows.join(pooled, ["witness", "local"], "left")
     ratio = F.round(F.nullif(F.col("witness_length"), F.lit(0)) / F.nullif(F.col("_pool"), F.lit(0)), 3)
-    return out.select("chapter", "witness", F.coalesce("local", F.lit("")).alias("witness_local"), F.coalesce("merged_group", F.lit("")).alias("merged_group"), "ref_length", "witness_length", ratio.alias("ratio_pooled"))
+    return out.select(
+        "chapter", "witness", F.coalesce("local", F.lit("")).alias("witness_local"),
+        F.coalesce("merged_group", F.lit("")).alias("merged_group"), "ref_length", "witness_length", ratio.alias("ratio_pooled"),
+    )

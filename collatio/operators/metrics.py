@@ -15,13 +15,19 @@ from collatio.operators.matrix import countable, deviates, is_orphan
 CLASSES = ("vorlage_explained", "shared_with_cowitness", "residual")
 
 
-def decompose_units(cells: DataFrame, witness: str, sources: Sequence[str] = (), cowitness: str | None = None, reference: str | None = None) -> DataFrame:
+def decompose_units(
+    cells: DataFrame, witness: str, sources: Sequence[str] = (), cowitness: str | None = None, reference: str | None = None,
+) -> DataFrame:
     """``(unit, deviating, class)`` over the witness's countable units; class null where undecided."""
-    own = cells.where((F.col("witness") == witness) & countable(F.col("status")) & ~is_orphan(F.col("unit"))).select("unit", deviates(F.col("status")).alias("deviating"))
+    own = cells.where((F.col("witness") == witness) & countable(F.col("status")) & ~is_orphan(F.col("unit"))).select(
+        "unit", deviates(F.col("status")).alias("deviating"),
+    )
     others = [s for s in sources if s != reference]
     flags = cells.where(F.col("witness").isin(*others, *([cowitness] if cowitness else []))) if others or cowitness else cells.where(F.lit(False))
     per = flags.groupBy("unit").agg(
-        F.max(F.when(F.col("witness").isin(*others) & F.col("status").isin("ABSENT", "PARTIAL"), True).otherwise(False)).alias("lacking") if others else F.max(F.lit(False)).alias("lacking"),
+        F.max(
+            F.when(F.col("witness").isin(*others) & F.col("status").isin("ABSENT", "PARTIAL"), True).otherwise(False)
+        ).alias("lacking") if others else F.max(F.lit(False)).alias("lacking"),
         F.max(F.when(F.col("witness") == (cowitness or ""), deviates(F.col("status")))).alias("co"),
     )
     joined = own.join(per, "unit", "left")
@@ -33,7 +39,10 @@ def decompose_units(cells: DataFrame, witness: str, sources: Sequence[str] = (),
 
 def decompose(units: DataFrame) -> DataFrame:
     """Counts of ``decompose_units`` and their rates over the countable units."""
-    counts = units.agg(F.count("*").alias("n_counted"), F.count_if("deviating").alias("n_deviating"), *(F.count_if(F.col("class") == c).alias(c) for c in CLASSES))
+    counts = units.agg(
+        F.count("*").alias("n_counted"), F.count_if("deviating").alias("n_deviating"),
+        *(F.count_if(F.col("class") == c).alias(c) for c in CLASSES),
+    )
     return counts.select("*", *(F.round(F.col(c) / F.greatest(F.col("n_counted"), F.lit(1)), 4).alias(f"rate_{c}") for c in CLASSES))
 
 
@@ -50,7 +59,10 @@ def decompose_all(cells: DataFrame, wanted: DataFrame, sources: Sequence[str] =
     met = own.join(wanted, "witness").join(source, "unit", "left").join(co, ["unit", "cowitness"], "left")
     kind = F.when(F.coalesce("lacking", F.lit(False)), CLASSES[0]).when(F.col("cowitness").isNull(), CLASSES[2]).when(F.col("co").isNull(), None).when(F.col("co"), CLASSES[1]).otherwise(CLASSES[2])
     classed = met.withColumn("class", F.when(F.col("deviating"), kind))
-    counts = classed.groupBy("witness", "cowitness").agg(F.count("*").alias("n_counted"), F.count_if("deviating").alias("n_deviating"), *(F.count_if(F.col("class") == c).alias(c) for c in CLASSES))
+    counts = classed.groupBy("witness", "cowitness").agg(
+        F.count("*").alias("n_counted"), F.count_if("deviating").alias("n_deviating"),
+        *(F.count_if(F.col("class") == c).alias(c) for c in CLASSES),
+    )
     return counts.select("*", *(F.round(F.col(c) / F.col("n_counted"), 4).alias(f"rate_{c}") for c in CLASSES))
 
 
@@ -78,7 +90,10 @@ def draw(seed: int, boot: Column, place: Column, blocks: Column) -> Column:
     return ((z * z + y) % PRIME) % blocks
 
 
-def bootstrap(blocks: DataFrame, order: str = "chapter", n_boot: int = 1000, alpha: float = 0.05, seed: int = 20260930, stat: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+def bootstrap(
+    blocks: DataFrame, order: str = "chapter", n_boot: int = 1000, alpha: float = 0.05, seed: int = 20260930, stat: Column | None = None,
+    by: Sequence[str] = (),
+) -> DataFrame:
     """A statistic and its percentile interval by resampling whole blocks: ``(by…, estimate, lo, hi, n_blocks)``.
 
     Rows are ``(by…, order, total, n)``, one a block, and the statistic is their mean; or any rows with a
@@ -92,9 +107,13 @@ def bootstrap(blocks: DataFrame, order: str = "chapter", n_boot: int = 1000, alp
     rows = kept.withColumnRenamed(order, "_key")
     numbered = rows.select(*group, "_key").distinct()
     inside = Window.partitionBy(*group)
-    numbered = numbered.withColumn("_block", (F.row_number().over(inside.orderBy("_key")) - 1).cast("long")).withColumn("_all", F.count("*").over(inside))
+    numbered = numbered.withColumn(
+        "_block", (F.row_number().over(inside.orderBy("_key")) - 1).cast("long"),
+    ).withColumn("_all", F.count("*").over(inside))
     rounds = numbered.select(*group, "_block", "_all", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("_boot"))
-    drawn = rounds.select(*group, "_boot", draw(seed, F.col("_boot"), F.col("_block"), F.col("_all")).alias("_block")).groupBy(*group, "_boot", "_block").agg(F.count("*").alias("_times"))
+    drawn = rounds.select(
+        *group, "_boot", draw(seed, F.col("_boot"), F.col("_block"), F.col("_all")).alias("_block"),
+    ).groupBy(*group, "_boot", "_block").agg(F.count("*").alias("_times"))
     repeated = drawn.join(numbered.select(*group, "_block", "_key"), [*group, "_block"]).join(rows, [*group, "_key"])
     if stat is None:
         repeated = repeated.withColumn("total", F.col("total") * F.col("_times")).withColumn("n", F.col("n") * F.col("_times"))
@@ -120,7 +139,9 @@ def witness_distances(cells: DataFrame, dims: Sequence[str], weights: dict[str,
     apart = F.when(F.col("a.status") != F.col("b.status"), w.get("status", 1.0)).otherwise(0.0)
     for d in dims:
         apart = apart + F.coalesce(w.get(d, 1.0) * F.abs(F.col(f"a.{d}") - F.col(f"b.{d}")), F.lit(0.0))
-    return pairs.groupBy(F.col("a.witness").alias("a"), F.col("b.witness").alias("b")).agg((F.sum(apart) / F.count("*")).alias("distance"), F.count("*").alias("n"))
+    return pairs.groupBy(F.col("a.witness").alias("a"), F.col("b.witness").alias("b")).agg(
+        (F.sum(apart) / F.count("*")).alias("distance"), F.count("*").alias("n"),
+    )
 
 
 def distance_matrix(distances: DataFrame, witnesses: DataFrame) -> DataFrame:
@@ -169,9 +190,13 @@ def kendall(orders: DataFrame, group: Sequence[str], item: str, a: str, b: str)
     cond = F.col(f"x.{a}") < F.col(f"y.{a}")
     for s in same:
         cond = cond & s
-    pairs = x.join(y, cond).groupBy(*(F.col(f"x.{k}").alias(k) for k in keys)).agg(F.count_if(F.col(f"x.{b}") > F.col(f"y.{b}")).alias("discordant"), F.count("*").alias("pairs"))
+    pairs = x.join(y, cond).groupBy(*(F.col(f"x.{k}").alias(k) for k in keys)).agg(
+        F.count_if(F.col(f"x.{b}") > F.col(f"y.{b}")).alias("discordant"), F.count("*").alias("pairs"),
+    )
     every = orders.groupBy(*keys).agg(F.count("*").alias("n_items"))
-    return every.join(pairs, keys, "left").select(*keys, "n_items", F.coalesce(F.round(F.col("discordant") / F.col("pairs"), 4), F.lit(0.0)).alias("tau"))
+    return every.join(pairs, keys, "left").select(
+        *keys, "n_items", F.coalesce(F.round(F.col("discordant") / F.col("pairs"), 4), F.lit(0.0)).alias("tau"),
+    )
 
 
 def order_deviation(wit: DataFrame, ref: DataFrame, group: Sequence[str], item: str, cut: int) -> DataFrame:
@@ -185,8 +210,12 @@ def order_deviation(wit: DataFrame, ref: DataFrame, group: Sequence[str], item:
     cond = F.lit(True)
     for k in keys:
         cond = cond & (F.col(f"l.{k}") == F.col(f"e.{k}"))
-    share = late.join(early, cond).groupBy(*(F.col(f"l.{k}").alias(k) for k in keys)).agg(F.round(F.count_if(F.col("l.pos") < F.col("e.pos")) / F.count("*"), 4).alias("late_first_share"))
-    seq = both.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", item))), lambda s: s[item].cast("string")), " ").alias("sequence"))
+    share = late.join(early, cond).groupBy(*(F.col(f"l.{k}").alias(k) for k in keys)).agg(
+        F.round(F.count_if(F.col("l.pos") < F.col("e.pos")) / F.count("*"), 4).alias("late_first_share")
+    )
+    seq = both.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", item))), lambda s: s[item].cast("string")), " ").alias("sequence")
+    )
     return tau.join(share, keys, "left").join(seq, keys)
 
 
@@ -213,7 +242,9 @@ def match_candidates(units: DataFrame, tolerance: float = 0.35) -> DataFrame:
     side = units.withColumn("length", F.greatest(F.lit(1), F.col("length")))
     u, v = side.where("sensitive").alias("u"), side.where("not sensitive").alias("v")
     near = F.abs(F.ln(F.col("v.length") / F.col("u.length"))) <= tolerance
-    return u.join(v, (F.col("u.chapter") == F.col("v.chapter")) & (F.col("u.kind") == F.col("v.kind")) & near).select(F.col("u.chapter").alias("chapter"), F.col("u.kind").alias("kind"), F.col("u.unit").alias("unit"), F.col("v.unit").alias("mate"))
+    return u.join(v, (F.col("u.chapter") == F.col("v.chapter")) & (F.col("u.kind") == F.col("v.kind")) & near).select(
+        F.col("u.chapter").alias("chapter"), F.col("u.kind").alias("kind"), F.col("u.unit").alias("unit"), F.col("v.unit").alias("mate"),
+    )
 
 
 def match(units: DataFrame, order: str = "unit", tolerance: float = 0.35, seed: int = 20260930) -> DataFrame:
@@ -231,7 +262,10 @@ def match(units: DataFrame, order: str = "unit", tolerance: float = 0.35, seed:
                 out.append((u["chapter"], u["kind"], u["unit"], pool.pop(hit)["unit"]))
         return pd.DataFrame(out, columns=["chapter", "kind", "unit", "mate"])
 
-    side = units.select("unit", "chapter", "kind", F.greatest(F.lit(1.0), F.col("length").cast("double")).alias("length"), "sensitive", F.col(order).alias("ord"), F.md5(F.concat_ws(":", F.lit(str(seed)), "unit")).alias("mark"))
+    side = units.select(
+        "unit", "chapter", "kind", F.greatest(F.lit(1.0), F.col("length").cast("double")).alias("length"), "sensitive",
+        F.col(order).alias("ord"), F.md5(F.concat_ws(":", F.lit(str(seed)), "unit")).alias("mark"),
+    )
     return side.groupBy("chapter", "kind").applyInPandas(run, "chapter string, kind string, unit string, mate string")
 
 

@@ -15,8 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """Segments: a document's lines; witness = source, chapter = lang, local chapter = document."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("witness"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
-    return docs.where(F.length(F.trim("text")) > 0).select("doc_id", F.col("seq").cast("long").alias("seq"), "witness", F.col("lang").alias("chapter"), "text")
+    docs = table(spark, d, "documents").select(
+        "doc_id", "lang", F.col("source").alias("witness"), F.posexplode(F.split("text", "\n")).alias("seq", "text"),
+    )
+    return docs.where(F.length(F.trim("text")) > 0).select(
+        "doc_id", F.col("seq").cast("long").alias("seq"), "witness", F.col("lang").alias("chapter"), "text",
+    )
 
 
 LINES = """lines AS (SELECT doc_id, witness, chapter, (p - 1)::BIGINT AS seq, l[p] AS text FROM (SELECT doc_id, source AS witness, lang AS chapter, l, unnest(range(1, len(l) + 1)) AS p FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)) WHERE len(trim(l[p])) > 0)"""
@@ -24,8 +28,14 @@ LINES = """lines AS (SELECT doc_id, witness, chapter, (p - 1)::BIGINT AS seq, l[
 
 def units(spark: SparkSession, d: str) -> DataFrame:
     """Reference units: parts; chapter = brand, kind = type, length = size."""
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("chapter"), F.col("p_type").alias("kind"), F.col("p_size").cast("long").alias("length"), F.col("p_name").alias("text"))
-    return M.positions(part, ["chapter"], "seq", "length").select(F.col("seq").cast("string").alias("unit"), "seq", "chapter", "kind", "length", "position", "text", F.when(F.col("seq") % 53 == 0, "LACUNA").alias("flag"))
+    part = table(spark, d, "part").select(
+        F.col("p_partkey").alias("seq"), F.col("p_brand").alias("chapter"), F.col("p_type").alias("kind"),
+        F.col("p_size").cast("long").alias("length"), F.col("p_name").alias("text"),
+    )
+    return M.positions(part, ["chapter"], "seq", "length").select(
+        F.col("seq").cast("string").alias("unit"), "seq", "chapter", "kind", "length", "position", "text",
+        F.when(F.col("seq") % 53 == 0, "LACUNA").alias("flag"),
+    )
 
 
 UNITS = """units AS (SELECT p_partkey::VARCHAR AS unit, p_partkey AS seq, p_brand AS chapter, p_type AS kind, p_size::BIGINT AS length, p_name AS text, CASE WHEN p_partkey % 53 = 0 THEN 'LACUNA' END AS flag,
@@ -48,7 +58,9 @@ def raw_cells(spark: SparkSession, d: str) -> DataFrame:
     """
     nation = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("witness"))
     suppliers = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "witness")
-    facts = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    facts = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
+    ).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     given = facts.groupBy(F.col("l_partkey").cast("string").alias("unit"), "witness").agg(
         F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"), F.avg("l_linenumber").alias("line")
     )
@@ -65,7 +77,11 @@ def raw_cells(spark: SparkSession, d: str) -> DataFrame:
     alone = facts.where((F.col("l_quantity") >= 50) & (F.col("l_discount") >= 0.1)).join(part, "l_partkey")
     coords = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     none = F.lit(None).cast("double")
-    orphans = alone.select(ids.orphan_id(F.col("witness"), coords, coords).alias("unit"), "witness", "chapter", F.lit("orphan").alias("kind"), F.lit("PRESENT").alias("status"), none.alias("d_cov"), none.alias("d_len"), (F.col("l_discount") * 0.7321).alias("d_lit"), none.alias("d_ord"), none.alias("d_lex"))
+    orphans = alone.select(
+        ids.orphan_id(F.col("witness"), coords, coords).alias("unit"), "witness", "chapter", F.lit("orphan").alias("kind"),
+        F.lit("PRESENT").alias("status"), none.alias("d_cov"), none.alias("d_len"), (F.col("l_discount") * 0.7321).alias("d_lit"),
+        none.alias("d_ord"), none.alias("d_lex"),
+    )
     return own.unionByName(orphans)
 
 
@@ -91,7 +107,10 @@ MATRIX = f"{UNITS}, {RAW}, {CELLS}"
 def turns(spark: SparkSession, d: str, role: str) -> DataFrame:
     """One side of a chapter pair: a conversation's turns of a role; length in words, payload the text."""
     c = table(spark, d, "conversations").where(F.col("role") == role)
-    return c.select(F.col("conv_id").cast("string").alias("grp"), F.col("turn").alias("seq"), F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("length"), F.col("text").alias("payload"))
+    return c.select(
+        F.col("conv_id").cast("string").alias("grp"), F.col("turn").alias("seq"),
+        F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("length"), F.col("text").alias("payload"),
+    )
 
 
 def turns_sql(name: str, role: str) -> str:
@@ -100,12 +119,16 @@ def turns_sql(name: str, role: str) -> str:
 
 def yearly_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders: nations ranked by revenue in a year, and over all years; ``(year, witness, a, b)``."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"),
+    )
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     by = o.groupBy(F.year("o_orderdate").cast("long").alias("year"), F.col("n_nationkey").cast("long").alias("item")).agg(F.sum(cents).alias("r"))
     over = by.groupBy("item").agg(F.sum("r").alias("t"))
     ranked = over.select("item", F.row_number().over(Window.orderBy(F.desc("t"), "item")).cast("long").alias("a"))
-    return by.select("year", "item", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("r"), "item")).cast("long").alias("b")).join(ranked, "item")
+    return by.select(
+        "year", "item", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("r"), "item")).cast("long").alias("b"),
+    ).join(ranked, "item")
 
 
 ORDERS = """y AS (SELECT year(o_orderdate)::BIGINT AS year, n_nationkey::BIGINT AS item, sum(round(o_totalprice * 100)::BIGINT) AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),

@@ -47,7 +47,10 @@ cand AS (SELECT grp, i, j, k, l, sim, prior + {P.length_weight}::DOUBLE * 0.5::D
 @query(f"WITH {CAND} SELECT grp, i, j, k, l, round(sim, 4) AS similarity, round(cost, 4) AS cost FROM cand")
 def bead_candidates(spark: SparkSession, d: str) -> DataFrame:
     c = L.bead_candidates(*_sides(spark, d), P)
-    return c.select("grp", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "k", "l", F.round("similarity", 4).alias("similarity"), F.round("cost", 4).alias("cost"))
+    return c.select(
+        "grp", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "k", "l",
+        F.round("similarity", 4).alias("similarity"), F.round("cost", 4).alias("cost"),
+    )
 
 
 #: The cheapest cost of every place (i, j) of a group's table: s counts the segments used so far.
@@ -84,7 +87,9 @@ cells AS (SELECT 'C.' || b.grp || '.' || mid.seq AS unit, b.grp AS chapter, CASE
   UNION ALL SELECT '+assistant:' || b.grp || '.' || a || CASE WHEN a = z THEN '' ELSE '-' || b.grp || '.' || z END, b.grp, 'PRESENT', b.grp || '.' || a, shape, NULL, NULL, 0.0, 0.0, NULL, b.grp FROM beads b JOIN ws2 ON ws2.grp = b.grp AND ws2.bead_no = b.bead_no WHERE k = 0)"""
 
 
-@query(f"""WITH RECURSIVE {TABLE} SELECT f.grp, round(min(d), 3) AS cost FROM front f JOIN size ON size.grp = f.grp WHERE f.i = n AND f.j = m GROUP BY f.grp""")
+@query(
+    f"""WITH RECURSIVE {TABLE} SELECT f.grp, round(min(d), 3) AS cost FROM front f JOIN size ON size.grp = f.grp WHERE f.i = n AND f.j = m GROUP BY f.grp"""
+)
 def align_cost(spark: SparkSession, d: str) -> DataFrame:
     return _beads(spark, d).groupBy("grp").agg(F.round(F.sum("cost"), 3).alias("cost"))
 
@@ -95,7 +100,10 @@ def _beads(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {BEADS} SELECT grp, bead_no, shape, round(cost, 4) AS cost, round(sim, 4) AS similarity FROM beads")
 def align_beads(spark: SparkSession, d: str) -> DataFrame:
-    return _beads(spark, d).select("grp", "bead_no", L.shape_of(F.col("ref"), F.col("wit")).alias("shape"), F.round("cost", 4).alias("cost"), F.round("similarity", 4).alias("similarity"))
+    return _beads(spark, d).select(
+        "grp", "bead_no", L.shape_of(F.col("ref"), F.col("wit")).alias("shape"), F.round("cost", 4).alias("cost"),
+        F.round("similarity", 4).alias("similarity"),
+    )
 
 
 @query(f"WITH RECURSIVE {BEADS} SELECT grp, shape, count(*) AS n FROM beads GROUP BY ALL")
@@ -105,9 +113,15 @@ def alignment_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def _matrix_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     u, v = (L.with_positions(s) for s in _sides(spark, d))
-    units = u.select("grp", "seq", F.concat_ws(".", F.lit("C"), "grp", "seq").alias("unit"), F.col("grp").alias("chapter"), F.lit("prose").alias("kind"), "length", "position", F.lit(None).cast("string").alias("flag"), F.col("payload").alias("norm"))
+    units = u.select(
+        "grp", "seq", F.concat_ws(".", F.lit("C"), "grp", "seq").alias("unit"), F.col("grp").alias("chapter"), F.lit("prose").alias("kind"),
+        "length", "position", F.lit(None).cast("string").alias("flag"), F.col("payload").alias("norm"),
+    )
     coord = F.concat_ws(".", "grp", "seq")
-    wits = v.select("grp", "seq", coord.alias("start"), coord.alias("end"), F.col("payload").alias("text"), F.lit("xx").alias("lang"), F.lit("prose").alias("kind"), "length", "position", F.col("payload").alias("norm"))
+    wits = v.select(
+        "grp", "seq", coord.alias("start"), coord.alias("end"), F.col("payload").alias("text"), F.lit("xx").alias("lang"),
+        F.lit("prose").alias("kind"), "length", "position", F.col("payload").alias("norm"),
+    )
     return units, wits
 
 
@@ -117,7 +131,9 @@ def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return L.cells_from_beads(kept(_beads(spark, d)), units, wits, "assistant"), units, wits
 
 
-@query(f"WITH RECURSIVE {CELLS} SELECT unit, chapter, status, bead, {', '.join(f'round({x}, 4) AS {x}' for x in ('d_len', 'd_ord', 'd_split', 'similarity'))} FROM cells")
+@query(
+    f"WITH RECURSIVE {CELLS} SELECT unit, chapter, status, bead, {', '.join(f'round({x}, 4) AS {x}' for x in ('d_len', 'd_ord', 'd_split', 'similarity'))} FROM cells"
+)
 def cells_from_beads(spark: SparkSession, d: str) -> DataFrame:
     c, _, _ = _cells(spark, d)
     return c.select("unit", "chapter", "status", "bead", *(F.round(x, 4).alias(x) for x in ("d_len", "d_ord", "d_split", "similarity")))
@@ -128,8 +144,13 @@ top AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY s DESC, seq DESC
 SELECT unit, span_start AS from_start, start AS to_start, round(s, 4) AS similarity, '1:1*' AS bead FROM top WHERE n = 1 AND s >= 0.6::DOUBLE AND start <> span_start""")
 def reorder_pass(spark: SparkSession, d: str) -> DataFrame:
     c, units, wits = _cells(spark, d)
-    r = L.reorder(c, units.select("unit", "grp", "norm", "position"), wits.select("grp", "seq", "start", "end", "text", "norm", "position"), low=0.75, high=0.6)
-    return r.where("from_start is not null").select("unit", "from_start", F.col("span_start").alias("to_start"), F.round("similarity", 4).alias("similarity"), "bead")
+    r = L.reorder(
+        c, units.select("unit", "grp", "norm", "position"), wits.select("grp", "seq", "start", "end", "text", "norm", "position"), low=0.75,
+        high=0.6,
+    )
+    return r.where("from_start is not null").select(
+        "unit", "from_start", F.col("span_start").alias("to_start"), F.round("similarity", 4).alias("similarity"), "bead",
+    )
 
 
 @query(f"""WITH {D.turns_sql('u', 'user')}, {D.turns_sql('v', 'assistant')}, m AS (SELECT u.grp, u.seq, v.seq AS j, {dice_sql('u.payload', 'v.payload')} AS s FROM u JOIN v ON u.grp = v.grp), r AS (SELECT *, row_number() OVER (PARTITION BY grp, seq ORDER BY round(s, 9) DESC, j DESC) AS n FROM m)
@@ -142,15 +163,22 @@ def best_match(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("grp", "seq").agg(F.max("b").alias("b")).select("grp", "seq", "b.j", F.round("b.s", 4).alias("similarity"))
 
 
-@query(f"""WITH {D.turns_sql('v', 'assistant')} SELECT grp, seq, coalesce(lag(payload) OVER w, '') AS before, coalesce(lead(payload) OVER w, '') AS after FROM v WINDOW w AS (PARTITION BY grp ORDER BY seq)""")
+@query(
+    f"""WITH {D.turns_sql('v', 'assistant')} SELECT grp, seq, coalesce(lag(payload) OVER w, '') AS before, coalesce(lead(payload) OVER w, '') AS after FROM v WINDOW w AS (PARTITION BY grp ORDER BY seq)"""
+)
 def review_neighbours(spark: SparkSession, d: str) -> DataFrame:
     v = D.turns(spark, d, "assistant")
     return J.neighbours(v, "seq", "payload", ["grp"]).select("grp", "seq", "before", "after")
 
 
-@query(f"WITH RECURSIVE {CELLS} SELECT unit, bead AS shape, 'unsure' AS verdict, 0.0::DOUBLE AS confidence, 'llm:unsure' AS review_status, '[mock c=0.00]' AS review_note FROM cells WHERE bead IN ({', '.join(repr(x) for x in J.DOUBTFUL)})")
+@query(
+    f"WITH RECURSIVE {CELLS} SELECT unit, bead AS shape, 'unsure' AS verdict, 0.0::DOUBLE AS confidence, 'llm:unsure' AS review_status, '[mock c=0.00]' AS review_note FROM cells WHERE bead IN ({', '.join(repr(x) for x in J.DOUBTFUL)})"
+)
 def mock_judge(spark: SparkSession, d: str) -> DataFrame:
     """Doubtful beads through the judge with the mock model: empty answers come out unsure."""
     c, _, _ = _cells(spark, d)
-    rows = c.select("unit", F.col("bead").alias("shape"), F.lit("").alias("review_status"), F.coalesce("text", F.lit("")).alias("wit_text"), F.col("unit").alias("ref_text"), F.lit("").alias("before"), F.lit("").alias("after"))
+    rows = c.select(
+        "unit", F.col("bead").alias("shape"), F.lit("").alias("review_status"), F.coalesce("text", F.lit("")).alias("wit_text"),
+        F.col("unit").alias("ref_text"), F.lit("").alias("before"), F.lit("").alias("after"),
+    )
     return J.judge_beads(J.to_judge(rows), J.Mock()).select("unit", "shape", "verdict", "confidence", "review_status", "review_note")

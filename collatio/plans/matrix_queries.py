@@ -54,7 +54,10 @@ def matrix_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Cells: the last write wins; orphan units: the first."""
     s = D.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("witness"))
     w = D.table(spark, d, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    writes = w.select(F.col("l_partkey").cast("string").alias("unit"), "witness", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), "l_quantity")
+    writes = w.select(
+        F.col("l_partkey").cast("string").alias("unit"), "witness", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        "l_quantity",
+    )
     last = M.upsert(writes, "ord").select("unit", "witness", F.col("l_quantity").alias("last_quantity"))
     first = M.upsert(writes, "ord", last=False).select("unit", "witness", F.col("l_quantity").alias("first_quantity"))
     return last.join(first, ["unit", "witness"])
@@ -64,10 +67,16 @@ def matrix_upsert(spark: SparkSession, d: str) -> DataFrame:
 SELECT u.unit, n.n_name AS witness, u.chapter, u.kind, CASE WHEN n_regionkey = 1 THEN 'NA' ELSE 'UNALIGNED' END AS status FROM units u CROSS JOIN nation n WHERE NOT EXISTS (SELECT 1 FROM found s WHERE s.witness = n.n_name AND s.chapter = u.chapter)""")
 def unmapped_units(spark: SparkSession, d: str) -> DataFrame:
     """Chapters of which a witness has nothing: NA for anthologies, UNALIGNED for complete ones."""
-    s = D.table(spark, d, "supplier").join(D.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("witness"))
+    s = D.table(spark, d, "supplier").join(
+        D.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"),
+    ).select("s_suppkey", F.col("n_name").alias("witness"))
     li = D.table(spark, d, "lineitem").where((F.col("l_quantity") >= 50) & (F.col("l_discount") >= 0.09) & (F.col("l_tax") >= 0.07)).select("l_partkey", "l_suppkey")
-    some = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(D.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("chapter")), F.col("l_partkey") == F.col("p_partkey")).select("witness", "chapter").distinct()
-    scopes = D.table(spark, d, "nation").select(F.col("n_name").alias("witness"), F.when(F.col("n_regionkey") == 1, "anthology").otherwise("complete").alias("scope"))
+    some = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(
+        D.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("chapter")), F.col("l_partkey") == F.col("p_partkey"),
+    ).select("witness", "chapter").distinct()
+    scopes = D.table(spark, d, "nation").select(
+        F.col("n_name").alias("witness"), F.when(F.col("n_regionkey") == 1, "anthology").otherwise("complete").alias("scope"),
+    )
     return M.fill_missing(D.units(spark, d), some, scopes)
 
 
@@ -146,19 +155,29 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return _interval(X.bootstrap(X.deviation_by_chapter(D.cells(spark, d), WITNESS)))
 
 
-@query(f"WITH {D.MATRIX}, {COUNTED}, obs AS (SELECT chapter, d_lit FROM counted WHERE witness = '{WITNESS}' AND d_lit IS NOT NULL) SELECT round(median(d_lit), 6) AS estimate, count(DISTINCT chapter) AS n_blocks FROM obs")
+@query(
+    f"WITH {D.MATRIX}, {COUNTED}, obs AS (SELECT chapter, d_lit FROM counted WHERE witness = '{WITNESS}' AND d_lit IS NOT NULL) SELECT round(median(d_lit), 6) AS estimate, count(DISTINCT chapter) AS n_blocks FROM obs"
+)
 def bootstrap_statistic(spark: SparkSession, d: str) -> DataFrame:
     """The bootstrap with a statistic of one's own, here a median; its ends lie around the estimate."""
-    c = D.cells(spark, d).where((F.col("witness") == WITNESS) & M.countable(F.col("status")) & ~M.is_orphan(F.col("unit")) & F.col("d_lit").isNotNull()).select("chapter", "d_lit")
-    return X.bootstrap(c, n_boot=50, stat=F.median("d_lit")).where("lo <= estimate and estimate <= hi").select(F.round("estimate", 6).alias("estimate"), "n_blocks")
+    c = D.cells(spark, d).where(
+        (F.col("witness") == WITNESS) & M.countable(F.col("status")) & ~M.is_orphan(F.col("unit")) & F.col("d_lit").isNotNull()
+    ).select("chapter", "d_lit")
+    return X.bootstrap(c, n_boot=50, stat=F.median("d_lit")).where("lo <= estimate and estimate <= hi").select(
+        F.round("estimate", 6).alias("estimate"), "n_blocks",
+    )
 
 
-@query("SELECT day AS chapter, count(*) FILTER (event_type = 'error')::DOUBLE AS total, count(*) AS n FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type FROM events) GROUP BY day")
+@query(
+    "SELECT day AS chapter, count(*) FILTER (event_type = 'error')::DOUBLE AS total, count(*) AS n FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type FROM events) GROUP BY day"
+)
 def event_error_blocks(spark: SparkSession, d: str) -> DataFrame:
     return X.indicator_blocks(D.table(spark, d, "events"), F.date_format("ts", "yyyy-MM-dd"), F.col("event_type") == "error")
 
 
-@query(f"WITH blocks AS (SELECT strftime(ts, '%Y-%m-%d') AS chapter, (count(*) FILTER (event_type = 'error'))::DOUBLE AS total, count(*) AS n FROM events GROUP BY ALL), {resampled()}")
+@query(
+    f"WITH blocks AS (SELECT strftime(ts, '%Y-%m-%d') AS chapter, (count(*) FILTER (event_type = 'error'))::DOUBLE AS total, count(*) AS n FROM events GROUP BY ALL), {resampled()}"
+)
 def event_error_ci(spark: SparkSession, d: str) -> DataFrame:
     return _interval(X.bootstrap(event_error_blocks(spark, d)))
 
@@ -172,7 +191,9 @@ def witness_distance(spark: SparkSession, d: str) -> DataFrame:
     return X.witness_distances(D.cells(spark, d), ALL_DIMS).withColumn("distance", F.round("distance", 4))
 
 
-@query(f"WITH {D.MATRIX}, {DIST} SELECT x.n_name AS a, y.n_name AS b, CASE WHEN x.n_name = y.n_name THEN 0.0::DOUBLE ELSE distance END AS distance FROM nation x CROSS JOIN nation y LEFT JOIN dist ON (dist.a = least(x.n_name, y.n_name) AND dist.b = greatest(x.n_name, y.n_name))")
+@query(
+    f"WITH {D.MATRIX}, {DIST} SELECT x.n_name AS a, y.n_name AS b, CASE WHEN x.n_name = y.n_name THEN 0.0::DOUBLE ELSE distance END AS distance FROM nation x CROSS JOIN nation y LEFT JOIN dist ON (dist.a = least(x.n_name, y.n_name) AND dist.b = greatest(x.n_name, y.n_name))"
+)
 def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
     return X.distance_matrix(witness_distance(spark, d), D.witnesses(spark, d))
 
@@ -184,7 +205,9 @@ def upgma_newick(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(X.tree(WITNESSES, {(r.a, r.b): r.distance for r in rows}),)], "newick string")
 
 
-@query(f"WITH {D.ORDERS} SELECT x.year, (SELECT count(*) FROM ord o WHERE o.year = x.year) AS n_items, round((count(*) FILTER (x.b > y.b)) / count(*), 4) AS tau FROM ord x JOIN ord y ON x.year = y.year AND x.a < y.a GROUP BY x.year")
+@query(
+    f"WITH {D.ORDERS} SELECT x.year, (SELECT count(*) FROM ord o WHERE o.year = x.year) AS n_items, round((count(*) FILTER (x.b > y.b)) / count(*), 4) AS tau FROM ord x JOIN ord y ON x.year = y.year AND x.a < y.a GROUP BY x.year"
+)
 def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
     return X.kendall(D.yearly_orders(spark, d), ["year"], "item", "a", "b")
 
@@ -205,7 +228,9 @@ def _sensitive(spark: SparkSession, d: str) -> DataFrame:
     return D.units(spark, d).withColumn("sensitive", F.col("seq") % 3 == 0)
 
 
-@query(f"WITH {D.UNITS}, {SENS} SELECT u.chapter, u.kind, u.unit, v.unit AS mate FROM s u JOIN s v ON u.chapter = v.chapter AND u.kind = v.kind AND u.sensitive AND NOT v.sensitive AND abs(ln(v.length / u.length)) <= 0.35::DOUBLE")
+@query(
+    f"WITH {D.UNITS}, {SENS} SELECT u.chapter, u.kind, u.unit, v.unit AS mate FROM s u JOIN s v ON u.chapter = v.chapter AND u.kind = v.kind AND u.sensitive AND NOT v.sensitive AND abs(ln(v.length / u.length)) <= 0.35::DOUBLE"
+)
 def matched_candidates(spark: SparkSession, d: str) -> DataFrame:
     return X.match_candidates(_sensitive(spark, d))
 
@@ -217,7 +242,9 @@ greedy(chapter, kind, r, unit, mate, used) AS (SELECT DISTINCT chapter, kind, 0:
 pairs AS (SELECT chapter, unit, mate FROM greedy WHERE mate IS NOT NULL)"""
 
 
-@query(f"WITH RECURSIVE {D.UNITS}, s AS (SELECT unit, seq, chapter, kind, greatest(1, length)::DOUBLE AS length, seq % 3 = 0 AS sensitive FROM units), {GREEDY} SELECT chapter, unit, mate FROM pairs")
+@query(
+    f"WITH RECURSIVE {D.UNITS}, s AS (SELECT unit, seq, chapter, kind, greatest(1, length)::DOUBLE AS length, seq % 3 = 0 AS sensitive FROM units), {GREEDY} SELECT chapter, unit, mate FROM pairs"
+)
 def matched_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Greedy 1:1 pairs of a sensitive and a neutral unit."""
     return X.match(_sensitive(spark, d), "seq").select("chapter", "unit", "mate")
@@ -254,7 +281,9 @@ def attribution_dist(spark: SparkSession, d: str) -> DataFrame:
     return A.attribute(D.units(spark, d), D.cells(spark, d), WITNESS, SOURCES, CO, SOURCES[0], least=2)
 
 
-@query(f"""WITH {D.MATRIX} SELECT t.unit, t.witness, string_agg(o.witness || ': ' || o.status, '; ' ORDER BY o.witness) AS facts FROM cells t JOIN cells o ON t.unit = o.unit AND t.witness <> o.witness WHERE t.witness = '{WITNESS}' AND t.status IN ('ABSENT', 'PARTIAL') GROUP BY ALL""")
+@query(
+    f"""WITH {D.MATRIX} SELECT t.unit, t.witness, string_agg(o.witness || ': ' || o.status, '; ' ORDER BY o.witness) AS facts FROM cells t JOIN cells o ON t.unit = o.unit AND t.witness <> o.witness WHERE t.witness = '{WITNESS}' AND t.status IN ('ABSENT', 'PARTIAL') GROUP BY ALL"""
+)
 def attribution_facts(spark: SparkSession, d: str) -> DataFrame:
     c = D.cells(spark, d)
     return A.facts(c, c.where((F.col("witness") == WITNESS) & F.col("status").isin("ABSENT", "PARTIAL")))
@@ -274,9 +303,18 @@ p AS (SELECT local, sum(ref_length) AS pool, string_agg(chapter, '+' ORDER BY ch
 SELECT chapter, 'orders' AS witness, coalesce(j.local, '') AS witness_local, coalesce(merged_group, '') AS merged_group, ref_length::BIGINT AS ref_length, witness_length::BIGINT AS witness_length, round(nullif(witness_length, 0) / nullif(pool, 0), 3) AS ratio_pooled FROM j LEFT JOIN p ON j.local = p.local""")
 def length_table_pooled(spark: SparkSession, d: str) -> DataFrame:
     """Segments of customers against order priorities; two chapters share one local key, one has none."""
-    bridge = spark.createDataFrame([("AUTOMOBILE", "orders", "1-URGENT"), ("BUILDING", "orders", "1-URGENT"), ("FURNITURE", "orders", "2-HIGH"), ("HOUSEHOLD", "orders", "3-MEDIUM"), ("MACHINERY", "orders", None)], "chapter string, witness string, local string")
+    bridge = spark.createDataFrame(
+        [
+            ("AUTOMOBILE", "orders", "1-URGENT"), ("BUILDING", "orders", "1-URGENT"), ("FURNITURE", "orders", "2-HIGH"),
+            ("HOUSEHOLD", "orders", "3-MEDIUM"), ("MACHINERY", "orders", None),
+        ],
+        "chapter string, witness string, local string",
+    )
     ref = D.table(spark, d, "customer").select(F.col("c_mktsegment").alias("chapter"), F.length("c_name").cast("long").alias("length"))
-    wit = D.table(spark, d, "orders").select(F.lit("orders").alias("witness"), F.col("o_orderpriority").alias("local"), (F.length("o_orderstatus") + 3).cast("long").alias("length"))
+    wit = D.table(spark, d, "orders").select(
+        F.lit("orders").alias("witness"), F.col("o_orderpriority").alias("local"),
+        (F.length("o_orderstatus") + 3).cast("long").alias("length"),
+    )
     return M.length_table(ref, wit, bridge)
 
 
@@ -285,7 +323,9 @@ def unit_positions(spark: SparkSession, d: str) -> DataFrame:
     return D.units(spark, d).select("unit", "chapter", "length", F.round("position", 6).alias("position"))
 
 
-@query(f"""WITH {D.LINES} SELECT doc_id, seq, doc_id::VARCHAR || '.t' || lpad(row_number() OVER (PARTITION BY doc_id ORDER BY seq)::VARCHAR, 4, '0') AS unit, greatest(1, length(text))::BIGINT AS length FROM lines""")
+@query(
+    f"""WITH {D.LINES} SELECT doc_id, seq, doc_id::VARCHAR || '.t' || lpad(row_number() OVER (PARTITION BY doc_id ORDER BY seq)::VARCHAR, 4, '0') AS unit, greatest(1, length(text))::BIGINT AS length FROM lines"""
+)
 def mint_unit_ids(spark: SparkSession, d: str) -> DataFrame:
     segs = D.lines(spark, d).select("doc_id", "seq", F.col("doc_id").cast("string").alias("chapter"), F.length("text").cast("long").alias("length"))
     return M.mint_units(segs).select("doc_id", "seq", "unit", F.col("length").cast("long").alias("length"))
@@ -297,12 +337,19 @@ def edition_cells(spark: SparkSession, d: str) -> DataFrame:
     """An edition matched by id: customers with their orders' least status as flag."""
     flag = F.when(F.min("o_orderstatus") == "F", "LACUNA").when(F.min("o_orderstatus") == "O", "ABSENT")
     edition = D.table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("unit")).agg(F.lit("text").alias("text"), flag.alias("flag"))
-    rows = D.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("unit"), F.col("c_mktsegment").alias("chapter"), F.lit("prose").alias("kind"))
+    rows = D.table(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("unit"), F.col("c_mktsegment").alias("chapter"), F.lit("prose").alias("kind"),
+    )
     return M.edition_cells(rows, edition, "edition").select("unit", "witness", "chapter", "kind", "status", "d_cov")
 
 
-@query(f"""WITH {D.MATRIX}, k AS (SELECT *, row_number() OVER (ORDER BY witness, unit) AS row_no FROM cells WHERE status = 'PARTIAL') SELECT row_no, unit, witness, round(d_len, 4) AS d_len FROM k ORDER BY row_no LIMIT 100""")
+@query(
+    f"""WITH {D.MATRIX}, k AS (SELECT *, row_number() OVER (ORDER BY witness, unit) AS row_no FROM cells WHERE status = 'PARTIAL') SELECT row_no, unit, witness, round(d_len, 4) AS d_len FROM k ORDER BY row_no LIMIT 100"""
+)
 def topn_review(spark: SparkSession, d: str) -> DataFrame:
     """The first hundred cells for review: a report's limit over a total order."""
     c = D.cells(spark, d).where("status = 'PARTIAL'").orderBy("witness", "unit").limit(100)
-    return c.select(F.row_number().over(Window.orderBy("witness", "unit")).cast("long").alias("row_no"), "unit", "witness", F.round("d_len", 4).alias("d_len"))
+    return c.select(
+        F.row_number().over(Window.orderBy("witness", "unit")).cast("long").alias("row_no"), "unit", "witness",
+        F.round("d_len", 4).alias("d_len"),
+    )

@@ -89,7 +89,10 @@ def groups(bridge: DataFrame) -> DataFrame:
     return per.select("witness", "local", F.concat_ws("|", "witness", F.array_join(names, "+")).alias("grp"), names.alias("chapters"))
 
 
-def align_witnesses(reference: DataFrame, witnesses: DataFrame, bridge: DataFrame, lexicon: Lexicon, ref_lang: str, grade: str, params: L.Params | None = None, similarity: Similarity | None = None, editions: DataFrame | None = None) -> Matrix:
+def align_witnesses(
+    reference: DataFrame, witnesses: DataFrame, bridge: DataFrame, lexicon: Lexicon, ref_lang: str, grade: str,
+    params: L.Params | None = None, similarity: Similarity | None = None, editions: DataFrame | None = None,
+) -> Matrix:
     """The matrix of ``witnesses(witness, lang, local, seq, text, start, end, kind)`` against
     ``reference(chapter, seq, text, kind, flag[, unit])`` by ``bridge(chapter, ord, witness, local)``.
 
@@ -98,22 +101,33 @@ def align_witnesses(reference: DataFrame, witnesses: DataFrame, bridge: DataFram
     UNALIGNED for that witness.
     """
     s = similarity or Similarity()
-    ref = reference.where(F.col("kind").isin(*ALIGNABLE) & F.col("chapter").isNotNull()).withColumn("length", T.length_in(F.col("text"), F.lit(ref_lang))).withColumn("lang", F.lit(ref_lang))
+    ref = reference.where(F.col("kind").isin(*ALIGNABLE) & F.col("chapter").isNotNull()).withColumn(
+        "length", T.length_in(F.col("text"), F.lit(ref_lang)),
+    ).withColumn("lang", F.lit(ref_lang))
     named = ref.withColumnRenamed("unit", "own_id") if "unit" in ref.columns else ref.withColumn("own_id", F.lit(None).cast("string"))
-    units = M.mint_units(named).withColumn("unit", F.coalesce("own_id", "unit")).withColumn("kind", F.when(F.lit(grade == "provisional"), "provisional").otherwise(F.col("kind")))
+    units = M.mint_units(named).withColumn("unit", F.coalesce("own_id", "unit")).withColumn(
+        "kind", F.when(F.lit(grade == "provisional"), "provisional").otherwise(F.col("kind")),
+    )
     if "flag" not in units.columns:
         units = units.withColumn("flag", F.lit(None).cast("string"))
     units = kept(with_payload(units.select("unit", "chapter", "seq", "kind", "text", "lang", "length", "position", "flag"), lexicon, s))
     by_local = groups(bridge)
-    w = witnesses.where(F.col("kind").isin(*ALIGNABLE)).join(by_local.select("witness", "local", "grp"), ["witness", "local"]).withColumn("length", F.greatest(F.lit(1).cast("long"), T.length_in(F.col("text"), F.col("lang"))))
+    w = witnesses.where(F.col("kind").isin(*ALIGNABLE)).join(by_local.select("witness", "local", "grp"), ["witness", "local"]).withColumn(
+        "length", F.greatest(F.lit(1).cast("long"), T.length_in(F.col("text"), F.col("lang"))),
+    )
     u = units.join(by_local.select("grp", F.posexplode("chapters").alias("at", "chapter")), "chapter")
     w = w.join(u.select("grp").distinct(), "grp", "left_semi")
-    w = kept(M.positions(with_payload(w.select("grp", "seq", "text", "lang", "start", "end", "kind", "length"), lexicon, s), ["grp"], "seq", "length"))
+    w = kept(
+        M.positions(with_payload(w.select("grp", "seq", "text", "lang", "start", "end", "kind", "length"), lexicon, s), ["grp"], "seq", "length")
+    )
     u = u.join(w.select("grp").distinct(), "grp", "left_semi").withColumn("seq", F.col("at").cast("long") * (1 << 40) + F.col("seq"))
     kind = {"anchors": "anchors", "embedding": "embedding"}.get(s.kind) or L.backend(s.kind, s.weight)
     side = ("grp", "seq", "length", "payload")
     beads = kept(L.align(u.select(*side), w.select(*side), kind, params))
-    cells = L.cells_from_beads(beads, u.select("grp", "seq", "unit", "chapter", "kind", "length", "position", "flag"), w.select("grp", "seq", "start", "end", "text", "lang", "kind", "length", "position"), witness_of(), lexicon.density_in)
+    cells = L.cells_from_beads(
+        beads, u.select("grp", "seq", "unit", "chapter", "kind", "length", "position", "flag"),
+        w.select("grp", "seq", "start", "end", "text", "lang", "kind", "length", "position"), witness_of(), lexicon.density_in,
+    )
     cells = cells.withColumn("chapter", F.substring_index("chapter", "|", -1)).drop("grp", "bead_no")
     done = u.select(witness_of().alias("witness"), "chapter").distinct()
     scopes = bridge.select("witness").distinct().withColumn("scope", F.lit("complete"))
@@ -133,10 +147,17 @@ def _matched(units: DataFrame, editions: DataFrame) -> DataFrame:
     has = editions.select("witness", "unit", F.col("text").alias("said"), F.col("flag"), F.lit(True).alias("has"))
     met = every.join(has, ["witness", "unit"], "left")
     said = F.coalesce("said", F.lit(""))
-    status = F.when(F.col("has").isNull(), "NA").when(F.col("flag") == "LACUNA", "LACUNA").when((F.col("flag") == "ABSENT") | (F.length(F.trim(said)) == 0), "ABSENT").otherwise("PRESENT")
+    status = F.when(F.col("has").isNull(), "NA").when(F.col("flag") == "LACUNA", "LACUNA").when(
+        (F.col("flag") == "ABSENT") | (F.length(F.trim(said)) == 0), "ABSENT",
+    ).otherwise("PRESENT")
     span = F.when(F.col("has"), F.col("unit"))
-    rows = met.select("unit", "witness", "chapter", "kind", status.alias("status"), span.alias("span_start"), span.alias("span_end"), F.when(F.col("has"), F.substring(said, 1, 80)).alias("text"))
-    return rows.withColumn("d_cov", F.when(F.col("status") == "PRESENT", 1.0).when(F.col("status") != "NA", 0.0)).withColumn("d_split", F.when(F.col("status") != "NA", 0.0))
+    rows = met.select(
+        "unit", "witness", "chapter", "kind", status.alias("status"), span.alias("span_start"), span.alias("span_end"),
+        F.when(F.col("has"), F.substring(said, 1, 80)).alias("text"),
+    )
+    return rows.withColumn(
+        "d_cov", F.when(F.col("status") == "PRESENT", 1.0).when(F.col("status") != "NA", 0.0),
+    ).withColumn("d_split", F.when(F.col("status") != "NA", 0.0))
 
 
 def review(beads: DataFrame, units: DataFrame, wits: DataFrame) -> DataFrame:
@@ -149,17 +170,24 @@ def review(beads: DataFrame, units: DataFrame, wits: DataFrame) -> DataFrame:
     def inside(c: str, by: str) -> Column:
         return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda x: x[c]), by)
 
-    left = listed(units, "ref").groupBy("grp", "bead_no").agg(inside("unit", " ").alias("ref_units"), F.substring(inside("text", " / "), 1, 160).alias("ref_text"))
+    left = listed(units, "ref").groupBy("grp", "bead_no").agg(
+        inside("unit", " ").alias("ref_units"), F.substring(inside("text", " / "), 1, 160).alias("ref_text"),
+    )
     span = F.concat_ws("-", F.min_by("start", "i"), F.max_by("end", "i"))
     right = listed(wits, "wit").groupBy("grp", "bead_no").agg(span.alias("wit_span"), F.substring(inside("text", " / "), 1, 160).alias("wit_text"))
-    rows = beads.join(left, ["grp", "bead_no"], "left").join(right, ["grp", "bead_no"], "left").na.fill("", ["ref_units", "ref_text", "wit_span", "wit_text"])
+    rows = beads.join(left, ["grp", "bead_no"], "left").join(right, ["grp", "bead_no"], "left").na.fill(
+        "", ["ref_units", "ref_text", "wit_span", "wit_text"],
+    )
     return rows.select(
         F.row_number().over(Window.orderBy("grp", "bead_no")).cast("long").alias("row_no"), witness_of().alias("witness"), F.substring_index("grp", "|", -1).alias("chapters"), "bead_no", L.shape_of(F.col("ref"), F.col("wit")).alias("shape"),
         "ref_units", "ref_text", "wit_span", "wit_text", F.round("similarity", 3).alias("similarity"), F.round("cost", 3).alias("cost"), F.lit("").alias("review_status"), F.lit("").alias("review_note"),
     )
 
 
-def run(spark: SparkSession, data: str, tei_path: str, folio_path: str, params: L.Params | None = None, similarity: Similarity | None = None, editions: DataFrame | None = None) -> Matrix:
+def run(
+    spark: SparkSession, data: str, tei_path: str, folio_path: str, params: L.Params | None = None, similarity: Similarity | None = None,
+    editions: DataFrame | None = None,
+) -> Matrix:
     """The matrix of a TEI and a folio witness, and of editions ``(witness, …)`` where there are any.
 
     ``data`` holds ``concordance/chapters.yaml`` and ``anchors/terms.yaml``.
@@ -184,13 +212,20 @@ def run(spark: SparkSession, data: str, tei_path: str, folio_path: str, params:
         others, targets = None, (TEI_WITNESS,)
     witness = F.when(F.col("lang") == "zh", TEI_WITNESS).otherwise(FOLIO_WITNESS)
     bridge = concordance.withColumn("witness", witness).where(F.col("witness").isin(*targets))
-    m = align_witnesses(ref, segments.where(F.col("witness").isin(*targets)), bridge, lexicon, ref_lang, "gold" if gold else "provisional", params, similarity, others)
+    m = align_witnesses(
+        ref, segments.where(F.col("witness").isin(*targets)), bridge, lexicon, ref_lang, "gold" if gold else "provisional", params,
+        similarity, others,
+    )
     m.reference, m.witnesses = reference, (*(n for n in names if n != reference), *targets)
     m.sources = tuple(names)
     m.cowitness = {TEI_WITNESS: FOLIO_WITNESS, FOLIO_WITNESS: TEI_WITNESS} if gold else {}
-    lengths = segments.where(F.col("witness").isin(*targets) & F.col("kind").isin(*ALIGNABLE)).select("witness", "local", T.length_in(F.col("text"), F.col("lang")).alias("length"))
+    lengths = segments.where(F.col("witness").isin(*targets) & F.col("kind").isin(*ALIGNABLE)).select(
+        "witness", "local", T.length_in(F.col("text"), F.col("lang")).alias("length"),
+    )
     m.tables = {
-        "structure_lengths": M.length_table(m.units.select("chapter", "length"), lengths, bridge.select("chapter", "witness", "local")), "glosses": tei.read_glosses(spark, tei_path), "apparatus": tei.read_apparatus(spark, tei_path),
+        "structure_lengths": M.length_table(
+            m.units.select("chapter", "length"), lengths, bridge.select("chapter", "witness", "local"),
+        ), "glosses": tei.read_glosses(spark, tei_path), "apparatus": tei.read_apparatus(spark, tei_path),
         "colophons": folio.colophons(segments.where(F.col("witness") == FOLIO_WITNESS).withColumn("file", F.col("witness"))), "titles": tei.read_titles(spark, tei_path),
     }
     return m

@@ -52,7 +52,9 @@ def segments_scan(spark: SparkSession, d: str) -> DataFrame:
 WORDS = "len(list_filter(string_split_regex({}, '\\s+'), lambda x: x <> ''))"
 
 
-@query(f"WITH {D.LINES}, k AS (SELECT *, text || CASE WHEN seq % 10 = 3 THEN ' རྫོགས་སོ' ELSE '' END AS t FROM lines) SELECT chapter, CASE WHEN seq % 10 = 3 THEN 'colophon' WHEN {WORDS.format('t')} IN (7, 9, 11) THEN 'verse_line' ELSE 'prose' END AS kind, count(*) AS n, sum(len(t))::BIGINT AS chars FROM k GROUP BY ALL")
+@query(
+    f"WITH {D.LINES}, k AS (SELECT *, text || CASE WHEN seq % 10 = 3 THEN ' རྫོགས་སོ' ELSE '' END AS t FROM lines) SELECT chapter, CASE WHEN seq % 10 = 3 THEN 'colophon' WHEN {WORDS.format('t')} IN (7, 9, 11) THEN 'verse_line' ELSE 'prose' END AS kind, count(*) AS n, sum(len(t))::BIGINT AS chars FROM k GROUP BY ALL"
+)
 def segment_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of lines; every tenth line is given a colophon's end."""
     rows = D.lines(spark, d).withColumn("text", F.concat("text", F.when(F.col("seq") % 10 == 3, " རྫོགས་སོ").otherwise("")))
@@ -63,7 +65,9 @@ LATIN, CJK = ".,;:?!", "。，；：？！"
 CLAUSES = f"(SELECT doc_id, unnest(regexp_extract_all(translate(text, '{LATIN}', '{CJK}'), '([^{T.CLAUSE_MARKS}]*[{T.CLAUSE_MARKS}]|[^{T.CLAUSE_MARKS}]+$)')) AS c FROM documents)"
 
 
-@query(f"SELECT doc_id, count(*) AS n_clauses, sum(len(regexp_replace(c, '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars FROM {CLAUSES} WHERE len(regexp_replace(c, '{T.STRIPPED}', '', 'g')) > 0 GROUP BY doc_id")
+@query(
+    f"SELECT doc_id, count(*) AS n_clauses, sum(len(regexp_replace(c, '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars FROM {CLAUSES} WHERE len(regexp_replace(c, '{T.STRIPPED}', '', 'g')) > 0 GROUP BY doc_id"
+)
 def clause_split(spark: SparkSession, d: str) -> DataFrame:
     """Clauses of documents whose marks are read as Chinese ones."""
     parts = T.clauses(F.translate("text", LATIN, CJK))
@@ -74,7 +78,10 @@ def clause_split(spark: SparkSession, d: str) -> DataFrame:
 def _tei(spark: SparkSession, d: str) -> DataFrame:
     """Documents as TEI: the source as head, the text with Chinese marks as one paragraph with a note."""
     text = report.xml_text(F.translate("text", LATIN, CJK))
-    xml = F.concat(F.lit('<TEI><text><body><lb n="'), F.col("doc_id").cast("string"), F.lit('"/><head>'), report.xml_text(F.col("source")), F.lit("</head><p>"), text, F.lit("<note>n</note></p></body></text></TEI>"))
+    xml = F.concat(
+        F.lit('<TEI><text><body><lb n="'), F.col("doc_id").cast("string"), F.lit('"/><head>'), report.xml_text(F.col("source")),
+        F.lit("</head><p>"), text, F.lit("<note>n</note></p></body></text></TEI>"),
+    )
     return D.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("witness"), xml.cast("binary").alias("content"))
 
 
@@ -86,12 +93,18 @@ TEI_CLAUSES = f"(SELECT doc_id, unnest(regexp_extract_all(regexp_replace(transla
 UNION ALL SELECT doc_id::VARCHAR, 'head', 1, len(trim(source)), doc_id::VARCHAR, 0 FROM documents WHERE source IS NOT NULL AND text IS NOT NULL""")
 def tei_segments(spark: SparkSession, d: str) -> DataFrame:
     got = tei.parsed(_tei(spark, d).where("content is not null"), 0, tei.SEGMENTS)
-    return got.groupBy("witness", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.first("start").alias("start"), F.max("inline_notes").cast("long").alias("notes"))
+    return got.groupBy("witness", "kind").agg(
+        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.first("start").alias("start"),
+        F.max("inline_notes").cast("long").alias("notes"),
+    )
 
 
 def _back(spark: SparkSession, d: str) -> DataFrame:
     """Regions as documents with an apparatus of their nations and a gloss."""
-    nations = F.array_join(F.transform(F.array_sort(F.collect_list("n_name")), lambda n: F.concat(F.lit('<rdg wit="#'), n, F.lit('">'), n, F.lit("</rdg>"))), "")
+    nations = F.array_join(
+        F.transform(F.array_sort(F.collect_list("n_name")), lambda n: F.concat(F.lit('<rdg wit="#'), n, F.lit('">'), n, F.lit("</rdg>"))),
+        "",
+    )
     per = D.table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(nations.alias("rdg"))
     r = D.table(spark, d, "region").join(per, "r_regionkey")
     xml = F.concat(
@@ -101,7 +114,9 @@ def _back(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("r_name").alias("witness"), xml.cast("binary").alias("content"))
 
 
-@query("SELECT r_name AS witness, '#' || r_regionkey AS anchor, r_name AS lem, string_agg(n_name, ' ' ORDER BY n_name) AS rdg, string_agg('#' || n_name, ' ' ORDER BY n_name) AS wit FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+@query(
+    "SELECT r_name AS witness, '#' || r_regionkey AS anchor, r_name AS lem, string_agg(n_name, ' ' ORDER BY n_name) AS rdg, string_agg('#' || n_name, ' ' ORDER BY n_name) AS wit FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL"
+)
 def tei_apparatus(spark: SparkSession, d: str) -> DataFrame:
     got = tei.parsed(_back(spark, d), 2, tei.APPARATUS)
     return got.select("witness", "anchor", "lem", F.array_join("rdg", " ").alias("rdg"), F.array_join("wit", " ").alias("wit"))
@@ -121,7 +136,10 @@ def folio_units(spark: SparkSession, d: str) -> DataFrame:
     rows = D.table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
     mark = F.when(F.col("line_no") == 0, F.concat(F.lit("[1a.1]{D"), F.col("doc_id").cast("string"), F.lit("}"))).otherwise("")
     units = folio.parse_folio(rows.select(F.col("doc_id").cast("string").alias("file"), "line_no", F.concat(mark, "line").alias("line")))
-    return units.groupBy("text_id").agg(F.count("*").alias("n"), F.max("seq").cast("long").alias("last"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("kind") == "verse_line").alias("verses"))
+    return units.groupBy("text_id").agg(
+        F.count("*").alias("n"), F.max("seq").cast("long").alias("last"), F.sum(F.length("text")).alias("chars"),
+        F.count_if(F.col("kind") == "verse_line").alias("verses"),
+    )
 
 
 @query(f"""WITH m AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, l FROM (SELECT doc_id, string_split(translate(text, '{LATIN}', '{CJK}'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
@@ -129,21 +147,34 @@ c AS (SELECT doc_id, 1 + (p - 1) // 3 AS chapter, p, unnest(regexp_extract_all(l
 SELECT witness, 'L.' || ch AS chapter, n, chars, 'c' || ch || ':' || n AS last, (ch - 1)::INT AS "order" FROM (SELECT doc_id::VARCHAR AS witness, chapter AS ch, count(*) AS n, sum(len(regexp_replace(c, '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars FROM c WHERE len(regexp_replace(c, '{T.STRIPPED}', '', 'g')) > 0 AND chapter <= 99 GROUP BY doc_id, chapter)""")
 def marked_clauses(spark: SparkSession, d: str) -> DataFrame:
     """Documents as marked texts with a chapter for every three lines, up to 99."""
-    rows = D.table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(F.translate("text", LATIN, CJK), "\n")).alias("p", "line")).where("p < 297")
+    rows = D.table(spark, d, "documents").where("text is not null").select(
+        "doc_id", F.posexplode(F.split(F.translate("text", LATIN, CJK), "\n")).alias("p", "line"),
+    ).where("p < 297")
     clean = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
-    head = rows.where("p % 3 = 0").select("doc_id", (F.col("p") * 2).alias("line_no"), F.concat(F.lit("#"), F.floor(F.col("p") / 3 + 1).cast("string")).alias("line"))
-    lines = head.union(rows.where(~clean.startswith("#") & ~clean.startswith("//")).select("doc_id", (F.col("p") * 2 + 1).alias("line_no"), "line")).withColumn("file", F.col("doc_id").cast("string"))
+    head = rows.where("p % 3 = 0").select(
+        "doc_id", (F.col("p") * 2).alias("line_no"), F.concat(F.lit("#"), F.floor(F.col("p") / 3 + 1).cast("string")).alias("line"),
+    )
+    lines = head.union(
+        rows.where(~clean.startswith("#") & ~clean.startswith("//")).select("doc_id", (F.col("p") * 2 + 1).alias("line_no"), "line")
+    ).withColumn("file", F.col("doc_id").cast("string"))
     got = marked.parse_marked(lines)
-    return got.groupBy("witness", "chapter").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max_by("end", "seq").alias("last"), F.max("order").cast("int").alias("order"))
+    return got.groupBy("witness", "chapter").agg(
+        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max_by("end", "seq").alias("last"),
+        F.max("order").cast("int").alias("order"),
+    )
 
 
-@query("SELECT 'customers' AS witness, 'I.' || (1 + c_nationkey % 11) || '.' || (1 + c_custkey % 900) AS unit, 'I.' || (1 + c_nationkey % 11) AS chapter, 'verse' AS kind, trim(regexp_replace(lower(c_name), '[#0-9]+', ' ', 'g')) AS text, CASE WHEN c_acctbal < 0 THEN 'LACUNA' END AS flag FROM customer")
+@query(
+    "SELECT 'customers' AS witness, 'I.' || (1 + c_nationkey % 11) || '.' || (1 + c_custkey % 900) AS unit, 'I.' || (1 + c_nationkey % 11) AS chapter, 'verse' AS kind, trim(regexp_replace(lower(c_name), '[#0-9]+', ' ', 'g')) AS text, CASE WHEN c_acctbal < 0 THEN 'LACUNA' END AS flag FROM customer"
+)
 def reference_rows(spark: SparkSession, d: str) -> DataFrame:
     """Customers as lines of a reference edition, between comments."""
     c = D.table(spark, d, "customer")
     unit = F.concat(F.lit("I."), (1 + F.col("c_nationkey") % 11).cast("string"), F.lit("."), (1 + F.col("c_custkey") % 900).cast("string"))
     line = F.concat_ws("\t", unit, F.regexp_replace("c_name", "#", " "), F.when(F.col("c_acctbal") < 0, "lacuna"))
-    lines = c.select(F.lit("customers").alias("file"), F.col("c_custkey").alias("line_no"), line.alias("line")).union(c.select(F.lit("customers"), -F.col("c_custkey"), F.concat(F.lit("# "), "c_name")))
+    lines = c.select(
+        F.lit("customers").alias("file"), F.col("c_custkey").alias("line_no"), line.alias("line"),
+    ).union(c.select(F.lit("customers"), -F.col("c_custkey"), F.concat(F.lit("# "), "c_name")))
     return tables.parse_reference(lines).select("witness", "unit", "chapter", "kind", "text", "flag")
 
 
@@ -153,7 +184,9 @@ PUNCT = T.ZH_PUNCT.replace("'", "''")
 SA = "regexp_replace(nfc_normalize(lower(text)), '[|।॥0-9.\\-()\\[\\]]+', ' ', 'g')"
 
 
-@query(f"""SELECT lang, count(*) AS docs, sum(CASE lang WHEN 'en' THEN len(translate(text, '{PUNCT}', '')) WHEN 'de' THEN len(list_filter(string_split_regex(text, '{T.BO_SPLIT}'), lambda x: x <> '')) WHEN 'fr' THEN len(regexp_extract_all({SA}, '{T.SA_VOWELS}')) ELSE {WORDS.format('text')} END)::BIGINT AS length FROM documents GROUP BY lang""")
+@query(
+    f"""SELECT lang, count(*) AS docs, sum(CASE lang WHEN 'en' THEN len(translate(text, '{PUNCT}', '')) WHEN 'de' THEN len(list_filter(string_split_regex(text, '{T.BO_SPLIT}'), lambda x: x <> '')) WHEN 'fr' THEN len(regexp_extract_all({SA}, '{T.SA_VOWELS}')) ELSE {WORDS.format('text')} END)::BIGINT AS length FROM documents GROUP BY lang"""
+)
 def length_by_lang(spark: SparkSession, d: str) -> DataFrame:
     """Lengths by the rules of three languages and by words, one for each language of the documents."""
     lang = F.coalesce(*(F.when(F.col("lang") == k, v) for k, v in READ_AS.items()), F.lit("xx"))
@@ -167,10 +200,17 @@ def file_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- identifiers
 
-UNIT_IDS = [("I.5.12", "verse"), ("I.5.12a", "verse"), ("I.1.p03", "prose"), ("II.12.t0012", "provisional"), ("L.81.p01", "prose"), ("+zh:a-b", "orphan"), ("I.12.1", None), ("bad", None), ("L.64.2b", "verse")]
+UNIT_IDS = [
+    ("I.5.12", "verse"), ("I.5.12a", "verse"), ("I.1.p03", "prose"), ("II.12.t0012", "provisional"), ("L.81.p01", "prose"),
+    ("+zh:a-b", "orphan"), ("I.12.1", None), ("bad", None), ("L.64.2b", "verse"),
+]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{u}', {repr(k) if k else 'NULL'}, {repr(u) if k else 'NULL'})" for u, k in UNIT_IDS) + ") t(unit, kind, again)")
+@query(
+    "SELECT * FROM (VALUES " + ", ".join(
+        f"('{u}', {repr(k) if k else 'NULL'}, {repr(u) if k else 'NULL'})" for u, k in UNIT_IDS
+    ) + ") t(unit, kind, again)"
+)
 def id_codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     u = _values(spark, [(x,) for x, _ in UNIT_IDS], "unit string").withColumn("u", ids.parse(F.col("unit")))
     return u.select("unit", F.col("u.kind").alias("kind"), ids.render(F.col("u")).alias("again"))
@@ -227,7 +267,10 @@ def sa_numerals_golden(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- anchors and similarity
 
-FORMS = [("thention", "name:a"), ("einlich", "name:b"), ("ación", "term:c"), ("tion", "term:d"), ("ing", "term:e"), ("eau", "term:f"), ("ung", "term:g"), ("the", "term:h")]
+FORMS = [
+    ("thention", "name:a"), ("einlich", "name:b"), ("ación", "term:c"), ("tion", "term:d"), ("ing", "term:e"), ("eau", "term:f"),
+    ("ung", "term:g"), ("the", "term:h"),
+]
 TERMS = lexicon.Lexicon(tuple(lexicon.Term(k.split(":")[1], k.split(":")[0], {"xx": (f,)}) for f, k in FORMS))
 
 
@@ -277,7 +320,9 @@ def dice_sql(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN 2.0::DOUBLE * len(list_intersect({g[a]}, {g[b]})) / (len({g[a]}) + len({g[b]})) ELSE 0.0::DOUBLE END"
 
 
-@query(f"""WITH p AS (SELECT x.conv_id, x.turn, x.text AS a, y.text AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) SELECT conv_id, turn, round({dice_sql('a', 'b')}, 4) AS dice FROM p""")
+@query(
+    f"""WITH p AS (SELECT x.conv_id, x.turn, x.text AS a, y.text AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) SELECT conv_id, turn, round({dice_sql('a', 'b')}, 4) AS dice FROM p"""
+)
 def dice_bigram(spark: SparkSession, d: str) -> DataFrame:
     a = D.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
@@ -305,7 +350,9 @@ def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     truth = grams(D.table(spark, d, "benchmark"), "item_id")
     met = grams(D.table(spark, d, "documents"), "doc_id", "source").join(truth, "g")
     size = truth.groupBy("item_id").agg(F.count("*").alias("n"))
-    return met.groupBy("doc_id", "source", "item_id").agg(F.count("*").alias("hits")).join(size, "item_id").select("doc_id", "source", "item_id", (F.col("hits") / F.col("n")).alias("overlap"))
+    return met.groupBy("doc_id", "source", "item_id").agg(F.count("*").alias("hits")).join(size, "item_id").select(
+        "doc_id", "source", "item_id", (F.col("hits") / F.col("n")).alias("overlap"),
+    )
 
 
 @query(f"WITH {PROBE_SQL} SELECT doc_id, item_id, round(overlap, 4) AS recall FROM ov")
@@ -313,7 +360,9 @@ def ngram_recall(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).select("doc_id", "item_id", F.round("overlap", 4).alias("recall"))
 
 
-@query(f"""WITH {PROBE_SQL} SELECT source, count(*) AS n, round(avg(round(overlap, 3)), 4) AS mean_overlap, round(CASE WHEN grouping(source) = 1 THEN avg((overlap >= 0.5::DOUBLE)::INT) ELSE avg((round(overlap, 3) >= 0.5::DOUBLE)::INT) END, 4) AS memorised_rate, grouping(source)::INT AS overall FROM ov GROUP BY ROLLUP (source)""")
+@query(
+    f"""WITH {PROBE_SQL} SELECT source, count(*) AS n, round(avg(round(overlap, 3)), 4) AS mean_overlap, round(CASE WHEN grouping(source) = 1 THEN avg((overlap >= 0.5::DOUBLE)::INT) ELSE avg((round(overlap, 3) >= 0.5::DOUBLE)::INT) END, 4) AS memorised_rate, grouping(source)::INT AS overall FROM ov GROUP BY ROLLUP (source)"""
+)
 def contamination_probe(spark: SparkSession, d: str) -> DataFrame:
     return A.contamination(_overlaps(spark, d))
 
@@ -332,7 +381,9 @@ def translit_density(spark: SparkSession, d: str) -> DataFrame:
 SAID = {0: " The translator deliberately removed it.", 1: " 此處有意省略。", 2: " It was toned down."}
 
 
-@query(f"SELECT doc_id, regexp_matches(text || CASE doc_id % 7 {' '.join(f'WHEN {k} THEN {v!r}' for k, v in SAID.items())} ELSE '' END, '(?i){'|'.join(A.MOTIVES)}') AS motive FROM documents WHERE text IS NOT NULL")
+@query(
+    f"SELECT doc_id, regexp_matches(text || CASE doc_id % 7 {' '.join(f'WHEN {k} THEN {v!r}' for k, v in SAID.items())} ELSE '' END, '(?i){'|'.join(A.MOTIVES)}') AS motive FROM documents WHERE text IS NOT NULL"
+)
 def motive_flag(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which some are given a sentence that names a motive."""
     more = F.coalesce(*(F.when(F.col("doc_id") % 7 == k, v) for k, v in SAID.items()), F.lit(""))
@@ -349,18 +400,25 @@ def tolerant_json(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "events").select("event_id", G.answer(said, "k bigint")["k"].alias("k"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'action' ELSE '' END AS lost, CASE WHEN event_type = 'click' THEN 'result' ELSE '' END AS added, CASE WHEN event_type = 'error' THEN 0.5 ELSE 0.0 END::DOUBLE AS loss_rate FROM events""")
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN 'action' ELSE '' END AS lost, CASE WHEN event_type = 'click' THEN 'result' ELSE '' END AS added, CASE WHEN event_type = 'error' THEN 0.5 ELSE 0.0 END::DOUBLE AS loss_rate FROM events"""
+)
 def component_deviation(spark: SparkSession, d: str) -> DataFrame:
     e = D.table(spark, d, "events")
     none = F.array().cast("array<string>")
     some = F.array(F.lit("x"))
     ref = F.create_map(F.lit("actor"), some, F.lit("action"), some, F.lit("result"), none)
-    wit = F.create_map(F.lit("actor"), some, F.lit("action"), F.when(F.col("event_type") == "error", none).otherwise(some), F.lit("result"), F.when(F.col("event_type") == "click", some).otherwise(none))
+    wit = F.create_map(
+        F.lit("actor"), some, F.lit("action"), F.when(F.col("event_type") == "error", none).otherwise(some), F.lit("result"),
+        F.when(F.col("event_type") == "click", some).otherwise(none),
+    )
     c = e.select("event_id", G.component_deviation(ref, wit).alias("c"))
     return c.select("event_id", F.array_join("c.lost", " ").alias("lost"), F.array_join("c.added", " ").alias("added"), "c.loss_rate")
 
 
-@query(f"WITH {D.LINES} SELECT doc_id, seq, substr(trim(text), 1, 40) AS prefix, len(trim(text))::BIGINT - 40 AS rest FROM lines WHERE len(trim(text)) >= 80")
+@query(
+    f"WITH {D.LINES} SELECT doc_id, seq, substr(trim(text), 1, 40) AS prefix, len(trim(text))::BIGINT - 40 AS rest FROM lines WHERE len(trim(text)) >= 80"
+)
 def probe_items(spark: SparkSession, d: str) -> DataFrame:
     p = D.lines(spark, d).select("doc_id", "seq", G.probe_items(F.col("text")).alias("p")).where("p is not null")
     return p.select("doc_id", "seq", "p.prefix", F.length("p.continuation").cast("long").alias("rest"))
@@ -374,7 +432,9 @@ def echo(prompt: str) -> str:
 PROBED = "(SELECT item_id, regexp_replace(substr(t, 41), '\\s+', ' ', 'g') AS b, regexp_replace(substr(t, 1, 40), '\\s+', ' ', 'g') AS a FROM (SELECT item_id, trim(text) AS t FROM benchmark) WHERE len(t) >= 80)"
 
 
-@query(f"WITH p AS (SELECT item_id, trim(b) AS b, trim(a) AS a FROM {PROBED}) SELECT item_id::VARCHAR AS ref, round(CASE WHEN len(b) >= 4 THEN len(list_intersect({gram_sql('b', 4)}, {gram_sql('a', 4)})) / len({gram_sql('b', 4)}) ELSE 0 END, 4)::DOUBLE AS overlap FROM p")
+@query(
+    f"WITH p AS (SELECT item_id, trim(b) AS b, trim(a) AS a FROM {PROBED}) SELECT item_id::VARCHAR AS ref, round(CASE WHEN len(b) >= 4 THEN len(list_intersect({gram_sql('b', 4)}, {gram_sql('a', 4)})) / len({gram_sql('b', 4)}) ELSE 0 END, 4)::DOUBLE AS overlap FROM p"
+)
 def mock_probe(spark: SparkSession, d: str) -> DataFrame:
     """The memorisation probe end to end, with a model that repeats the prefix."""
     items = D.table(spark, d, "benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").cast("string").alias("ref"), "text")
@@ -392,12 +452,17 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return D.lines(spark, d).select("doc_id", "seq", "text", F.lit("xx").alias("lang"), F.array(F.lit("name:a"), F.lit("term:b")).alias("anchors"))
 
 
-@query(f"WITH {D.LINES} SELECT doc_id, seq, CASE WHEN contains(text, 'the') THEN 'the' ELSE '' END AS actor, CASE WHEN contains(text, 'que') THEN 'que que' ELSE '' END AS action, CASE WHEN contains(text, 'the') THEN '' ELSE 'actor:the' END || '|' || CASE WHEN contains(text, 'que') THEN '' ELSE 'action:que action:que' END AS rejected, 'term:b' AS keys FROM lines")
+@query(
+    f"WITH {D.LINES} SELECT doc_id, seq, CASE WHEN contains(text, 'the') THEN 'the' ELSE '' END AS actor, CASE WHEN contains(text, 'que') THEN 'que que' ELSE '' END AS action, CASE WHEN contains(text, 'the') THEN '' ELSE 'actor:the' END || '|' || CASE WHEN contains(text, 'que') THEN '' ELSE 'action:que action:que' END AS rejected, 'term:b' AS keys FROM lines"
+)
 def mock_components(spark: SparkSession, d: str) -> DataFrame:
     """Slots hold what the text says word for word; keys are those that were offered."""
     got = J.extract_components(_lines(spark, d), _says({"actor": [" the "], "action": ["que", "que"], "lexicon_keys": ["term:b", "bogus"]}))
     parts = [F.array_join(F.filter("rejected", _begins(slot)), " ") for slot in ("actor", "action")]
-    return got.select("doc_id", "seq", *(F.array_join(F.col("slots")[x], " ").alias(x) for x in ("actor", "action")), F.concat(parts[0], F.lit("|"), parts[1]).alias("rejected"), F.array_join("lexicon_keys", " ").alias("keys"))
+    return got.select(
+        "doc_id", "seq", *(F.array_join(F.col("slots")[x], " ").alias(x) for x in ("actor", "action")),
+        F.concat(parts[0], F.lit("|"), parts[1]).alias("rejected"), F.array_join("lexicon_keys", " ").alias("keys"),
+    )
 
 
 def _begins(slot: str):
@@ -413,38 +478,64 @@ def mock_topics(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {D.LINES} SELECT doc_id, seq, text AS propositions FROM lines")
 def mock_segmentation(spark: SparkSession, d: str) -> DataFrame:
     """Pieces that do not tile the text are not taken: the text stays whole."""
-    return J.segment(_lines(spark, d), _says({"propositions": ["in no text", "nor this"]})).select("doc_id", "seq", F.array_join("propositions", "|").alias("propositions"))
+    return J.segment(_lines(spark, d), _says({"propositions": ["in no text", "nor this"]})).select(
+        "doc_id", "seq", F.array_join("propositions", "|").alias("propositions"),
+    )
 
 
 FACTS = "SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE event_type || ': PRESENT' END AS facts FROM events"
 
 
-@query(f"SELECT event_id::VARCHAR AS unit, CASE WHEN facts = '' THEN 'abstain' ELSE 'shared_with_cowitness' END AS top, CASE WHEN facts = '' THEN 0.0 ELSE 0.75 END::DOUBLE AS share, CASE WHEN facts = '' THEN '' ELSE '1' END AS cited FROM ({FACTS})")
+@query(
+    f"SELECT event_id::VARCHAR AS unit, CASE WHEN facts = '' THEN 'abstain' ELSE 'shared_with_cowitness' END AS top, CASE WHEN facts = '' THEN 0.0 ELSE 0.75 END::DOUBLE AS share, CASE WHEN facts = '' THEN '' ELSE '1' END AS cited FROM ({FACTS})"
+)
 def mock_attribution(spark: SparkSession, d: str) -> DataFrame:
     """Shares add up to 1; facts that do not exist are not cited; without facts there is no answer."""
-    e = D.table(spark, d, "events").select(F.col("event_id").cast("string").alias("unit"), F.when(F.col("event_type") == "error", "").otherwise(F.concat("event_type", F.lit(": PRESENT"))).alias("facts"))
-    got = J.judge_attribution(e, _says({"distribution": {"shared_with_cowitness": 3, "abstain": "1", "lacuna": -2}, "cited_facts": [1, 9], "note": "as the facts say"}))
-    return got.select("unit", "top", F.col("distribution")["shared_with_cowitness"].alias("share"), F.array_join(F.transform("cited", lambda x: x.cast("string")), " ").alias("cited"))
+    e = D.table(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("unit"),
+        F.when(F.col("event_type") == "error", "").otherwise(F.concat("event_type", F.lit(": PRESENT"))).alias("facts"),
+    )
+    got = J.judge_attribution(
+        e,
+        _says({"distribution": {"shared_with_cowitness": 3, "abstain": "1", "lacuna": -2}, "cited_facts": [1, 9], "note": "as the facts say"}),
+    )
+    return got.select(
+        "unit", "top", F.col("distribution")["shared_with_cowitness"].alias("share"),
+        F.array_join(F.transform("cited", lambda x: x.cast("string")), " ").alias("cited"),
+    )
 
 
 @query("SELECT item_id::VARCHAR AS unit, 'It was toned down.' AS rationale, true AS motive FROM benchmark")
 def mock_rationale(spark: SparkSession, d: str) -> DataFrame:
-    cells = D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("unit"), F.lit("w").alias("witness"), F.lit("ABSENT").alias("status"))
+    cells = D.table(spark, d, "benchmark").select(
+        F.col("item_id").cast("string").alias("unit"), F.lit("w").alias("witness"), F.lit("ABSENT").alias("status"),
+    )
     return J.explain(cells, J.Mock(respond=lambda p: "<think>hm</think> It was toned down.")).select("unit", "rationale", "motive")
 
 
-@query("SELECT 'naive' AS model, count(*) AS n, 1.0::DOUBLE AS rate_a, 0.0::DOUBLE AS rate_b, 1.0::DOUBLE AS diff FROM benchmark UNION ALL SELECT 'stubborn', count(*), 1.0, 1.0, 0.0 FROM benchmark")
+@query(
+    "SELECT 'naive' AS model, count(*) AS n, 1.0::DOUBLE AS rate_a, 0.0::DOUBLE AS rate_b, 1.0::DOUBLE AS diff FROM benchmark UNION ALL SELECT 'stubborn', count(*), 1.0, 1.0, 0.0 FROM benchmark"
+)
 def mock_counterfactual(spark: SparkSession, d: str) -> DataFrame:
     """Does a model stop naming motives when it is told that others lack the unit too?"""
-    items = D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("unit"), F.col("text").alias("source_text"), F.lit("another one lacks it").alias("fact"))
-    models = [J.Mock("naive", lambda p: "A variant reading." if "Additional fact" in p else "This is censorship."), J.Mock("stubborn", lambda p: "Censorship.")]
+    items = D.table(spark, d, "benchmark").select(
+        F.col("item_id").cast("string").alias("unit"), F.col("text").alias("source_text"), F.lit("another one lacks it").alias("fact"),
+    )
+    models = [
+        J.Mock("naive", lambda p: "A variant reading." if "Additional fact" in p else "This is censorship."),
+        J.Mock("stubborn", lambda p: "Censorship."),
+    ]
     return A.counterfactual_rates(J.counterfactual(items, models))
 
 
-@query(f"SELECT sha256(r_name) AS prompt_sha256, sha256('mock response') AS response_sha256, sha256('{J.SYSTEM.replace(chr(39), chr(39) * 2)}') AS system_sha256, 'mock' AS model_id, len(r_name)::INT AS n_prompt_chars, 13::INT AS n_response_chars, 64::INT AS max_tokens FROM region")
+@query(
+    f"SELECT sha256(r_name) AS prompt_sha256, sha256('mock response') AS response_sha256, sha256('{J.SYSTEM.replace(chr(39), chr(39) * 2)}') AS system_sha256, 'mock' AS model_id, len(r_name)::INT AS n_prompt_chars, 13::INT AS n_response_chars, 64::INT AS max_tokens FROM region"
+)
 def call_records(spark: SparkSession, d: str) -> DataFrame:
     asked = J.ask(D.table(spark, d, "region").select("r_name"), F.col("r_name"), J.Mock(), None, 64)
-    return J.call_log(asked).select("prompt_sha256", "response_sha256", "system_sha256", "model_id", "n_prompt_chars", "n_response_chars", "max_tokens")
+    return J.call_log(asked).select(
+        "prompt_sha256", "response_sha256", "system_sha256", "model_id", "n_prompt_chars", "n_response_chars", "max_tokens",
+    )
 
 
 # ---- vectors
@@ -493,7 +584,9 @@ TEXTS = [
 CLASSED = lexicon.Lexicon((), "拏吉尼")
 CALLS = {
     "zh_strip": T.zh_strip, "zh_length": T.zh_length, "bo_length": T.bo_length, "bo_share": T.bo_sanskrit_share, "strip_marks": T.strip_marks, "lacuna": T.lacuna_share, "sa": T.sa_normalize, "kind": folio.classify, "ordinal": folio.ordinal,
-    **{f"length_{x}": (lambda c, x=x: T.length_in(c, F.lit(x))) for x in ("zh", "bo", "sa", "xx")}, **{f"numbers_{x}": (lambda c, x=x: _numbers(T.numbers_in(c, F.lit(x)))) for x in ("zh", "bo", "sa", "xx")},
+    **{f"length_{x}": (lambda c, x=x: T.length_in(c, F.lit(x))) for x in ("zh", "bo", "sa", "xx")}, **{
+        f"numbers_{x}": (lambda c, x=x: _numbers(T.numbers_in(c, F.lit(x)))) for x in ("zh", "bo", "sa", "xx")
+    },
     **{f"density_{x}": (lambda c, x=x: CLASSED.density_in(c, F.lit(x))) for x in ("zh", "bo", "sa")},
 }
 
@@ -545,7 +638,9 @@ def upgma_golden(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT r_name, n_name, n_nationkey::VARCHAR AS n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A table through the CSV sink and the CSV source."""
-    rows = D.table(spark, d, "nation").join(D.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey")
+    rows = D.table(spark, d, "nation").join(
+        D.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"),
+    ).select("r_name", "n_name", "n_nationkey")
     path = scratch(spark, "csv")
     report.write_csv(rows, path)
     return tables.read_csv(spark, path, rows.columns)

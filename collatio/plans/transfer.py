@@ -61,7 +61,9 @@ class Matrix:
 
     def decompositions(self) -> DataFrame:
         rows = [(w, self.cowitness.get(w) if self.cowitness.get(w) in self.witnesses else None) for w in self.witnesses]
-        return X.decompose_all(self.cells, self.cells.sparkSession.createDataFrame(rows, "witness string, cowitness string"), self.sources, self.reference)
+        return X.decompose_all(
+            self.cells, self.cells.sparkSession.createDataFrame(rows, "witness string, cowitness string"), self.sources, self.reference,
+        )
 
     def intervals(self) -> DataFrame:
         return X.bootstrap(X.deviations(self.cells), by=["witness"])
@@ -73,7 +75,9 @@ class Matrix:
 
 def available(registry: DataFrame, files: DataFrame) -> DataFrame:
     """``registry(witness, file)`` with ``present``: is the file among ``files(file)``?"""
-    return registry.join(files.select("file").distinct().withColumn("present", F.lit(True)), "file", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    return registry.join(
+        files.select("file").distinct().withColumn("present", F.lit(True)), "file", "left",
+    ).withColumn("present", F.coalesce("present", F.lit(False)))
 
 
 def transfer(segments: DataFrame, registry: DataFrame, variants: T.Variants, params: L.Params = PARAMS) -> Matrix:
@@ -84,7 +88,9 @@ def transfer(segments: DataFrame, registry: DataFrame, variants: T.Variants, par
     # what several later steps read is written once, so that files are parsed and groups aligned once
     known = kept(known.withColumn("norm", F.replace("whole", F.lit("□"), F.lit(""))))
     ref = known.where(F.col("reference") & (F.col("kind") == "prose"))
-    units = M.mint_units(ref.select("chapter", "seq", "text", "norm", "whole", "length"), style="p%02d").withColumn("kind", F.lit("prose")).withColumn("flag", F.lit(None).cast("string"))
+    units = M.mint_units(
+        ref.select("chapter", "seq", "text", "norm", "whole", "length"), style="p%02d",
+    ).withColumn("kind", F.lit("prose")).withColumn("flag", F.lit(None).cast("string"))
     others = known.where(~F.col("reference"))
     scopes = registry.where(~F.col("reference")).select("witness", "scope").join(others.select("witness").distinct(), "witness", "left_semi")
     wits = M.positions(others.withColumn("grp", F.concat_ws("|", "witness", "chapter")), ["grp"], "seq", "length")
@@ -93,7 +99,10 @@ def transfer(segments: DataFrame, registry: DataFrame, variants: T.Variants, par
     both = wits.join(refs.select("grp").distinct(), "grp", "left_semi")
     payload = F.col("norm").alias("payload")
     beads = kept(L.align(refs.select("grp", "seq", "length", payload), both.select("grp", "seq", "length", payload), "chargrams", params))
-    cells = L.cells_from_beads(beads, refs.select("grp", "seq", "unit", "chapter", "kind", "length", "position", "flag"), wits.select("grp", "seq", "start", "end", "text", "lang", "kind", "length", "position"), witness_of())
+    cells = L.cells_from_beads(
+        beads, refs.select("grp", "seq", "unit", "chapter", "kind", "length", "position", "flag"),
+        wits.select("grp", "seq", "start", "end", "text", "lang", "kind", "length", "position"), witness_of(),
+    )
     chapter = F.coalesce(F.nullif(F.substring_index("chapter", "|", -1), F.lit("")), F.col("chapter"))
     cells = _lexical(cells.withColumn("chapter", chapter), beads, refs, wits).drop("grp", "bead_no")
     own = F.when(F.col("unit").startswith("+"), F.col("unit")).otherwise(F.concat_ws("|", "witness", "unit"))
@@ -102,7 +111,10 @@ def transfer(segments: DataFrame, registry: DataFrame, variants: T.Variants, par
     relinked = L.reorder(marked, in_chapter, wits.select("grp", "seq", "start", "end", "text", "norm", "position"))
     before = marked.select("unit", F.round("similarity", 3).alias("similarity_before"))
     relinked = kept(relinked.join(before, "unit").withColumn("unit", F.substring_index("unit", "|", -1)))
-    repairs = relinked.where("from_start is not null").select("unit", "witness", F.col("from_start").alias("from"), F.col("span_start").alias("to"), "similarity_before", F.round("similarity", 3).alias("similarity_after"))
+    repairs = relinked.where("from_start is not null").select(
+        "unit", "witness", F.col("from_start").alias("from"), F.col("span_start").alias("to"), "similarity_before",
+        F.round("similarity", 3).alias("similarity_after"),
+    )
     aligned = M.calibrate(relinked.drop("from_start", "similarity_before"))
     missing = M.fill_missing(units, shared.select("witness", "chapter"), scopes)
     full = aligned.unionByName(missing, allowMissingColumns=True).withColumn("evidence", F.lit("C"))
@@ -121,7 +133,10 @@ def _sides(beads: DataFrame, refs: DataFrame, wits: DataFrame) -> DataFrame:
         return rows.groupBy("grp", "bead_no").agg(text("text").alias(f"{prefix}_text"), text("norm").alias(f"{prefix}_norm"), *more)
 
     left = joined(refs, "ref", "ref", F.array_join(F.array_sort(F.collect_list("unit")), " ").alias("ref_units"))
-    right = joined(wits, "wit", "wit", F.max(F.col("kind") == "lacuna").alias("damaged"), F.min_by("start", "i").alias("from"), F.max_by("end", "i").alias("to"))
+    right = joined(
+        wits, "wit", "wit", F.max(F.col("kind") == "lacuna").alias("damaged"), F.min_by("start", "i").alias("from"),
+        F.max_by("end", "i").alias("to"),
+    )
     return left.join(right, ["grp", "bead_no"], "full")
 
 
@@ -145,6 +160,8 @@ def review(beads: DataFrame, refs: DataFrame, wits: DataFrame, variants: T.Varia
         F.row_number().over(order).cast("long").alias("row_no"), witness_of().alias("witness"), F.substring_index("grp", "|", -1).alias("chapter"), "bead_no", L.shape_of(F.col("ref"), F.col("wit")).alias("shape"),
         F.coalesce("ref_units", F.lit("")).alias("ref_units"), F.substring(F.coalesce("ref_text", F.lit("")), 1, 120).alias("ref_text"), F.substring(F.coalesce("wit_text", F.lit("")), 1, 120).alias("wit_text"),
         F.concat_ws("-", "from", "to").alias("wit_coords"), F.round("similarity", 3).alias("similarity"), F.round(F.when(two, 1 - S.dice(ref_plain, wit_plain)), 3).alias("d_lex_raw"),
-        F.round(F.when(two, 1 - S.dice(F.col("ref_norm"), F.col("wit_norm"))), 3).alias("d_lex"), F.when(two, F.array_join(variants.explained(ref_plain, wit_plain), " ")).otherwise("").alias("variants_explained"),
+        F.round(
+            F.when(two, 1 - S.dice(F.col("ref_norm"), F.col("wit_norm"))), 3,
+        ).alias("d_lex"), F.when(two, F.array_join(variants.explained(ref_plain, wit_plain), " ")).otherwise("").alias("variants_explained"),
         F.lit("").alias("review_status"), F.lit("").alias("review_note"),
     )

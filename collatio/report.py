@@ -118,7 +118,9 @@ def heatmap_svg(rows: list[dict], metric: str, cell: int = 14) -> str:
             else:
                 size = round(255 * (1 - min(1.0, abs(v))))
                 shade = f"rgb(255,{size},{size})" if v < 0 else f"rgb({size},{size},255)"
-            out.append(f'<rect x="{80 + j * cell}" y="{(i + 1) * cell}" width="{cell}" height="{cell}" fill="{shade}"><title>{escape(f"{c} {w}: {v}")}</title></rect>')
+            out.append(
+                f'<rect x="{80 + j * cell}" y="{(i + 1) * cell}" width="{cell}" height="{cell}" fill="{shade}"><title>{escape(f"{c} {w}: {v}")}</title></rect>'
+            )
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{80 + cell * len(witnesses)}" height="{(len(chapters) + 3) * cell}">{"".join(out)}</svg>'
 
 
@@ -129,16 +131,24 @@ def strip_svg(cells: DataFrame, units: DataFrame, witnesses: Sequence[str], most
     """
     own = units.where(~is_orphan(F.col("unit"))).withColumn("_c", F.split("chapter", r"\."))
     part, number = F.element_at("_c", 1), F.try_element_at("_c", F.lit(2)).try_cast("int")
-    order = own.select("unit", "chapter", F.length(part).alias("_p"), part.alias("_n"), number.alias("_i"), F.col("seq") if "seq" in units.columns else F.col("unit").alias("seq")).orderBy("_p", "_n", "_i", "seq", "unit").limit(most)
+    order = own.select(
+        "unit", "chapter", F.length(part).alias("_p"), part.alias("_n"), number.alias("_i"),
+        F.col("seq") if "seq" in units.columns else F.col("unit").alias("seq"),
+    ).orderBy("_p", "_n", "_i", "seq", "unit").limit(most)
     shown = [(r.unit, r.chapter) for r in order.collect()]
     place = {u: i for i, (u, _) in enumerate(shown)}
     rows = cells.where(F.col("witness").isin(*witnesses)).join(order.select("unit"), "unit", "left_semi").select("unit", "witness", "status").collect()
     row = {w: i for i, w in enumerate(witnesses)}
-    marks = "".join(f'<rect x="{100 + place[r.unit]}" y="{20 * row[r.witness]}" width="1" height="18" fill="{SHADES.get(r.status, "#000")}"/>' for r in rows if r.unit in place)
+    marks = "".join(
+        f'<rect x="{100 + place[r.unit]}" y="{20 * row[r.witness]}" width="1" height="18" fill="{SHADES.get(r.status, "#000")}"/>' for r in rows if r.unit in place
+    )
     names = "".join(f'<text x="0" y="{20 * i + 14}" font-size="10">{escape(w)}</text>' for w, i in row.items())
     depth = 20 * len(row)
     begins = [(i, c) for i, (_, c) in enumerate(shown) if i == 0 or shown[i - 1][1] != c]
-    ticks = "".join(f'<line x1="{100 + i}" y1="0" x2="{100 + i}" y2="{depth}" stroke="#000" stroke-width="0.5"/><text x="{101 + i}" y="{depth + 12}" font-size="8">{escape(c)}</text>' for i, c in begins)
+    ticks = "".join(
+        f'<line x1="{100 + i}" y1="0" x2="{100 + i}" y2="{depth}" stroke="#000" stroke-width="0.5"/><text x="{101 + i}" y="{depth + 12}" font-size="8">{escape(c)}</text>' for i,
+        c in begins
+    )
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{100 + len(shown)}" height="{depth + 20}">{names}{marks}{ticks}</svg>'
 
 
@@ -146,25 +156,40 @@ def _table(rows: list[dict], columns: Sequence[str]) -> list[str]:
     def shown(v: object) -> str:
         return "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
 
-    return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(shown(r.get(c)) for c in columns) + " |" for r in rows)]
+    return [
+        "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns),
+        *("| " + " | ".join(shown(r.get(c)) for c in columns) + " |" for r in rows),
+    ]
 
 
 def summary(m: Matrix, structure: list[dict], dims: dict[str, list[dict]], got: dict[str, list[dict]], tree: str | None) -> str:
     """A report of the run: its structure, deviations, decompositions, intervals and distances."""
     out = ["# Witness matrix", "", f"- reference: `{m.reference}` ({m.grade})", f"- witnesses: {', '.join(m.witnesses)}"]
     if m.grade == "provisional":
-        out.append("- **Provisional**: no edition in the source language was given. The folio translation stands in, so figures compare translations and say nothing of the source.")
+        out.append(
+            "- **Provisional**: no edition in the source language was given. The folio translation stands in, so figures compare translations and say nothing of the source."
+        )
     if m.grade == "coordinate_only":
         out.append("- The reference lends its coordinates only: figures tell how far witnesses lie apart, not how far they lie from a source.")
     some = [r for r in structure if r["n_units"] or r["n_orphan"]]
     means = [c for c in (f"mean_{d}" for d in DIMS) if some and c in some[0]]
-    out += ["", "## Chapters", "", *_table(some, ["chapter", "witness", "n_units", "n_counted", "n_present", "n_absent", "n_orphan", "coverage", *means])]
+    out += [
+        "", "## Chapters", "",
+        *_table(some, ["chapter", "witness", "n_units", "n_counted", "n_present", "n_absent", "n_orphan", "coverage", *means]),
+    ]
     spread = [r | {"dimension": d} for d, rows in dims.items() for r in rows]
     out += ["", "## Deviations", "", *_table(spread, ["witness", "dimension", "n", "mean", "median", "p90"])]
     if got["decompositions"]:
-        out += ["", "## Decomposition", "", *_table(got["decompositions"], ["witness", "cowitness", "n_counted", "n_deviating", *X.CLASSES, *(f"rate_{c}" for c in X.CLASSES)])]
+        out += [
+            "", "## Decomposition", "",
+            *_table(got["decompositions"], ["witness", "cowitness", "n_counted", "n_deviating", *X.CLASSES, *(f"rate_{c}" for c in X.CLASSES)]),
+        ]
     out += ["", "## Deviation rates, chapters resampled", "", *_table(got["deviation_rate_ci"], ["witness", "estimate", "lo", "hi", "n_blocks"])]
     if len(m.witnesses) > 1:
         near = {(r["a"], r["b"]): r["distance"] for r in got["distances"]}
-        out += ["", "## Distances", "", *_table([{"": a, **{b: near.get((a, b)) for b in m.witnesses}} for a in m.witnesses], ["", *m.witnesses]), "", f"Average linkage: `{tree}`"]
+        out += [
+            "", "## Distances", "",
+            *_table([{"": a, **{b: near.get((a, b)) for b in m.witnesses}} for a in m.witnesses], ["", *m.witnesses]), "",
+            f"Average linkage: `{tree}`",
+        ]
     return "\n".join(out) + "\n"

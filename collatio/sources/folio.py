@@ -17,7 +17,10 @@ COLOPHON = "ལེའུ་(?:ཞེས་བྱ་བ་)?སྟེ་?([ༀ-
 TEXT_END = "རྫོགས་སོ"
 OPENING = "འདི་སྐད་བདག་གིས་ཐོས་པ"
 TITLE = "རྒྱ་གར་སྐད་དུ"
-ORDINALS = {"དང་པོ": 1, "གཉིས་པ": 2, "གསུམ་པ": 3, "བཞི་པ": 4, "ལྔ་པ": 5, "དྲུག་པ": 6, "བདུན་པ": 7, "བརྒྱད་པ": 8, "དགུ་པ": 9, "དགུ་བ": 9, "བཅུ་པ": 10, "བཅུ་གཅིག་པ": 11, "བཅུ་གཉིས་པ": 12}
+ORDINALS = {
+    "དང་པོ": 1, "གཉིས་པ": 2, "གསུམ་པ": 3, "བཞི་པ": 4, "ལྔ་པ": 5, "དྲུག་པ": 6, "བདུན་པ": 7, "བརྒྱད་པ": 8, "དགུ་པ": 9, "དགུ་བ": 9,
+    "བཅུ་པ": 10, "བཅུ་གཅིག་པ": 11, "བཅུ་གཉིས་པ": 12,
+}
 DELIMITERS = "།༎༏༐༑༔"
 BARE = ("", "།", "། །", "།། །།")
 START = "0a.0"
@@ -28,7 +31,9 @@ def classify(c: Column) -> Column:
     """colophon, mantra (over half transliterated, three syllables at least), verse_line, prose."""
     n = T.bo_length(c)
     colophon = c.rlike(COLOPHON) | c.rlike(TEXT_END)
-    return F.when(colophon, "colophon").when((T.bo_sanskrit_share(c) > 0.5) & (n >= 3), "mantra").when(n.isin(7, 9, 11), "verse_line").otherwise("prose")
+    return F.when(colophon, "colophon").when(
+        (T.bo_sanskrit_share(c) > 0.5) & (n >= 3), "mantra",
+    ).when(n.isin(7, 9, 11), "verse_line").otherwise("prose")
 
 
 def ordinal(c: Column) -> Column:
@@ -65,17 +70,24 @@ def parse_folio(lines: DataFrame, wanted: Sequence[str] | None = None) -> DataFr
     in_file = Window.partitionBy("file").orderBy("line_no", "pos")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     closes = F.col("piece").rlike(f"[{DELIMITERS}]$") | F.col("marker").isNotNull()
-    rows = fragments(lines).withColumn("text_id", F.last("marker", ignorenulls=True).over(in_file)).withColumn("unit", F.coalesce(F.sum(closes.cast("long")).over(before), F.lit(0)))
+    rows = fragments(lines).withColumn("text_id", F.last("marker", ignorenulls=True).over(in_file)).withColumn(
+        "unit", F.coalesce(F.sum(closes.cast("long")).over(before), F.lit(0)),
+    )
     rows = rows.where(F.col("marker").isNull() & F.col("text_id").isNotNull())
     if wanted is not None:
         rows = rows.where(F.col("text_id").isin(*wanted))
     place = F.struct("line_no", "pos")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "pos", "piece"))), lambda x: x["piece"]), "")
-    units = rows.groupBy("file", "text_id", "unit").agg(joined.alias("raw"), F.min_by("coord", place).alias("start"), F.max_by("coord", place).alias("end"))
+    units = rows.groupBy("file", "text_id", "unit").agg(
+        joined.alias("raw"), F.min_by("coord", place).alias("start"), F.max_by("coord", place).alias("end"),
+    )
     in_text = Window.partitionBy("file", "text_id").orderBy("unit")
     every = Window.partitionBy("file", "text_id")
     units = units.withColumn("seq", F.row_number().over(in_text) - 1).withColumn("text", F.regexp_replace("raw", r"(?U)^\s+|\s+$", ""))
-    head = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("seq") < TITLE_UNITS, F.struct("seq", "raw"))).over(every)), lambda x: x["raw"]), "")
+    head = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("seq") < TITLE_UNITS, F.struct("seq", "raw"))).over(every)), lambda x: x["raw"]),
+        "",
+    )
     units = units.withColumn("titled", head.rlike(TITLE)).where(~F.col("text").isin(*BARE)).withColumn("own", classify(F.col("text")))
     leaves = F.col("text").rlike(OPENING) | (F.col("seq") > FRONT_UNITS) | (F.col("own") == "colophon")
     front = F.col("titled") & (F.col("seq") < F.coalesce(F.min(F.when(leaves, F.col("seq"))).over(every), F.lit(1 << 30)))
@@ -84,7 +96,9 @@ def parse_folio(lines: DataFrame, wanted: Sequence[str] | None = None) -> DataFr
     text_end = colophon & F.col("text").rlike(TEXT_END) & ~F.col("text").rlike(COLOPHON)
     done = F.sum((colophon & ~text_end).cast("int")).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     return units.select(
-        "file", "text_id", "seq", F.concat(F.lit("bo:"), "text_id", F.lit(":"), F.format_string("%05d", "seq")).alias("seg_id"), "text", "start", "end", "kind",
+        "file", "text_id", "seq", F.concat(
+            F.lit("bo:"), "text_id", F.lit(":"), F.format_string("%05d", "seq"),
+        ).alias("seg_id"), "text", "start", "end", "kind",
         (1 + F.coalesce(done, F.lit(0))).cast("int").alias("local_chapter"), F.when(colophon, ordinal(F.col("text"))).alias("ordinal"), text_end.alias("text_end"),
     )
 

@@ -12,7 +12,9 @@ HEADER = r"^#\s*(\d{1,2})([上下]?)(\?)?\s*(?:@(\S+))?\s*(.*)$"
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, line)`` of whole files, in order; works on any path Spark can read."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("file"), "value",
+    )
     return whole.select("file", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"))
 
 
@@ -49,7 +51,9 @@ def parse_marked(lines: DataFrame, lacuna_threshold: float = 0.5) -> DataFrame:
     rows = clauses.withColumn("number", number).withColumn("seq", seq).withColumn("native", F.nullif("native", F.lit("")))
     return rows.select(
         F.col("file").alias("witness"), F.concat_ws(":", "file", here).alias("seg_id"), F.lit("zh").alias("lang"), "text", F.concat_ws("@", coord, "native").alias("start"), coord.alias("end"),
-        F.when(share >= lacuna_threshold, "lacuna").otherwise("prose").alias("kind"), F.concat(F.lit("L."), F.col("local_chapter").cast("string")).alias("chapter"), "local_chapter",
+        F.when(share >= lacuna_threshold, "lacuna").otherwise("prose").alias("kind"), F.concat(
+            F.lit("L."), F.col("local_chapter").cast("string"),
+        ).alias("chapter"), "local_chapter",
         "half", (F.col("doubt") == "?").alias("uncertain"), "native", F.round(share, 3).alias("lacuna_fraction"), "seq",
     ).join(first, ["witness", "local_chapter"])
 

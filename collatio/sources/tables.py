@@ -32,7 +32,10 @@ def parse_reference(lines: DataFrame, strict: bool = True) -> DataFrame:
     flag = F.upper(F.nullif(F.trim(F.try_element_at("cells", F.lit(3))), F.lit("")))
     out = rows.withColumn("u", parsed).where("u is not null")
     kind = F.when(F.col("u.kind") == "verse", "verse").otherwise("prose")
-    return out.select("witness", "seq", "unit", ids.chapter_key(F.col("u")).alias("chapter"), kind.alias("kind"), F.col("u.chapter").alias("local_chapter"), T.sa_normalize(F.element_at("cells", 2)).alias("text"), flag.alias("flag"))
+    return out.select(
+        "witness", "seq", "unit", ids.chapter_key(F.col("u")).alias("chapter"), kind.alias("kind"),
+        F.col("u.chapter").alias("local_chapter"), T.sa_normalize(F.element_at("cells", 2)).alias("text"), flag.alias("flag"),
+    )
 
 
 def read_reference(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -47,7 +50,9 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
     """``(source, ref, text)`` from CSV with a header, or from three-column TSV; empty texts are dropped."""
     schema = "source string, ref string, text string"
-    got = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"') if path.endswith(".csv") else spark.read.csv(path, sep="\t", schema=schema, quote="")
+    got = spark.read.csv(
+        path, header=True, schema=schema, multiLine=True, escape='"',
+    ) if path.endswith(".csv") else spark.read.csv(path, sep="\t", schema=schema, quote="")
     return got.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
 
 
