@@ -59,13 +59,19 @@ def running(df: DataFrame, order: Sequence[str], **sums: str) -> DataFrame:
     No task sees more than a partition of the order: rows are range-partitioned, summed by
     partition, and the partitions' offsets (one row each) are added. Keys should be unique.
     """
-    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).select("*", *(F.expr(e).alias(f"_v_{n}") for n, e in sums.items())))
+    parts = cut(
+        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).select("*", *(F.expr(e).alias(f"_v_{n}") for n, e in sums.items()))
+    )
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("_part").agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums)).select("_part", *(F.sum(f"_s_{n}").over(ahead).alias(f"_o_{n}") for n in sums))
+    offsets = parts.groupBy("_part").agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums)).select(
+        "_part", *(F.sum(f"_s_{n}").over(ahead).alias(f"_o_{n}") for n in sums),
+    )
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = parts.select("*", *(F.sum(f"_v_{n}").over(inside).alias(f"_i_{n}") for n in sums))
     zero = F.lit(0)
-    return own.join(F.broadcast(offsets), "_part").select(*df.columns, *((F.coalesce(f"_o_{n}", zero) + F.coalesce(f"_i_{n}", zero)).alias(n) for n in sums))
+    return own.join(F.broadcast(offsets), "_part").select(
+        *df.columns, *((F.coalesce(f"_o_{n}", zero) + F.coalesce(f"_i_{n}", zero)).alias(n) for n in sums),
+    )
 
 
 def slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,11 @@ def components(edges: DataFrame) -> DataFrame:
         # after a large-star step b < a: u's smaller neighbours, with u itself hung onto the least of them
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        hung = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
+        hung = down.join(least, "u").select(
+            F.explode(
+                F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))
+            ).alias("e")
+        )
         now = cut(hung.select("e.a", "e.b").where("a <> b").distinct())
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

@@ -32,7 +32,10 @@ class Template:
     controls: tuple[str, ...] = ("<s>", "</s>", "[INST]", "[/INST]")
     loss_roles: tuple[str, ...] = ("assistant",)
     moves: dict[str, dict[str, str]] = field(
-        default_factory=lambda: {"start": {"system": "ready", "user": "asked"}, "ready": {"user": "asked"}, "asked": {"assistant": "answered"}, "answered": {"user": "asked"}}
+        default_factory=lambda: {
+            "start": {"system": "ready", "user": "asked"}, "ready": {"user": "asked"}, "asked": {"assistant": "answered"},
+            "answered": {"user": "asked"},
+        }
     )
     final: tuple[str, ...] = ("answered",)
 
@@ -74,7 +77,10 @@ def _valid(turns: Column, template: Template) -> Column:
     return F.aggregate(turns, F.lit("start"), step).isin(*template.final)
 
 
-def format_chats(df: DataFrame, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_chats(
+    df: DataFrame, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+    text_col: str = "text",
+) -> DataFrame:
     """One row per conversation: ``(conv, n_turns, valid, formatted, segments)``.
 
     ``segments`` is ``array<struct<text, loss>>`` in order; their texts joined are ``formatted``.
@@ -89,7 +95,10 @@ def format_chats(df: DataFrame, template: Template | None = None, conv_col: str
     t = template or Template()
     rows = df.select(
         F.col(conv_col).alias("conv"),
-        F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("t"),
+        F.struct(
+            F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
+            F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        ).alias("t"),
     )
     grouped = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     head = lambda x: F.concat(F.lit(t.open), escape(x["role"], t), F.lit(t.middle))
@@ -104,7 +113,10 @@ def format_chats(df: DataFrame, template: Template | None = None, conv_col: str
         )
     )
     out = grouped.select("conv", F.size("turns").cast("long").alias("n_turns"), _valid(F.col("turns"), t).alias("valid"), segments.alias("segments"))
-    return out.select(F.col("conv").alias(conv_col), "n_turns", "valid", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    return out.select(
+        F.col("conv").alias(conv_col), "n_turns", "valid",
+        F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments",
+    )
 
 
 def parse_chat(formatted: Column, template: Template) -> Column:
@@ -124,7 +136,10 @@ def parse_chat(formatted: Column, template: Template) -> Column:
 def digest(chats: DataFrame, template: Template | None = None) -> DataFrame:
     """Digests of what ``format_chats`` returned: turns from the string, loss from the segments."""
     t = template or Template()
-    read = chats.select(chats.columns[0], "formatted", "valid", parse_chat(F.col("formatted"), t).alias("turns"), F.filter("segments", lambda s: s["loss"]).alias("loss"))
+    read = chats.select(
+        chats.columns[0], "formatted", "valid", parse_chat(F.col("formatted"), t).alias("turns"),
+        F.filter("segments", lambda s: s["loss"]).alias("loss"),
+    )
     loss = F.array_join(F.transform("loss", lambda s: unescape(s["text"], t)), "")
     turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(

@@ -65,7 +65,9 @@ def unit_rows(column: pa.Array) -> np.ndarray:
 def classes(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """``(cid, label, dim, vec, n, rep)``: distinct usable vectors with their copies' number and least id."""
     floats = F.col(vec_col).cast("array<double>")
-    usable = F.col(label_col).isNotNull() & F.exists(floats, lambda x: x != 0) & ~F.exists(floats, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = F.col(label_col).isNotNull() & F.exists(floats, lambda x: x != 0) & ~F.exists(
+        floats, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")),
+    )
     rows = df.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
     same = rows.groupBy("label", F.xxhash64("vec").alias("h"), "vec").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
     return cut(same).withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("vec"))
@@ -85,7 +87,10 @@ def _signed(distinct: DataFrame, p: Passes, numbers: range) -> DataFrame:
                 for number in numbers:
                     sig = ((rows @ planes(p, number, int(dim)) > 0) * weights).sum(axis=1)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("cid"), part.column("label"), part.column("dim"), pa.array(np.full(len(sig), number, np.int32)), pa.array(sig)], names=["cid", "label", "dim", "pass", "sig"]
+                        [
+                            part.column("cid"), part.column("label"), part.column("dim"), pa.array(np.full(len(sig), number, np.int32)),
+                            pa.array(sig),
+                        ], names=["cid", "label", "dim", "pass", "sig"]
                     )
 
     return distinct.select("cid", "label", "dim", "vec").mapInArrow(run, f"cid long, label {kind}, dim int, pass int, sig long")
@@ -94,7 +99,9 @@ def _signed(distinct: DataFrame, p: Passes, numbers: range) -> DataFrame:
 def _ranked(signed: DataFrame) -> DataFrame:
     """The global order's row number as ``rank``; the offsets are one row for each partition."""
     keys = ["pass", "label", "dim", "sig", "cid"]
-    ordered = cut(signed.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ordered = cut(signed.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("part", F.spark_partition_id()).withColumn(
+        "place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1),
+    )
     sizes = ordered.groupBy("part").count()
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("count").over(over), F.lit(0)).alias("offset"))
@@ -106,7 +113,9 @@ def window_pairs(distinct: DataFrame, p: Passes, numbers: range | None = None) -
     block = F.floor(F.col("rank") / p.block)
     halo = (F.col("rank") % p.block < p.window) & (F.col("rank") >= p.block)
     blocks = F.explode(F.when(halo, F.array(block, block - 1)).otherwise(F.array(block)))
-    dealt = _ranked(_signed(distinct, p, range(p.passes) if numbers is None else numbers)).select("cid", "label", "dim", "pass", "rank", blocks.alias("block"))
+    dealt = _ranked(_signed(distinct, p, range(p.passes) if numbers is None else numbers)).select(
+        "cid", "label", "dim", "pass", "rank", blocks.alias("block"),
+    )
     full = dealt.join(distinct.select("cid", "vec"), "cid").select("block", "rank", "pass", "label", "cid", "dim", "vec")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -156,7 +165,10 @@ def _complete(members: DataFrame, p: Passes) -> DataFrame:
     tiles = F.ceil(F.col("size") / p.tile).cast("long")
     own = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64(F.lit(p.seed), "cid"), F.col("tiles")))
     sent = own.select("component", "cid", "n", "vec", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    keyed = sent.select("component", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "cid", "n", "vec", (F.col("tile") <= F.col("other")).alias("low"), (F.col("tile") >= F.col("other")).alias("high"))
+    keyed = sent.select(
+        "component", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "cid", "n", "vec",
+        (F.col("tile") <= F.col("other")).alias("low"), (F.col("tile") >= F.col("other")).alias("high"),
+    )
 
     def count(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -173,7 +185,9 @@ def _complete(members: DataFrame, p: Passes) -> DataFrame:
     return keyed.groupBy("component", "lo", "hi").applyInArrow(count, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", passes: Passes | None = None) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", passes: Passes | None = None,
+) -> DataFrame:
     """One row per row of ``df``: ``(id, n_links, component_id, kept)``.
 
     Rows link if their labels are equal and not null, their vectors have one length and their
@@ -191,12 +205,19 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     state = sizes.join(found, "component").withColumn("whole", F.col("pairs") * 2 == F.col("size") * (F.col("size") - 1))
     members = linked.join(state, "component").join(distinct.select("cid", "n", "vec"), "cid")
     both = pairs.select(F.col("a").alias("cid"), F.col("b").alias("mate")).union(pairs.select(F.col("b").alias("cid"), F.col("a").alias("mate")))
-    listed = both.join(members.where("whole").select("cid"), "cid").join(distinct.select(F.col("cid").alias("mate"), "n"), "mate").groupBy("cid").agg(F.sum("n").alias("links"))
+    listed = both.join(members.where("whole").select("cid"), "cid").join(
+        distinct.select(F.col("cid").alias("mate"), "n"), "mate",
+    ).groupBy("cid").agg(F.sum("n").alias("links"))
     links = listed.union(_complete(members.where("not whole").select("component", "size", "cid", "n", "vec"), p))
     named = distinct.join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    lookup = named.join(least, "component").join(links, "cid", "left").select("label", "h", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    lookup = named.join(least, "component").join(links, "cid", "left").select(
+        "label", "h", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id",
+    )
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.xxhash64(vec_col).alias("h"), F.col(vec_col).alias("vec"))
     out = rows.join(lookup, ["label", "h", "vec"], "left")
     own = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"),
+        F.col("id").eqNullSafe(own).alias("kept"),
+    )

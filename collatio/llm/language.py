@@ -89,7 +89,9 @@ def _learn(df: DataFrame, s: Settings) -> DataFrame:
                     n += np.bincount(bucket, np.repeat(times[keep], each), s.buckets).astype(np.int64)
         for lang, n in counts.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "bucket", "n"],
+            )
 
     return df.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
@@ -175,7 +177,10 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None, carry: Sequence[str] = ()) -> DataFrame:
+def identify(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None,
+    carry: Sequence[str] = (),
+) -> DataFrame:
     """One row per row of ``df``: ``(id, held_out, lang_pred, score, languages, above_chance)``.
 
     Learns from the rows with a language, a text and an id whose crc32 modulo 3 is not 1;
@@ -205,11 +210,24 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                     at = np.argsort(-row, kind="stable")
                     found.append([{"lang": langs[i], "share": min(1.0, float(row[i]))} for i in at if row[i] > 0])
                 kept = {f"carry_{i}": part.column(f"carry_{i}") for i in range(len(carry))}
-                own = {"id": part.column("id"), "held_out": part.column("held_out"), "languages": pa.array(found, kind), "above_chance": pa.array(above)}
+                own = {
+                    "id": part.column("id"), "held_out": part.column("held_out"), "languages": pa.array(found, kind),
+                    "above_chance": pa.array(above),
+                }
                 yield pa.RecordBatch.from_arrays([*own.values(), *kept.values()], names=[*own, *kept])
 
-    texts = df.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    texts = df.select(
+        F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"),
+        *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)),
+    )
     more = "".join(f", carry_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    got = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, held_out boolean, languages array<struct<lang:string,share:double>>, above_chance double{more}")
+    got = texts.mapInArrow(
+        run,
+        f"id {texts.schema['id'].dataType.simpleString()}, held_out boolean, languages array<struct<lang:string,share:double>>, above_chance double{more}",
+    )
     first = F.try_element_at("languages", F.lit(1))
-    return got.select(F.col("id").alias(id_col), "held_out", F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"), F.coalesce(first["share"], F.lit(0.0)).alias("score"), "languages", "above_chance", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))
+    return got.select(
+        F.col("id").alias(id_col), "held_out", F.coalesce(first["lang"], F.lit("und")).alias("lang_pred"),
+        F.coalesce(first["share"], F.lit(0.0)).alias("score"), "languages", "above_chance",
+        *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)),
+    )

@@ -73,7 +73,9 @@ def targets(sources: DataFrame, mix: Mix) -> DataFrame:
     n = len(mix.weights)
     weight = F.element_at(F.array(*map(F.lit, mix.weights)), ((F.col("sid") - 1) % n + 1).cast("int"))
     keyed = sources.select("source", "total", "docs", F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("key"))
-    named = running(keyed, ["none", "key"], place="1").select("source", "total", "docs", (F.col("place") + 1).cast("long").alias("sid")).withColumn("weight", weight)
+    named = running(keyed, ["none", "key"], place="1").select(
+        "source", "total", "docs", (F.col("place") + 1).cast("long").alias("sid"),
+    ).withColumn("weight", weight)
     ranked = cut(named.withColumn("cap", mix.most * F.col("total")).withColumn("ratio", F.col("cap") / F.col("weight")))
     whole = ranked.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     words, weights = int(whole[0]), int(whole[1])
@@ -103,7 +105,9 @@ def slots(sources: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), sid)), pa.array(rank), pa.array(slot)], names=["sid", "rank", "slot"])
 
     # a chunk is some 32,000 slots of work; dealt out evenly, whatever its source
-    return chunks.select("sid", "blocks", F.col("first").cast("long").alias("first"), "start").repartition("sid", "start").mapInArrow(run, "sid long, rank long, slot long")
+    return chunks.select(
+        "sid", "blocks", F.col("first").cast("long").alias("first"), "start",
+    ).repartition("sid", "start").mapInArrow(run, "sid long, rank long, slot long")
 
 
 def row_key(id_col: str, text_col: str, source_col: str, carry: Sequence[str]) -> list[Column]:
@@ -116,13 +120,22 @@ def row_key(id_col: str, text_col: str, source_col: str, carry: Sequence[str]) -
 def measured(df: DataFrame, id_col: str, text_col: str, source_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """``(k1, k2, id, source, size, copies)``: classes of equal rows."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = df.select(*row_key(id_col, text_col, source_col, carry), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
-    return cut(rows.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("copies")))
+    rows = df.select(
+        *row_key(id_col, text_col, source_col, carry), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+        size.alias("size"),
+    )
+    return cut(
+        rows.groupBy("k1", "k2").agg(
+            F.first("id").alias("id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("copies"),
+        )
+    )
 
 
 def copied(df: DataFrame, times: str) -> DataFrame:
     """Each row ``times`` times, with ``copy`` 0, 1, …; rows of many copies are dealt to tasks in chunks."""
-    some = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(CHUNK).cast("long"))).alias("_from")).repartition("k1", "k2", "_from")
+    some = df.select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(CHUNK).cast("long"))).alias("_from"),
+    ).repartition("k1", "k2", "_from")
     upto = F.least(F.col("_from") + CHUNK, F.col(times)) - 1
     return some.select("*", F.explode(F.sequence("_from", upto)).alias("copy")).drop("_from")
 
@@ -148,7 +161,9 @@ def pieces(docs: DataFrame, aimed: DataFrame, mix: Mix) -> DataFrame:
     """
     passes = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("total"))))
     wanted = _by_source(aimed.where("quota > 0")).select("key", "none", "sid", "total", "quota", "buckets")
-    turns = _by_source(docs.where("size > 0")).join(wanted, ["key", "none"]).select("k1", "k2", "size", "copies", "sid", "total", "quota", "buckets", passes.alias("pass"))
+    turns = _by_source(docs.where("size > 0")).join(wanted, ["key", "none"]).select(
+        "k1", "k2", "size", "copies", "sid", "total", "quota", "buckets", passes.alias("pass"),
+    )
     turn = F.xxhash64(F.lit(mix.seed), "pass", "k1", "k2")
     bucket = F.shiftrightunsigned(F.shiftrightunsigned("turn", 33) * F.col("buckets"), 31)
     dealt = turns.withColumn("turn", turn).withColumn("bucket", bucket).withColumn("length", F.col("size") * F.col("copies"))
@@ -162,7 +177,9 @@ def pieces(docs: DataFrame, aimed: DataFrame, mix: Mix) -> DataFrame:
     reached = F.least(F.col("copies"), F.ceil((F.col("quota") - F.col("begin")) / F.col("size"))).cast("long")
     single = copied(laid.withColumn("begin", begin).where("begin < quota").withColumn("reached", reached), "reached")
     start = F.col("begin") + F.col("copy") * F.col("size")
-    taken = single.withColumn("start", start).select("sid", "k1", "k2", "copy", "size", "pass", "start", F.least(F.col("size"), F.col("quota") - F.col("start")).alias("take"))
+    taken = single.withColumn("start", start).select(
+        "sid", "k1", "k2", "copy", "size", "pass", "start", F.least(F.col("size"), F.col("quota") - F.col("start")).alias("take"),
+    )
     b = mix.block_words
     cutup = taken.select("*", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("take") - 1) / b))).alias("rank"))
     first = F.greatest(F.col("start"), F.col("rank") * b)
@@ -216,7 +233,9 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     carry = [c for c in df.columns if c not in (id_col, text_col, source_col)]
     docs = measured(df, id_col, text_col, source_col, carry)
     aimed = cut(shares(docs, mix))
-    turns = pieces(docs, aimed, mix).groupBy("k1", "k2", "copy", "pass").agg(F.min("slot").alias("mix_slot"), F.sum("words").alias("_take"), F.first("size").alias("_size"))
+    turns = pieces(docs, aimed, mix).groupBy("k1", "k2", "copy", "pass").agg(
+        F.min("slot").alias("mix_slot"), F.sum("words").alias("_take"), F.first("size").alias("_size"),
+    )
     # the turns of a class meet one of its rows, as they are equal; turns are many, so the rows' side is split by AQE
     rows = df.select(*row_key(id_col, text_col, source_col, carry), F.struct(*df.columns).alias("_row")).dropDuplicates(["k1", "k2"])
     met = rows.join(turns.hint("merge"), ["k1", "k2"]).withColumn("mix_cut", F.col("_take") < F.col("_size"))

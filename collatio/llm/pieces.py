@@ -333,7 +333,9 @@ class Path:
     log_time: np.ndarray
 
 
-def sample(units: np.ndarray, counts: np.ndarray, lattice: Lattice, keys: np.ndarray, s: Sampling) -> tuple[list[tuple[np.ndarray, Path]], np.ndarray]:
+def sample(
+    units: np.ndarray, counts: np.ndarray, lattice: Lattice, keys: np.ndarray, s: Sampling,
+) -> tuple[list[tuple[np.ndarray, Path]], np.ndarray]:
     """The search over some texts at once.
 
     ``units`` are their lattices in order, ``counts`` per text, ``keys`` a 64-bit key per text.
@@ -345,9 +347,15 @@ def sample(units: np.ndarray, counts: np.ndarray, lattice: Lattice, keys: np.nda
     begin = np.cumsum(counts) - counts
     rounds: list[tuple[np.ndarray, Path]] = []
     # the queue: text, time, round, token place, edge, log probability of the path before it
-    queue = {k: np.zeros(0, t) for k, t in (("text", np.int64), ("time", float), ("round", np.int64), ("place", np.int64), ("edge", np.int64), ("before", float))}
+    queue = {
+        k: np.zeros(0, t) for k,
+        t in (("text", np.int64), ("time", float), ("round", np.int64), ("place", np.int64), ("edge", np.int64), ("before", float))
+    }
     texts = np.arange(n)
-    now = {"text": texts, "time": -np.log(uniform(_stream(seed, 1))), "round": np.full(n, -1), "place": np.zeros(n, np.int64), "edge": np.full(n, -1), "before": np.zeros(n)}
+    now = {
+        "text": texts, "time": -np.log(uniform(_stream(seed, 1))), "round": np.full(n, -1), "place": np.zeros(n, np.int64),
+        "edge": np.full(n, -1), "before": np.zeros(n),
+    }
     for r in range(s.samples):
         texts = now["text"]
         if not len(texts):
@@ -416,7 +424,9 @@ def sample(units: np.ndarray, counts: np.ndarray, lattice: Lattice, keys: np.nda
     return rounds, after
 
 
-def _prefixes(now: dict[str, np.ndarray], rounds: list[tuple[np.ndarray, Path]], lattice: Lattice, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _prefixes(
+    now: dict[str, np.ndarray], rounds: list[tuple[np.ndarray, Path]], lattice: Lattice, counts: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Edges before the walk, their number, the units they have finished, and the state inside the next (-1: none)."""
     n = len(now["text"])
     number = np.where(now["edge"] >= 0, now["place"] + 1, 0)
@@ -504,7 +514,9 @@ class Encoder:
         return self.lattice, rounds, after
 
 
-def sample_encodings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampling: Sampling | None = None, model: str = MODEL) -> DataFrame:
+def sample_encodings(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampling: Sampling | None = None, model: str = MODEL,
+) -> DataFrame:
     """Up to ``samples`` rows for each row of ``df``: ``(id, sample, ids, n_tokens, log_prob, log_inclusion, round_trip)``.
 
     A text's samples are distinct segmentations, numbered from 1 in the order drawn; a text with
@@ -533,9 +545,14 @@ def sample_encodings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     with np.errstate(divide="ignore", over="ignore"):
                         x = path.log_prob + np.log(after[at])
                         inclusion = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 700)))))
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                    lists = pa.ListArray.from_arrays(
+                        pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)),
+                    )
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("id").take(pa.array(at)), pa.array(np.full(len(at), r + 1, np.int32)), lists, pa.array(counts), pa.array(path.log_prob), pa.array(np.minimum(inclusion, 0.0)), pa.array(same)],
+                        [
+                            part.column("id").take(pa.array(at)), pa.array(np.full(len(at), r + 1, np.int32)), lists, pa.array(counts),
+                            pa.array(path.log_prob), pa.array(np.minimum(inclusion, 0.0)), pa.array(same),
+                        ],
                         names=names,
                     )
 

@@ -53,7 +53,10 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     conv, text = TRICKY
-    more = spark.range(2).select(F.lit(conv).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    more = spark.range(2).select(
+        F.lit(conv).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"),
+    )
     return chat.digest(chat.format_chats(chats.unionByName(more)))
 
 
@@ -78,5 +81,7 @@ def op10_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_repetition_coverage"] = quality.oracle()
-ORACLES["op6_chat_machine"] = chat.oracle(extra=" UNION ALL ".join(f"SELECT {TRICKY[0]}, {i}, '{r}', '{TRICKY[1]}'" for i, r in enumerate(("user", "assistant"))))
+ORACLES["op6_chat_machine"] = chat.oracle(
+    extra=" UNION ALL ".join(f"SELECT {TRICKY[0]}, {i}, '{r}', '{TRICKY[1]}'" for i, r in enumerate(("user", "assistant")))
+)
 ORACLES["op8_host_reputation"] = urls.oracle()

@@ -151,7 +151,9 @@ def near_edges(distinct: DataFrame, hot: int = 64) -> DataFrame:
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
     pairs = left.join(right, "key").where(near).select("a", "b")
     flips = F.array(*(F.lit(np.int64(np.uint64(1 << i).view(np.int64)).item()) for i in range(64)), F.lit(0).cast("long"))
-    balls = many.select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
+    balls = many.select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select(
+        "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"),
+    )
     hubs = balls.groupBy("word").agg(F.min("fp").alias("hub"))
     stars = balls.join(hubs, "word").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     return pairs.union(stars).distinct()

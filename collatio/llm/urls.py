@@ -36,7 +36,10 @@ class UrlRule:
         return self.where[len(self.host) :]
 
 
-RULES = (UrlRule(True, "com/"), UrlRule(False, "example.com/en/"), UrlRule(True, "www.example.com/en/"), UrlRule(False, "net/es/"), UrlRule(False, "net/fr/"))
+RULES = (
+    UrlRule(True, "com/"), UrlRule(False, "example.com/en/"), UrlRule(True, "www.example.com/en/"), UrlRule(False, "net/es/"),
+    UrlRule(False, "net/fr/"),
+)
 
 
 # Public suffixes of two labels; any other last label is a public suffix by itself.
@@ -144,7 +147,10 @@ def host_reputation(hosts: DataFrame, model: Reputation) -> DataFrame:
     return known.join(prior, ["domain", "suffix"]).select("host", "n", "bad", bound.alias("bound"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[UrlRule] = RULES, model: Reputation | None = None, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id") -> DataFrame:
+def filter_urls(
+    pages: DataFrame, labels: DataFrame, rules: Sequence[UrlRule] = RULES, model: Reputation | None = None, id_col: str = "page_id",
+    url_col: str = "url", label_id: str = "doc_id",
+) -> DataFrame:
     """One row per row of ``pages``: ``(id, host, path, rule, verdict, n_labelled, bad_bound)``.
 
     An outcome is a row of ``labels`` whose id is the page's; it is bad if ``quality`` is 0 or
@@ -161,20 +167,29 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[UrlRule] =
     host, path = url_parts(F.col(url_col).cast("string"))
     seen = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     good = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
-    outcomes = labels.select(F.col(label_id).alias("id"), good.alias("bad")).where("bad is not null and id is not null").groupBy("id").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    outcomes = labels.select(F.col(label_id).alias("id"), good.alias("bad")).where("bad is not null and id is not null").groupBy("id").agg(
+        F.count("*").alias("n"), F.sum("bad").alias("bad"),
+    )
     named = seen.where("host <> ''").join(outcomes, "id", "left")
     counted = named.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     judged = seen.join(host_reputation(counted, model), "host", "left")
     rule = _ruled(F.col("host"), F.col("path"), rules, lambda r: r.where)
     action = _ruled(F.col("host"), F.col("path"), rules, lambda r: "allow" if r.allow else "block")
     own = F.when(F.col("bound") > model.limit, "block").otherwise("allow")
-    return judged.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(action, own).alias("verdict"), F.col("n").alias("n_labelled"), F.round("bound", 6).alias("bad_bound"))
+    return judged.select(
+        F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(action, own).alias("verdict"),
+        F.col("n").alias("n_labelled"), F.round("bound", 6).alias("bad_bound"),
+    )
 
 
 def oracle(rules: Sequence[UrlRule] = RULES, model: Reputation | None = None) -> str:
     """DuckDB SQL for ``filter_urls`` over the views ``pages`` and ``labels``."""
     m = model or Reputation()
-    whens = {x: " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.where if x == 'rule' else 'allow' if r.allow else 'block'}'" for r in sorted(rules, key=lambda r: (-len(r.where), r.where))) for x in ("rule", "verdict")}
+    whens = {
+        x: " ".join(
+            f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.where if x == 'rule' else 'allow' if r.allow else 'block'}'" for r in sorted(rules, key=lambda r: (-len(r.where), r.where))
+        ) for x in ("rule", "verdict")
+    }
 
     two = ", ".join(f"'{x}'" for x in m.suffixes)
 
