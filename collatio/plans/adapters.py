@@ -23,7 +23,9 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-LINES = """lines AS (SELECT doc_id, witness, chapter, (p - 1)::BIGINT AS seq, l[p] AS text FROM (SELECT doc_id, source AS witness, lang AS chapter, l, unnest(range(1, len(l) + 1)) AS p FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)) WHERE len(trim(l[p])) > 0)"""
+LINES = """lines AS (SELECT doc_id, witness, chapter, (p - 1)::BIGINT AS seq, l[p] AS text
+  FROM (SELECT doc_id, source AS witness, lang AS chapter, l, unnest(range(1, len(l) + 1)) AS p
+  FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)) WHERE len(trim(l[p])) > 0)"""
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
@@ -38,8 +40,10 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-UNITS = """units AS (SELECT p_partkey::VARCHAR AS unit, p_partkey AS seq, p_brand AS chapter, p_type AS kind, p_size::BIGINT AS length, p_name AS text, CASE WHEN p_partkey % 53 = 0 THEN 'LACUNA' END AS flag,
-  (coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + p_size / 2.0::DOUBLE) / sum(p_size) OVER (PARTITION BY p_brand) AS position FROM part)"""
+UNITS = """units AS (SELECT p_partkey::VARCHAR AS unit, p_partkey AS seq, p_brand AS chapter, p_type AS kind, p_size::BIGINT AS length, p_name AS text,
+  CASE WHEN p_partkey % 53 = 0 THEN 'LACUNA' END AS flag,
+  (coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  0) + p_size / 2.0::DOUBLE) / sum(p_size) OVER (PARTITION BY p_brand) AS position FROM part)"""
 
 
 def witnesses(spark: SparkSession, d: str) -> DataFrame:
@@ -85,22 +89,31 @@ def raw_cells(spark: SparkSession, d: str) -> DataFrame:
     return own.unionByName(orphans)
 
 
-RAW = """facts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax, n_name AS witness FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
-given AS (SELECT l_partkey::VARCHAR AS unit, witness, sum(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax, avg(l_linenumber) AS line FROM facts GROUP BY ALL),
+RAW = """facts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax, n_name AS witness
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+given AS (SELECT l_partkey::VARCHAR AS unit, witness, sum(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax,
+  avg(l_linenumber) AS line FROM facts GROUP BY ALL),
 frame AS (SELECT u.*, n_name AS witness, (u.seq + n_nationkey) % 41 = 0 AS lost FROM units u CROSS JOIN nation),
-seen AS (SELECT f.*, quantity, discount, tax, line, quantity IS NOT NULL AND NOT lost AS has FROM frame f LEFT JOIN given g ON g.unit = f.unit AND g.witness = f.witness),
-raw AS (SELECT unit, witness, chapter, kind, CASE WHEN lost THEN 'LACUNA' WHEN has THEN 'PRESENT' ELSE 'ABSENT' END AS status, CASE WHEN has THEN 1.0 WHEN NOT lost THEN 0.0 END::DOUBLE AS d_cov,
-    CASE WHEN has THEN ln(quantity / length) END AS d_len, CASE WHEN has THEN discount * 0.7321::DOUBLE END::DOUBLE AS d_lit, CASE WHEN has THEN abs(line / 8 - position) END::DOUBLE AS d_ord, CASE WHEN has THEN tax * 0.7321::DOUBLE END::DOUBLE AS d_lex FROM seen
-  UNION ALL SELECT '+' || witness || ':' || l_orderkey || '-' || l_linenumber, witness, p_brand, 'orphan', 'PRESENT', NULL, NULL, l_discount * 0.7321::DOUBLE, NULL, NULL FROM facts JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 50 AND l_discount >= 0.1::DOUBLE)"""
+seen AS (SELECT f.*, quantity, discount, tax, line, quantity IS NOT NULL AND NOT lost AS has
+  FROM frame f LEFT JOIN given g ON g.unit = f.unit AND g.witness = f.witness),
+raw AS (SELECT unit, witness, chapter, kind, CASE WHEN lost THEN 'LACUNA' WHEN has THEN 'PRESENT' ELSE 'ABSENT' END AS status,
+  CASE WHEN has THEN 1.0 WHEN NOT lost THEN 0.0 END::DOUBLE AS d_cov,
+    CASE WHEN has THEN ln(quantity / length) END AS d_len, CASE WHEN has THEN discount * 0.7321::DOUBLE END::DOUBLE AS d_lit,
+  CASE WHEN has THEN abs(line / 8 - position) END::DOUBLE AS d_ord, CASE WHEN has THEN tax * 0.7321::DOUBLE END::DOUBLE AS d_lex FROM seen
+  UNION ALL SELECT '+' || witness || ':' || l_orderkey || '-' || l_linenumber, witness, p_brand, 'orphan', 'PRESENT', NULL, NULL,
+  l_discount * 0.7321::DOUBLE, NULL, NULL FROM facts JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 50 AND l_discount >= 0.1::DOUBLE)"""
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
     return M.calibrate(raw_cells(spark, d))
 
 
-CELLS = """med AS (SELECT witness, kind, median(d_len) AS m FROM raw WHERE status = 'PRESENT' AND d_len IS NOT NULL AND NOT starts_with(unit, '+') GROUP BY ALL),
+CELLS = """med AS (SELECT witness, kind, median(d_len) AS m
+  FROM raw WHERE status = 'PRESENT' AND d_len IS NOT NULL AND NOT starts_with(unit, '+') GROUP BY ALL),
 res AS (SELECT r.*, CASE WHEN d_len IS NOT NULL AND m IS NOT NULL THEN d_len - m ELSE d_len END AS r FROM raw r LEFT JOIN med USING (witness, kind)),
-cells AS (SELECT unit, witness, chapter, kind, d_lit, d_ord, d_lex, CASE WHEN status = 'PRESENT' AND r < -ln(2.0::DOUBLE) - 1e-9 THEN 'PARTIAL' ELSE status END AS status, CASE WHEN status = 'PRESENT' AND r < -ln(2.0::DOUBLE) - 1e-9 THEN 0.5 ELSE d_cov END::DOUBLE AS d_cov, r AS d_len FROM res)"""
+cells AS (SELECT unit, witness, chapter, kind, d_lit, d_ord, d_lex,
+  CASE WHEN status = 'PRESENT' AND r < -ln(2.0::DOUBLE) - 1e-9 THEN 'PARTIAL' ELSE status END AS status,
+  CASE WHEN status = 'PRESENT' AND r < -ln(2.0::DOUBLE) - 1e-9 THEN 0.5 ELSE d_cov END::DOUBLE AS d_cov, r AS d_len FROM res)"""
 MATRIX = f"{UNITS}, {RAW}, {CELLS}"
 
 
@@ -114,7 +127,8 @@ def turns(spark: SparkSession, d: str, role: str) -> DataFrame:
 
 
 def turns_sql(name: str, role: str) -> str:
-    return f"{name} AS (SELECT conv_id::VARCHAR AS grp, turn AS seq, len(string_split_regex(trim(text), '\\s+'))::BIGINT AS length, text AS payload, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role = '{role}')"
+    return f"""{name} AS (SELECT conv_id::VARCHAR AS grp, turn AS seq, len(string_split_regex(trim(text), '\\s+'))::BIGINT AS length, text AS payload,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role = '{role}')"""
 
 
 def yearly_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +145,7 @@ def yearly_orders(spark: SparkSession, d: str) -> DataFrame:
     ).join(ranked, "item")
 
 
-ORDERS = """y AS (SELECT year(o_orderdate)::BIGINT AS year, n_nationkey::BIGINT AS item, sum(round(o_totalprice * 100)::BIGINT) AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+ORDERS = """y AS (SELECT year(o_orderdate)::BIGINT AS year, n_nationkey::BIGINT AS item, sum(round(o_totalprice * 100)::BIGINT) AS r
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
 t AS (SELECT item, row_number() OVER (ORDER BY sum(r) DESC, item) AS a FROM y GROUP BY item),
 ord AS (SELECT year, y.item, t.a, row_number() OVER (PARTITION BY year ORDER BY r DESC, y.item) AS b FROM y JOIN t ON y.item = t.item)"""

@@ -53,7 +53,9 @@ WORDS = "len(list_filter(string_split_regex({}, '\\s+'), lambda x: x <> ''))"
 
 
 @query(
-    f"WITH {D.LINES}, k AS (SELECT *, text || CASE WHEN seq % 10 = 3 THEN ' རྫོགས་སོ' ELSE '' END AS t FROM lines) SELECT chapter, CASE WHEN seq % 10 = 3 THEN 'colophon' WHEN {WORDS.format('t')} IN (7, 9, 11) THEN 'verse_line' ELSE 'prose' END AS kind, count(*) AS n, sum(len(t))::BIGINT AS chars FROM k GROUP BY ALL"
+    f"""WITH {D.LINES}, k AS (SELECT *, text || CASE WHEN seq % 10 = 3 THEN ' རྫོགས་སོ' ELSE '' END AS t
+  FROM lines) SELECT chapter, CASE WHEN seq % 10 = 3 THEN 'colophon'
+  WHEN {WORDS.format('t')} IN (7, 9, 11) THEN 'verse_line' ELSE 'prose' END AS kind, count(*) AS n, sum(len(t))::BIGINT AS chars FROM k GROUP BY ALL"""
 )
 def segment_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of lines; every tenth line is given a colophon's end."""
@@ -66,7 +68,8 @@ CLAUSES = f"(SELECT doc_id, unnest(regexp_extract_all(translate(text, '{LATIN}',
 
 
 @query(
-    f"SELECT doc_id, count(*) AS n_clauses, sum(len(regexp_replace(c, '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars FROM {CLAUSES} WHERE len(regexp_replace(c, '{T.STRIPPED}', '', 'g')) > 0 GROUP BY doc_id"
+    f"""SELECT doc_id, count(*) AS n_clauses, sum(len(regexp_replace(c, '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars
+  FROM {CLAUSES} WHERE len(regexp_replace(c, '{T.STRIPPED}', '', 'g')) > 0 GROUP BY doc_id"""
 )
 def clause_split(spark: SparkSession, d: str) -> DataFrame:
     """Clauses of documents whose marks are read as Chinese ones."""
@@ -86,10 +89,12 @@ def _tei(spark: SparkSession, d: str) -> DataFrame:
 
 
 ONLY = "[" + "".join(sorted(set(tei.ONLY_MARKS))) + "]"
-TEI_CLAUSES = f"(SELECT doc_id, unnest(regexp_extract_all(regexp_replace(translate(text, '{LATIN}', '{CJK}'), '[\n\r\t]', '', 'g'), '([^{T.CLAUSE_MARKS}]*[{T.CLAUSE_MARKS}]+[」』]?|[^{T.CLAUSE_MARKS}]+$)')) AS c FROM documents)"
+TEI_CLAUSES = f"""(SELECT doc_id, unnest(regexp_extract_all(regexp_replace(translate(text, '{LATIN}', '{CJK}'), '[\n\r\t]', '', 'g'),
+  '([^{T.CLAUSE_MARKS}]*[{T.CLAUSE_MARKS}]+[」』]?|[^{T.CLAUSE_MARKS}]+$)')) AS c FROM documents)"""
 
 
-@query(f"""SELECT doc_id::VARCHAR AS witness, 'prose' AS kind, count(*) AS n, sum(len(trim(c)))::BIGINT AS chars, doc_id::VARCHAR AS start, 1::BIGINT AS notes FROM {TEI_CLAUSES} WHERE len(regexp_replace(c, '{ONLY}', '', 'g')) > 0 GROUP BY doc_id
+@query(f"""SELECT doc_id::VARCHAR AS witness, 'prose' AS kind, count(*) AS n, sum(len(trim(c)))::BIGINT AS chars, doc_id::VARCHAR AS start,
+  1::BIGINT AS notes FROM {TEI_CLAUSES} WHERE len(regexp_replace(c, '{ONLY}', '', 'g')) > 0 GROUP BY doc_id
 UNION ALL SELECT doc_id::VARCHAR, 'head', 1, len(trim(source)), doc_id::VARCHAR, 0 FROM documents WHERE source IS NOT NULL AND text IS NOT NULL""")
 def tei_segments(spark: SparkSession, d: str) -> DataFrame:
     got = tei.parsed(_tei(spark, d).where("content is not null"), 0, tei.SEGMENTS)
@@ -115,7 +120,8 @@ def _back(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT r_name AS witness, '#' || r_regionkey AS anchor, r_name AS lem, string_agg(n_name, ' ' ORDER BY n_name) AS rdg, string_agg('#' || n_name, ' ' ORDER BY n_name) AS wit FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL"
+    """SELECT r_name AS witness, '#' || r_regionkey AS anchor, r_name AS lem, string_agg(n_name, ' ' ORDER BY n_name) AS rdg,
+  string_agg('#' || n_name, ' ' ORDER BY n_name) AS wit FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL"""
 )
 def tei_apparatus(spark: SparkSession, d: str) -> DataFrame:
     got = tei.parsed(_back(spark, d), 2, tei.APPARATUS)
@@ -127,9 +133,12 @@ def tei_glosses(spark: SparkSession, d: str) -> DataFrame:
     return tei.parsed(_back(spark, d), 1, tei.GLOSSES)
 
 
-@query(f"""WITH t AS (SELECT doc_id, translate(replace(text, chr(10), ''), '.{{', '།(') AS t FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, regexp_extract_all(t, '([^།]*།|[^།]+$)') AS us FROM t),
+@query(f"""WITH t AS (SELECT doc_id, translate(replace(text, chr(10), ''),
+  '.{{', '།(') AS t FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, regexp_extract_all(t, '([^།]*།|[^།]+$)') AS us FROM t),
 u AS (SELECT doc_id, i - 1 AS seq, regexp_replace(us[i], '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT doc_id, us, unnest(range(1, len(us) + 1)) AS i FROM p))
-SELECT 'D' || doc_id AS text_id, count(*) AS n, max(seq)::BIGINT AS last, sum(len(text))::BIGINT AS chars, count(*) FILTER (len(list_filter(string_split_regex(text, '[\\s།]+'), lambda x: x <> '')) IN (7, 9, 11)) AS verses FROM u WHERE text NOT IN ('', '།') GROUP BY doc_id""")
+SELECT 'D' || doc_id AS text_id, count(*) AS n, max(seq)::BIGINT AS last, sum(len(text))::BIGINT AS chars,
+  count(*) FILTER (len(list_filter(string_split_regex(text, '[\\s།]+'), lambda x: x <> '')) IN (7, 9, 11)) AS verses
+  FROM u WHERE text NOT IN ('', '།') GROUP BY doc_id""")
 def folio_units(spark: SparkSession, d: str) -> DataFrame:
     """Documents as texts of one folio file each, cut at their full stops; lines after the first are at its coordinate."""
     body = F.translate("text", ".{", "།(")
@@ -142,9 +151,13 @@ def folio_units(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH m AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, l FROM (SELECT doc_id, string_split(translate(text, '{LATIN}', '{CJK}'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-c AS (SELECT doc_id, 1 + (p - 1) // 3 AS chapter, p, unnest(regexp_extract_all(l[p], '([^{T.CLAUSE_MARKS}]*[{T.CLAUSE_MARKS}]|[^{T.CLAUSE_MARKS}]+$)')) AS c FROM m)
-SELECT witness, 'L.' || ch AS chapter, n, chars, 'c' || ch || ':' || n AS last, (ch - 1)::INT AS "order" FROM (SELECT doc_id::VARCHAR AS witness, chapter AS ch, count(*) AS n, sum(len(regexp_replace(c, '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars FROM c WHERE len(regexp_replace(c, '{T.STRIPPED}', '', 'g')) > 0 AND chapter <= 99 GROUP BY doc_id, chapter)""")
+@query(f"""WITH m AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, l
+  FROM (SELECT doc_id, string_split(translate(text, '{LATIN}', '{CJK}'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+c AS (SELECT doc_id, 1 + (p - 1) // 3 AS chapter, p, unnest(regexp_extract_all(l[p],
+  '([^{T.CLAUSE_MARKS}]*[{T.CLAUSE_MARKS}]|[^{T.CLAUSE_MARKS}]+$)')) AS c FROM m)
+SELECT witness, 'L.' || ch AS chapter, n, chars, 'c' || ch || ':' || n AS last, (ch - 1)::INT AS "order"
+  FROM (SELECT doc_id::VARCHAR AS witness, chapter AS ch, count(*) AS n, sum(len(regexp_replace(c, '^\\s+|\\s+$', '',
+  'g')))::BIGINT AS chars FROM c WHERE len(regexp_replace(c, '{T.STRIPPED}', '', 'g')) > 0 AND chapter <= 99 GROUP BY doc_id, chapter)""")
 def marked_clauses(spark: SparkSession, d: str) -> DataFrame:
     """Documents as marked texts with a chapter for every three lines, up to 99."""
     rows = D.table(spark, d, "documents").where("text is not null").select(
@@ -165,7 +178,9 @@ def marked_clauses(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT 'customers' AS witness, 'I.' || (1 + c_nationkey % 11) || '.' || (1 + c_custkey % 900) AS unit, 'I.' || (1 + c_nationkey % 11) AS chapter, 'verse' AS kind, trim(regexp_replace(lower(c_name), '[#0-9]+', ' ', 'g')) AS text, CASE WHEN c_acctbal < 0 THEN 'LACUNA' END AS flag FROM customer"
+    """SELECT 'customers' AS witness, 'I.' || (1 + c_nationkey % 11) || '.' || (1 + c_custkey % 900) AS unit,
+  'I.' || (1 + c_nationkey % 11) AS chapter, 'verse' AS kind, trim(regexp_replace(lower(c_name), '[#0-9]+', ' ', 'g')) AS text,
+  CASE WHEN c_acctbal < 0 THEN 'LACUNA' END AS flag FROM customer"""
 )
 def reference_rows(spark: SparkSession, d: str) -> DataFrame:
     """Customers as lines of a reference edition, between comments."""
@@ -185,7 +200,9 @@ SA = "regexp_replace(nfc_normalize(lower(text)), '[|।॥0-9.\\-()\\[\\]]+', '
 
 
 @query(
-    f"""SELECT lang, count(*) AS docs, sum(CASE lang WHEN 'en' THEN len(translate(text, '{PUNCT}', '')) WHEN 'de' THEN len(list_filter(string_split_regex(text, '{T.BO_SPLIT}'), lambda x: x <> '')) WHEN 'fr' THEN len(regexp_extract_all({SA}, '{T.SA_VOWELS}')) ELSE {WORDS.format('text')} END)::BIGINT AS length FROM documents GROUP BY lang"""
+    f"""SELECT lang, count(*) AS docs, sum(CASE lang WHEN 'en' THEN len(translate(text, '{PUNCT}', ''))
+  WHEN 'de' THEN len(list_filter(string_split_regex(text, '{T.BO_SPLIT}'), lambda x: x <> ''))
+  WHEN 'fr' THEN len(regexp_extract_all({SA}, '{T.SA_VOWELS}')) ELSE {WORDS.format('text')} END)::BIGINT AS length FROM documents GROUP BY lang"""
 )
 def length_by_lang(spark: SparkSession, d: str) -> DataFrame:
     """Lengths by the rules of three languages and by words, one for each language of the documents."""
@@ -288,8 +305,10 @@ def anchor_extract(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "documents").select("doc_id", F.array_join(TERMS.anchors(F.col("text"), "xx"), " ").alias("anchors"))
 
 
-@query(f"""WITH a AS (SELECT conv_id, turn, {_anchor_sql('text')} AS k FROM conversations), p AS (SELECT x.conv_id, x.turn, x.k AS a, y.k AS b FROM a x JOIN a y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)
-SELECT conv_id, turn, round(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 4)::DOUBLE AS similarity FROM p""")
+@query(f"""WITH a AS (SELECT conv_id, turn, {_anchor_sql('text')} AS k FROM conversations), p AS (SELECT x.conv_id, x.turn, x.k AS a, y.k AS b
+  FROM a x JOIN a y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)
+SELECT conv_id, turn, round(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a,
+  b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 4)::DOUBLE AS similarity FROM p""")
 def anchor_jaccard(spark: SparkSession, d: str) -> DataFrame:
     a = D.table(spark, d, "conversations").select("conv_id", "turn", TERMS.anchors(F.col("text"), "xx").alias("k"))
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("k").alias("b"))
@@ -321,7 +340,9 @@ def dice_sql(a: str, b: str) -> str:
 
 
 @query(
-    f"""WITH p AS (SELECT x.conv_id, x.turn, x.text AS a, y.text AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) SELECT conv_id, turn, round({dice_sql('a', 'b')}, 4) AS dice FROM p"""
+    f"""WITH p AS (SELECT x.conv_id, x.turn, x.text AS a, y.text AS b
+  FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)
+  SELECT conv_id, turn, round({dice_sql('a', 'b')}, 4) AS dice FROM p"""
 )
 def dice_bigram(spark: SparkSession, d: str) -> DataFrame:
     a = D.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
@@ -330,11 +351,15 @@ def dice_bigram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gram_sql(name: str, source: str, keys: str, n: int) -> str:
-    return f"""{name} AS (SELECT DISTINCT {keys}, g FROM (SELECT {keys}, string_agg(c, '') OVER (PARTITION BY {keys.split(',')[0]} ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS g FROM (SELECT {keys}, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM (SELECT {keys}, string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), '') AS cs FROM {source}))) WHERE len(g) = {n})"""
+    return f"""{name} AS (SELECT DISTINCT {keys}, g FROM (SELECT {keys}, string_agg(c,
+  '') OVER (PARTITION BY {keys.split(',')[0]} ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS g
+  FROM (SELECT {keys}, unnest(cs) AS c, unnest(range(len(cs))) AS i
+  FROM (SELECT {keys}, string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), '') AS cs FROM {source}))) WHERE len(g) = {n})"""
 
 
 PROBE_SQL = f"""{_gram_sql('tg', 'benchmark', 'item_id', 16)}, {_gram_sql('og', 'documents', 'doc_id, source', 16)},
-n AS (SELECT item_id, count(*) AS n FROM tg GROUP BY item_id), ov AS (SELECT doc_id, source, item_id, count(*) / any_value(n.n) AS overlap FROM og JOIN tg USING (g) JOIN n USING (item_id) GROUP BY ALL)"""
+n AS (SELECT item_id, count(*) AS n FROM tg GROUP BY item_id), ov AS (SELECT doc_id, source, item_id, count(*) / any_value(n.n) AS overlap
+  FROM og JOIN tg USING (g) JOIN n USING (item_id) GROUP BY ALL)"""
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +386,9 @@ def ngram_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PROBE_SQL} SELECT source, count(*) AS n, round(avg(round(overlap, 3)), 4) AS mean_overlap, round(CASE WHEN grouping(source) = 1 THEN avg((overlap >= 0.5::DOUBLE)::INT) ELSE avg((round(overlap, 3) >= 0.5::DOUBLE)::INT) END, 4) AS memorised_rate, grouping(source)::INT AS overall FROM ov GROUP BY ROLLUP (source)"""
+    f"""WITH {PROBE_SQL} SELECT source, count(*) AS n, round(avg(round(overlap, 3)), 4) AS mean_overlap, round(CASE
+  WHEN grouping(source) = 1 THEN avg((overlap >= 0.5::DOUBLE)::INT)
+  ELSE avg((round(overlap, 3) >= 0.5::DOUBLE)::INT) END, 4) AS memorised_rate, grouping(source)::INT AS overall FROM ov GROUP BY ROLLUP (source)"""
 )
 def contamination_probe(spark: SparkSession, d: str) -> DataFrame:
     return A.contamination(_overlaps(spark, d))
@@ -371,8 +398,12 @@ ACCENTS = "".join(a for a, _ in PAIRS)
 TRANSLIT = lexicon.Lexicon((lexicon.Term("tion", "term", {"zh": ("tion", "ionti")}, True), lexicon.Term("x", "term", {"zh": ("the",)})), ACCENTS)
 
 
-@query(f"""WITH c AS (SELECT doc_id, translate(text, '{PUNCT}', '') AS c FROM documents), m AS (SELECT doc_id, len(c) AS n, list_sum(list_transform(regexp_extract_all(c, '[{ACCENTS}]{{2,}}'), lambda r: len(r))) AS runs, string_split(replace(c, 'tion', chr(1) || chr(1) || chr(1) || chr(1)), '') AS a, string_split(replace(c, 'ionti', chr(1) || chr(1) || chr(1) || chr(1) || chr(1)), '') AS b FROM c)
-SELECT doc_id, round(CASE WHEN n > 0 THEN (coalesce(runs, 0) + len(list_filter(list_zip(a, b), lambda x: x[1] = chr(1) OR x[2] = chr(1)))) / n ELSE 0 END, 6)::DOUBLE AS density FROM m""")
+@query(f"""WITH c AS (SELECT doc_id, translate(text, '{PUNCT}', '') AS c
+  FROM documents), m AS (SELECT doc_id, len(c) AS n, list_sum(list_transform(regexp_extract_all(c, '[{ACCENTS}]{{2,}}'),
+  lambda r: len(r))) AS runs, string_split(replace(c, 'tion', chr(1) || chr(1) || chr(1) || chr(1)), '') AS a, string_split(replace(c,
+  'ionti', chr(1) || chr(1) || chr(1) || chr(1) || chr(1)), '') AS b FROM c)
+SELECT doc_id, round(CASE WHEN n > 0 THEN (coalesce(runs, 0) + len(list_filter(list_zip(a, b),
+  lambda x: x[1] = chr(1) OR x[2] = chr(1)))) / n ELSE 0 END, 6)::DOUBLE AS density FROM m""")
 def translit_density(spark: SparkSession, d: str) -> DataFrame:
     """Characters inside either of two overlapping forms, or beside another accented one."""
     return D.table(spark, d, "documents").select("doc_id", F.round(TRANSLIT.density(F.col("text"), "zh"), 6).alias("density"))
@@ -382,7 +413,8 @@ SAID = {0: " The translator deliberately removed it.", 1: " 此處有意省略
 
 
 @query(
-    f"SELECT doc_id, regexp_matches(text || CASE doc_id % 7 {' '.join(f'WHEN {k} THEN {v!r}' for k, v in SAID.items())} ELSE '' END, '(?i){'|'.join(A.MOTIVES)}') AS motive FROM documents WHERE text IS NOT NULL"
+    f"""SELECT doc_id, regexp_matches(text || CASE doc_id % 7 {' '.join(f'WHEN {k} THEN {v!r}' for k, v in SAID.items())}
+  ELSE '' END, '(?i){'|'.join(A.MOTIVES)}') AS motive FROM documents WHERE text IS NOT NULL"""
 )
 def motive_flag(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which some are given a sentence that names a motive."""
@@ -401,7 +433,8 @@ def tolerant_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_type = 'error' THEN 'action' ELSE '' END AS lost, CASE WHEN event_type = 'click' THEN 'result' ELSE '' END AS added, CASE WHEN event_type = 'error' THEN 0.5 ELSE 0.0 END::DOUBLE AS loss_rate FROM events"""
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN 'action' ELSE '' END AS lost,
+  CASE WHEN event_type = 'click' THEN 'result' ELSE '' END AS added, CASE WHEN event_type = 'error' THEN 0.5 ELSE 0.0 END::DOUBLE AS loss_rate FROM events"""
 )
 def component_deviation(spark: SparkSession, d: str) -> DataFrame:
     e = D.table(spark, d, "events")
@@ -429,11 +462,14 @@ def echo(prompt: str) -> str:
     return prompt[-40:]
 
 
-PROBED = "(SELECT item_id, regexp_replace(substr(t, 41), '\\s+', ' ', 'g') AS b, regexp_replace(substr(t, 1, 40), '\\s+', ' ', 'g') AS a FROM (SELECT item_id, trim(text) AS t FROM benchmark) WHERE len(t) >= 80)"
+PROBED = """(SELECT item_id, regexp_replace(substr(t, 41), '\\s+', ' ', 'g') AS b, regexp_replace(substr(t, 1, 40), '\\s+', ' ', 'g') AS a
+  FROM (SELECT item_id, trim(text) AS t FROM benchmark) WHERE len(t) >= 80)"""
 
 
 @query(
-    f"WITH p AS (SELECT item_id, trim(b) AS b, trim(a) AS a FROM {PROBED}) SELECT item_id::VARCHAR AS ref, round(CASE WHEN len(b) >= 4 THEN len(list_intersect({gram_sql('b', 4)}, {gram_sql('a', 4)})) / len({gram_sql('b', 4)}) ELSE 0 END, 4)::DOUBLE AS overlap FROM p"
+    f"""WITH p AS (SELECT item_id, trim(b) AS b, trim(a) AS a
+  FROM {PROBED}) SELECT item_id::VARCHAR AS ref, round(CASE
+  WHEN len(b) >= 4 THEN len(list_intersect({gram_sql('b', 4)}, {gram_sql('a', 4)})) / len({gram_sql('b', 4)}) ELSE 0 END, 4)::DOUBLE AS overlap FROM p"""
 )
 def mock_probe(spark: SparkSession, d: str) -> DataFrame:
     """The memorisation probe end to end, with a model that repeats the prefix."""
@@ -453,7 +489,10 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {D.LINES} SELECT doc_id, seq, CASE WHEN contains(text, 'the') THEN 'the' ELSE '' END AS actor, CASE WHEN contains(text, 'que') THEN 'que que' ELSE '' END AS action, CASE WHEN contains(text, 'the') THEN '' ELSE 'actor:the' END || '|' || CASE WHEN contains(text, 'que') THEN '' ELSE 'action:que action:que' END AS rejected, 'term:b' AS keys FROM lines"
+    f"""WITH {D.LINES} SELECT doc_id, seq, CASE WHEN contains(text, 'the') THEN 'the' ELSE '' END AS actor,
+  CASE WHEN contains(text, 'que') THEN 'que que' ELSE '' END AS action,
+  CASE WHEN contains(text, 'the') THEN '' ELSE 'actor:the' END || '|' ||
+  CASE WHEN contains(text, 'que') THEN '' ELSE 'action:que action:que' END AS rejected, 'term:b' AS keys FROM lines"""
 )
 def mock_components(spark: SparkSession, d: str) -> DataFrame:
     """Slots hold what the text says word for word; keys are those that were offered."""
@@ -487,7 +526,8 @@ FACTS = "SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE event_type
 
 
 @query(
-    f"SELECT event_id::VARCHAR AS unit, CASE WHEN facts = '' THEN 'abstain' ELSE 'shared_with_cowitness' END AS top, CASE WHEN facts = '' THEN 0.0 ELSE 0.75 END::DOUBLE AS share, CASE WHEN facts = '' THEN '' ELSE '1' END AS cited FROM ({FACTS})"
+    f"""SELECT event_id::VARCHAR AS unit, CASE WHEN facts = '' THEN 'abstain' ELSE 'shared_with_cowitness' END AS top,
+  CASE WHEN facts = '' THEN 0.0 ELSE 0.75 END::DOUBLE AS share, CASE WHEN facts = '' THEN '' ELSE '1' END AS cited FROM ({FACTS})"""
 )
 def mock_attribution(spark: SparkSession, d: str) -> DataFrame:
     """Shares add up to 1; facts that do not exist are not cited; without facts there is no answer."""
@@ -514,7 +554,8 @@ def mock_rationale(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT 'naive' AS model, count(*) AS n, 1.0::DOUBLE AS rate_a, 0.0::DOUBLE AS rate_b, 1.0::DOUBLE AS diff FROM benchmark UNION ALL SELECT 'stubborn', count(*), 1.0, 1.0, 0.0 FROM benchmark"
+    """SELECT 'naive' AS model, count(*) AS n, 1.0::DOUBLE AS rate_a, 0.0::DOUBLE AS rate_b, 1.0::DOUBLE AS diff
+  FROM benchmark UNION ALL SELECT 'stubborn', count(*), 1.0, 1.0, 0.0 FROM benchmark"""
 )
 def mock_counterfactual(spark: SparkSession, d: str) -> DataFrame:
     """Does a model stop naming motives when it is told that others lack the unit too?"""
@@ -529,7 +570,9 @@ def mock_counterfactual(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"SELECT sha256(r_name) AS prompt_sha256, sha256('mock response') AS response_sha256, sha256('{J.SYSTEM.replace(chr(39), chr(39) * 2)}') AS system_sha256, 'mock' AS model_id, len(r_name)::INT AS n_prompt_chars, 13::INT AS n_response_chars, 64::INT AS max_tokens FROM region"
+    f"""SELECT sha256(r_name) AS prompt_sha256, sha256('mock response') AS response_sha256,
+  sha256('{J.SYSTEM.replace(chr(39), chr(39) * 2)}') AS system_sha256, 'mock' AS model_id, len(r_name)::INT AS n_prompt_chars,
+  13::INT AS n_response_chars, 64::INT AS max_tokens FROM region"""
 )
 def call_records(spark: SparkSession, d: str) -> DataFrame:
     asked = J.ask(D.table(spark, d, "region").select("r_name"), F.col("r_name"), J.Mock(), None, 64)
@@ -541,7 +584,8 @@ def call_records(spark: SparkSession, d: str) -> DataFrame:
 # ---- vectors
 
 
-CENTROIDS = "c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL) GROUP BY label, i), v AS (SELECT label, list(m ORDER BY i) AS v FROM c GROUP BY label)"
+CENTROIDS = """c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL) GROUP BY label, i), v AS (SELECT label, list(m ORDER BY i) AS v FROM c GROUP BY label)"""
 
 
 @query(f"WITH {CENTROIDS} SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 4) AS similarity FROM embeddings JOIN v USING (label)")
@@ -559,8 +603,10 @@ def _centroid(spark: SparkSession, d: str) -> DataFrame:
 KEYS = "[('k' || vec_id % 5), ('num:' || label % 3)] AS a, [('k' || label % 5), ('num:' || vec_id % 3)] AS b"
 
 
-@query(f"""WITH {CENTROIDS}, k AS (SELECT vec_id, label, embedding, {KEYS} FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), w AS (SELECT *, (a[1] = b[1])::INT + 2 * (a[2] = b[2])::INT AS hits FROM k)
-SELECT vec_id, round(greatest(hits / (6.0::DOUBLE - hits), 0.8::DOUBLE * greatest(0, list_cosine_similarity(embedding::DOUBLE[], v))), 4) AS similarity FROM w JOIN v USING (label)""")
+@query(f"""WITH {CENTROIDS}, k AS (SELECT vec_id, label, embedding, {KEYS}
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), w AS (SELECT *, (a[1] = b[1])::INT + 2 * (a[2] = b[2])::INT AS hits FROM k)
+SELECT vec_id, round(greatest(hits / (6.0::DOUBLE - hits), 0.8::DOUBLE * greatest(0, list_cosine_similarity(embedding::DOUBLE[], v))),
+  4) AS similarity FROM w JOIN v USING (label)""")
 def hybrid_similarity(spark: SparkSession, d: str) -> DataFrame:
     """The larger of anchor similarity, numbers weighing double, and the weighted cosine."""
     s = _centroid(spark, d)
