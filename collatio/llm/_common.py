@@ -118,7 +118,7 @@ def run_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out = np.zeros(len(counts))
     some = np.flatnonzero(counts)
     if len(some):
-        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some])
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some], dtype=np.float64)
     return out
 
 

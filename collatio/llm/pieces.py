@@ -140,16 +140,17 @@ class Lattice:
     """The lattices of distinct units, as one graph. A unit of n bytes has states 0 … n.
 
     Edges of a state are consecutive. ``logq`` is the logarithm of an edge's probability among its
-    state's, weighed with everything behind it; ``upto`` the running sum of these inside the state.
+    state's, weighed with everything behind it; ``upto`` the running sum of these inside the state, and
+    ``lead`` that of a state's first edge. ``go`` is where an edge leads, -1 at the unit's end.
     Units are added behind those that are there; ``keep`` marks the ones that stay when the rest
     is dropped, so that a worker prepares common units once.
     """
 
-    EDGES = {"src": np.int32, "piece": np.int32, "size": np.int32, "to": np.int32, "tokens": np.int32, "logq": np.float64, "upto": np.float64}
-    STATES = {"data": np.uint8, "final": bool, "first": np.int64}
+    EDGES = {"src": np.int32, "piece": np.int32, "size": np.int32, "to": np.int32, "go": np.int32, "logq": np.float32, "upto": np.float32}
+    STATES = {"data": np.uint8, "final": bool, "lead": np.float32, "first": np.int64}
 
     def __init__(self, units: list[bytes], v: Vocabulary, alpha: float):
-        self.v, self.alpha = v, alpha
+        self.v, self.alpha, self.plain = v, alpha, np.exp(alpha * v.weight)
         for name, kind in (self.EDGES | self.STATES).items():
             setattr(self, name, np.zeros(1, kind))
         self.start = np.zeros(0, np.int64)
@@ -216,7 +217,7 @@ class Lattice:
         edges = int(opens[-1])
         self._room(self.STATES, self.states, states)
         self._room(self.EDGES, self.edges, edges)
-        src, piece, size, to, tokens, logq, upto = (getattr(self, name)[self.edges : self.edges + edges] for name in self.EDGES)
+        src, piece, size, to, go, logq, upto = (getattr(self, name)[self.edges : self.edges + edges] for name in self.EDGES)
         piece[:] = -1
         for n in range(depth, 0, -1):  # long pieces first: they are the likelier ones
             s, p = found[n - 1]
@@ -227,11 +228,8 @@ class Lattice:
         src[e], size[e] = first[lost], wide[lost]
         np.add(src, size, out=to)
         spelt = np.flatnonzero(piece < 0)
-        weight = v.weight[piece]
-        weight[spelt] = v.weight[v.byte_ids[0]] * size[spelt]
-        weight *= self.alpha
-        tokens[:] = 1
-        tokens[spelt] = size[spelt]
+        plain = self.plain[piece]
+        plain[spelt] = self.plain[v.byte_ids[0]] ** size[spelt]
         # backward sums, by distance from the unit's end: near to it as they are, further on as logarithms
         rest = np.repeat(ends, lengths + 1) - np.arange(states)
         longest = int(lengths.max())
@@ -239,7 +237,7 @@ class Lattice:
         order = np.argsort(near, kind="stable")
         turn = first[order]
         cuts = np.searchsorted(near[order], np.arange(1, longest + 2))
-        plain, behind = np.exp(weight), np.zeros(states)
+        behind = np.zeros(states)
         behind[ends] = 1.0
         for a, b in zip(cuts[:PLAIN], cuts[1 : PLAIN + 1]):
             if a < b:
@@ -248,6 +246,7 @@ class Lattice:
                 e = ranges(opens[s], n)
                 behind[s] = np.add.reduceat(plain[e] * behind[to[e]], np.cumsum(n) - n)
         if longest > PLAIN:
+            weight = np.log(plain)
             logs = np.log(np.maximum(behind, 1e-300))
             for a, b in zip(cuts[PLAIN:-1], cuts[PLAIN + 1 :]):
                 if a < b:
@@ -258,15 +257,17 @@ class Lattice:
                     begin = np.cumsum(n) - n
                     top = np.maximum.reduceat(x, begin)
                     logs[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), begin))
-            np.subtract(weight + logs[to], logs[src], out=logq)
-            share = np.exp(logq)
+            share = np.exp(weight + logs[to] - logs[src])
         else:
             share = plain * behind[to] / behind[src]
-            np.log(share, out=logq)
-        run = np.cumsum(share)
-        own = opens[src]
-        np.subtract(run, np.where(own > 0, run[own - 1], 0.0), out=upto)
-        upto[opens[1:][count > 0] - 1] = np.inf
+        np.log(share, out=logq, casting="same_kind")
+        run = np.concatenate([[0.0], np.cumsum(share)])
+        np.subtract(run[1:], run[opens[src]], out=upto, casting="same_kind")
+        some = count > 0
+        upto[opens[1:][some] - 1] = np.inf
+        np.add(to, np.int32(self.states), out=go)
+        go[~inner[to]] = -1
+        self.lead[self.states : self.states + states][some] = upto[opens[:-1][some]]
         src += self.states
         to += self.states
         self.start = np.concatenate([self.start, self.states + ends - lengths])
@@ -284,7 +285,7 @@ class Lattice:
         while len(owner):
             u = uniform(key)
             e = self.first[at]
-            behind = np.flatnonzero(u > self.upto[e])
+            behind = np.flatnonzero(u > self.lead[at])
             if len(behind):
                 u = u[behind]
                 f = e[behind] + 1
@@ -294,8 +295,8 @@ class Lattice:
                     open_ = open_[u[open_] > self.upto[f[open_]]]
                 e[behind] = f
             steps.append((owner, e))
-            at = self.to[e]
-            more = np.flatnonzero(~self.final[at])
+            at = self.go[e]
+            more = np.flatnonzero(at >= 0)
             taken[owner] = len(steps)
             owner, at, key = owner[more], at[more], key[more] + np.uint64(1)
         out = np.zeros(int(taken.sum()), np.int64)
@@ -453,8 +454,10 @@ def token_ids(path: Path, lattice: Lattice, v: Vocabulary) -> tuple[np.ndarray,
     spelt = np.flatnonzero(ids < 0)
     if not len(spelt):
         return ids, path.counts
-    each = lattice.tokens[path.edges]
-    ids, e = np.repeat(ids, each), path.edges[spelt]
+    e = path.edges[spelt]
+    each = np.ones(len(ids), np.int64)
+    each[spelt] = lattice.size[e]
+    ids = np.repeat(ids, each)
     ids[ids < 0] = v.byte_ids[lattice.data[ranges(lattice.src[e], lattice.size[e])]]
     return ids, segment_sums(each, path.counts)
 
