@@ -466,15 +466,19 @@ class Decoder:
     """Ids back to text: the pieces' bytes joined, less the blank put in front."""
 
     def __init__(self, v: Vocabulary):
-        self.length = np.array([len(p) for p in v.pieces], np.int64)
-        self.begin = np.cumsum(self.length) - self.length
+        self.length = np.array([len(p) for p in v.pieces], np.int32)
+        self.begin = np.cumsum(self.length, dtype=np.int32) - self.length
         self.data = np.frombuffer(b"".join(v.pieces) + b"\0", np.uint8)
 
     def __call__(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         each = self.length[ids]
-        joined = self.data[ranges(self.begin[ids], each)].tobytes()
-        ends = np.cumsum(segment_sums(each, counts)).tolist()
-        return [joined[a + 1 : b] for a, b in zip([0, *ends[:-1]], ends)]
+        ends = np.cumsum(each, dtype=np.int64)
+        small = np.int32 if len(ends) and ends[-1] < 1 << 31 else np.int64
+        shift = (self.begin[ids] - (ends - each)).astype(small)
+        place = np.arange(int(ends[-1]) if len(ends) else 0, dtype=small) + np.repeat(shift, each)
+        joined = self.data[place].tobytes()
+        bounds = np.cumsum(segment_sums(each.astype(np.int64), counts)).tolist()
+        return [joined[a + 1 : b] for a, b in zip([0, *bounds[:-1]], bounds)]
 
 
 #: Slices after which a worker chooses its common units anew, and how many it keeps.
@@ -517,6 +521,17 @@ class Encoder:
         return self.lattice, rounds, after
 
 
+#: A worker's encoders and decoders by model: what they have prepared serves its later tasks, and changes no result.
+_READY: dict[tuple[str, Sampling], tuple[Encoder, Decoder]] = {}
+
+
+def _ready(model: str, v: Vocabulary, s: Sampling) -> tuple[Encoder, Decoder]:
+    if (model, s) not in _READY:
+        _READY.clear()
+        _READY[model, s] = Encoder(v, s), Decoder(v)
+    return _READY[model, s]
+
+
 def sample_encodings(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampling: Sampling | None = None, model: str = MODEL,
 ) -> DataFrame:
@@ -536,7 +551,7 @@ def sample_encodings(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        decode, encoder = Decoder(v), Encoder(v, s)
+        encoder, decode = _ready(model, v, s)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 texts = [t or "" for t in part.column("text").to_pylist()]
