@@ -234,16 +234,40 @@ def dimension(cells: DataFrame, dim: str) -> DataFrame:
     return summarise(cells.where(some), ["witness"], dim)
 
 
+#: Units of one block of ``match_candidates``. A task buffers the pairs of two blocks, some 130 bytes each.
+BLOCK = 256
+
+
+def _blocks(side: DataFrame, step: float) -> DataFrame:
+    """Units of one chapter, kind and length in blocks of about ``BLOCK``, with the number of their band of lengths."""
+    keys = ["chapter", "kind", "length"]
+    counts = side.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    dealt = side.join(counts, keys).withColumn("_part", F.pmod(F.xxhash64("unit"), F.col("_n")))
+    one = dealt.groupBy(*keys, "_part").agg(F.collect_list(F.struct("unit")).alias("_rows"))  # in structs, as lists drop nulls
+    return one.select(*keys, "_part", F.transform("_rows", lambda r: r["unit"]).alias("units"), F.floor(F.ln("length") / step).alias("band"))
+
+
 def match_candidates(units: DataFrame, tolerance: float = 0.35) -> DataFrame:
     """Pairs of a sensitive and a neutral unit of one chapter and kind with like lengths.
 
-    ``units(unit, chapter, kind, length, sensitive)``; lengths are floored at 1.
+    ``units(unit, chapter, kind, length, sensitive)``; lengths are floored at 1. Every pair is listed,
+    so the rows grow with the square of a group. Lengths are compared once for two blocks of units,
+    not for each pair; bands of lengths a little wider than the tolerance keep far ones from meeting.
+    Pairs of blocks are dealt over all tasks, whatever their groups, and written out row by row.
     """
     side = units.withColumn("length", F.greatest(F.lit(1), F.col("length")))
-    u, v = side.where("sensitive").alias("u"), side.where("not sensitive").alias("v")
+    step = max(tolerance, 0.0) + 1e-6
+    u = _blocks(side.where("sensitive"), step).withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1))))).alias("u")
+    v = _blocks(side.where("not sensitive"), step).alias("v")
     near = F.abs(F.ln(F.col("v.length") / F.col("u.length"))) <= tolerance
-    return u.join(v, (F.col("u.chapter") == F.col("v.chapter")) & (F.col("u.kind") == F.col("v.kind")) & near).select(
-        F.col("u.chapter").alias("chapter"), F.col("u.kind").alias("kind"), F.col("u.unit").alias("unit"), F.col("v.unit").alias("mate"),
+    same = [F.col(f"u.{k}") == F.col(f"v.{k}") for k in ("chapter", "kind", "band")]
+    ids = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "uv" for c in ("length", "_part", "units")]
+    met = u.join(v, [*same, near]).select(F.col("u.chapter").alias("chapter"), F.col("u.kind").alias("kind"), *ids)
+    spark = units.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = met.repartition(tasks, "chapter", "kind", "u_length", "u__part", "v_length", "v__part")
+    return dealt.select("chapter", "kind", F.explode("u_units").alias("unit"), "v_units").select(
+        "chapter", "kind", "unit", F.explode("v_units").alias("mate"),
     )
 
 

@@ -2,6 +2,7 @@ import itertools
 import json
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +113,26 @@ def test_matching(spark):
     assert [tuple(r) for r in X.match(u).collect()] == [("c", "k", "a", "x")]
 
 
+def test_candidates_of_one_group_are_dealt_out(spark, monkeypatch):
+    """All pairs, as many as a plain loop finds, and those of one group in many tasks, though the input is one partition."""
+    rng = random.Random(3)
+    rows = [(f"s{i}", "c", "k", 10, True) for i in range(60)] + [(f"n{i}", "c", "k", 10 + i % 2, False) for i in range(60)]
+    rows += [(f"r{i}", rng.choice("ab"), rng.choice("xy"), rng.choice([None, 0, 1, 2, 7, 10, 14, 15, 99, 10**12]), rng.random() < 0.4) for i in range(150)]
+    rows += [(None, "a", "x", 7, True), (None, "a", "x", 7, False), ("twice", "a", "x", 7, True), ("twice", "a", "x", 7, True), ("out", None, "x", 7, True), ("out", "a", "x", 7, None)]
+    units = spark.createDataFrame(rows, "unit string, chapter string, kind string, length long, sensitive boolean").coalesce(1)
+    monkeypatch.setattr(X, "BLOCK", 8, raising=False)
+    size = lambda n: max(1, n or 1)
+    for tolerance in (0.35, 0.0, 40.0):
+        found = X.match_candidates(units, tolerance).withColumn("task", F.spark_partition_id()).collect()
+        pairs = Counter(
+            (a[1], a[2], a[0], b[0]) for a in rows for b in rows
+            if a[4] and b[4] is False and a[1] and a[1:3] == b[1:3] and abs(math.log(size(b[3]) / size(a[3]))) <= tolerance
+        )
+        assert Counter((r.chapter, r.kind, r.unit, r.mate) for r in found) == pairs
+        tasks = Counter(r.task for r in found if r.chapter == "c")
+        assert len(tasks) >= 4 and max(tasks.values()) < sum(tasks.values()) / 2
+
+
 def test_judge_with_mock(spark):
     rows = spark.createDataFrame([("r", "w", "", "", "2:2", None), ("r", "w", "", "", "1:1", None)], "ref_text string, wit_text string, before string, after string, shape string, review_status string")
     sure = J.Mock(respond=lambda p: '{"verdict": "split", "confidence": 0.9}')
